@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantlens.llm import bpe, licenses, minhash, token_counts, token_store
+from plantlens.llm import bpe, licenses, minhash, quality, token_counts, token_store
 from plantlens.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,9 +29,13 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_minhash_dedup, op5_bpe_roundtrip, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_minhash_dedup, op5_bpe_roundtrip, op7_quality_rules, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
