@@ -100,6 +100,7 @@ class Items:
         diagonal = np.repeat(at, n) - self.place[posting]
         width = self.edits[item] + 1
         base = len(points) + 1
+        bands = []
         for shift in (0, 1):  # bands of 2 (k + 1) diagonals, at every k + 1
             band = (diagonal // width + shift) // 2 + base
             key = (row * len(self.ids) + item) * (3 * base) + band
@@ -108,12 +109,26 @@ class Items:
             for i in back[over].tolist():
                 w = int(width[i])
                 b = (int(diagonal[i]) // w + shift) // 2
-                yield int(row[i]), int(item[i]), (2 * b - shift) * w, (2 * b - shift + 2) * w - 1
+                bands.append((int(row[i]), int(item[i]), (2 * b - shift) * w, (2 * b - shift + 2) * w - 1))
+        # bands that overlap are one region, up to half an item's length
+        region: list[int] = []
+        for r, i, low, high in sorted(bands):
+            if region and region[:2] == [r, i] and low <= region[3] and high - region[2] <= len(self.points[i]) // 2:
+                region[3] = max(region[3], high)
+                continue
+            if region:
+                yield tuple(region)
+            region = [r, i, low, high]
+        if region:
+            yield tuple(region)
 
     def align(self, item: int, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
         """Fewest edits (start and end in ``text``) of the item against any part
         of ``text`` on diagonals ``low`` to ``high``, if within the budget."""
         p, k = self.points[item], int(self.edits[item])
+        whole = text[max(0, low) :].tobytes().find(p.tobytes())
+        if whole >= 0 and whole % 4 == 0 and whole // 4 + max(0, low) <= high:  # on one diagonal, without edits
+            return 0, whole // 4 + max(0, low), whole // 4 + max(0, low) + len(p)
         low, high = low - k, high + k
         offsets = np.arange(low, high + 1)
         far = len(p) + len(text) + 1
@@ -121,18 +136,24 @@ class Items:
         cost = np.where(inside, 0, far)
         start = offsets.copy()
         step = np.arange(len(offsets))
-        for i, c in enumerate(p):
-            j = offsets + i  # place in the text of the character beside c
-            ok = (j >= 0) & (j < len(text))
-            same = np.zeros(len(j), bool)
-            same[ok] = text[j[ok]] == c
-            across = np.where(ok, cost + ~same, far)  # one row down, same diagonal
-            down = np.append(cost[1:], far) + 1
-            best, from_ = np.where(down < across, down, across), np.where(down < across, np.append(start[1:], 0), start)
-            run = best - step
+        width = len(offsets)
+        padded = np.zeros(width + len(p), np.int64)  # 0 is beside no character of the text
+        a, b = max(0, low), min(len(text), low + len(padded))
+        padded[a - low : max(a, b) - low] = text[a:b].astype(np.int64) + 1
+        for i, c in enumerate(p.tolist()):
+            beside = padded[i : i + width]
+            across = cost + (beside != c + 1)  # one row down, same diagonal
+            across[beside == 0] = far
+            down = cost[1:] + 1
+            fewer = down < across[:-1]
+            across[:-1][fewer] = down[fewer]
+            start[:-1][fewer] = start[1:][fewer]
+            run = across - step
             least = np.minimum.accumulate(run)
             source = np.maximum.accumulate(np.where(run == least, step, 0))
-            cost, start = least + step, from_[source]
+            cost, start = least + step, start[source]
+            if i & 15 == 15 and cost.min() > k:
+                return None
         end = offsets + len(p)
         cost = np.where((end >= 0) & (end <= len(text)), cost, far)
         best = int(np.argmin(cost))
