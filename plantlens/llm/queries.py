@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plantlens.llm import bpe, decontaminate, licenses, minhash, quality, token_counts, token_store, toxicity
+from plantlens.llm import bpe, decontaminate, html_text, licenses, minhash, quality, token_counts, token_store, toxicity, url_filter
 from plantlens.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,14 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -45,5 +53,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontamination, op4_minhash_dedup, op5_bpe_roundtrip, op7_quality_rules, op9_toxicity, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontamination, op4_minhash_dedup, op5_bpe_roundtrip, op6_url_filter, op7_quality_rules, op8_html_text, op9_toxicity, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
