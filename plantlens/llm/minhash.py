@@ -269,6 +269,20 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_first(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, unchanged: the one of the
+    least doc_id, and of repeated rows of it the first in order of all columns.
+    Rows without doc_id, and without words, stay."""
+    groups = near_duplicates(df, words, percent, id_col, text_col)
+    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    stay = df.join(gone, F.col(id_col).cast("long") == F.col("gone"), "left_anti")
+    again = groups.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 and doc_id is not null").select(F.col("doc_id").alias("again"))
+    if again.isEmpty():
+        return stay
+    once = stay.join(again, F.col(id_col).cast("long") == F.col("again"), "left_semi").groupBy(id_col).agg(F.min(F.struct(*df.columns)).alias("r")).select("r.*")
+    return stay.join(again, F.col(id_col).cast("long") == F.col("again"), "left_anti").unionByName(once)
+
+
 def _residual_links(buckets: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components of one bucket that its star has not shown.
 
