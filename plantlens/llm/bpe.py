@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from plantlens.llm.common import id_and_text
 #: Fixed value: how byte-level BPE cuts a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT = 192
-CACHE = 1 << 18
+CACHE = 400_000
 _BITS, _NONE = 20, 1 << 62
 _ID = (1 << _BITS) - 1
 
@@ -56,7 +57,6 @@ class BytePairs:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.pairs[vocab[left] << _BITS | vocab[right]] = rank << _BITS | vocab[left + right]
         self.words = regex.compile(WORDS)
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
         parts = [self.byte_id[b] for b in word]
@@ -107,48 +107,78 @@ def pieces(text: str) -> list[str]:
 
 
 class PieceCache(dict):
-    """Ids of pieces that follow a space, as little-endian unsigned 32-bit
-    integers; emptied when full, so that memory stays bounded."""
+    """Ids of pieces that ``prefix`` precedes, as little-endian unsigned 32-bit
+    integers. Two generations of at most ``limit`` pieces are held: when the
+    younger is full, the older goes."""
 
-    def __init__(self, encode, limit: int = CACHE):
+    def __init__(self, encode, prefix: str, limit: int = CACHE):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.prefix, self.limit = encode, prefix, limit
+        self.older: dict[str, bytes] = {}
+        self.bare = self if not prefix else PieceCache(encode, "", limit)
+        self.marks = {c: encode(c) for c in ".,!?;:"}
+        self.newline = encode("\n")
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(" " + piece)
+        # neither a mark after a word nor a \n between two words is in one word
+        # of the pattern with them
+        if piece[-1:] in self.marks and piece[:-1].isalpha():
+            return self[piece[:-1]] + self.marks[piece[-1]]
+        if "\n" in piece:
+            lines = piece.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                return self[lines[0]] + b"".join([self.newline + self.bare[x] for x in lines[1:]])
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(self.prefix + piece)
         if len(piece) <= 64:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
-class Encoder:
-    def __init__(self, path: str):
-        self.pairs = BytePairs(path)
-        self.cache = PieceCache(self.pairs.encode_piece)
+class PieceEncoder:
+    """Encodes texts by pieces; ``encode_piece`` gives a piece's ids as bytes."""
+
+    def __init__(self, encode_piece, special: dict[str, int]):
+        self.special = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
+        self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.cache = PieceCache(encode_piece, " ")
 
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = pieces(text)
         of = self.cache
-        return self.pairs.encode_piece(first) + b"".join([of[p] for p in rest])
+        return of.bare[first] + b"".join([of[p] for p in rest])
 
     def encode(self, text: str) -> bytes:
-        cut = self.pairs.cut
-        if cut is None or not any(s in text for s in self.pairs.special):
+        if self.cut is None or not any(s in text for s in self.special):
             return self._plain(text)
         out, at = [], 0
-        for m in cut.finditer(text):
-            out += [self._plain(text[at : m.start()]), np.array([self.pairs.special[m[0]]], "<u4").tobytes()]
+        for m in self.cut.finditer(text):
+            out += [self._plain(text[at : m.start()]), self.special[m[0]]]
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
+
+class Encoder(PieceEncoder):
+    def __init__(self, path: str):
+        self.pairs = BytePairs(path)
+        super().__init__(self.pairs.encode_piece, self.pairs.special)
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.pairs.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks that a Python worker runs in turn."""
+    return Encoder(path)
+
+
 def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
@@ -159,7 +189,7 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         for batch in batches:
             counts, digests, texts, all_ids = [], [], [], []
             for text in batch.column(1).to_pylist():

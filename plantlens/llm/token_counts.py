@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plantlens.llm.bpe import Encoder
+from plantlens.llm.bpe import encoder
 from plantlens.llm.common import id_and_text
 
 BLOCK = 1024
@@ -25,7 +25,7 @@ def document_lengths(df: DataFrame, tokenizer: str, group_cols: Sequence[str] =
     names = ["doc_id", *group_cols, "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         for batch in batches:
             n = [len(enc.encode(t)) // 4 for t in batch.column(1).to_pylist()]
             kept = [batch.column(i) for i in range(batch.num_columns) if i != 1]

@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plantlens.llm.bpe import CACHE, pieces
+from plantlens.llm.bpe import PieceEncoder
 from plantlens.llm.common import id_and_text, scratch_path, shuffle_partitions
 
 END = 2
@@ -70,10 +71,9 @@ def decode_segment(rank_ids: bytes, control: bytes, data: bytes, count: int) ->
     return np.frombuffer(rank_ids, "<u4")[unpack(control, data, count)] if count else np.zeros(0, np.uint32)
 
 
-class LibraryEncoder:
-    """Encodes with the tokenizers library. Pieces between single spaces are
-    kept, so that the library sees each of them about once; the store of pieces
-    is emptied when full."""
+class LibraryEncoder(PieceEncoder):
+    """Encodes with the tokenizers library; pieces between single spaces are
+    kept, so that the library sees each of them about once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,23 +82,15 @@ class LibraryEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        super().__init__(self._ids, {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()})
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, piece: str) -> bytes:
+        return np.array(self.lib.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        cut = [None if any(s in t for s in self.special) else pieces(t) for t in texts]
-        new = list({p for c in cut if c for p in c[1:]} - known.keys())
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            coded = self.lib.encode_batch_fast([" " + p for p in some], add_special_tokens=False)
-            known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, coded))
-        return [self._whole(t) if c is None else self._whole(c[0]) + b"".join([known[p] for p in c[1:]]) for t, c in zip(texts, cut)]
+
+@lru_cache(maxsize=1)
+def library_encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -109,7 +101,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = END, id
     parts = shuffle_partitions(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, segment = LibraryEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, segment = library_encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         doc_ids: list[int | None] = []
         coded: list[bytes] = []
@@ -125,17 +117,15 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = END, id
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                some = batch.slice(i, 500)
-                for d, c in zip(some.column(0).to_pylist(), enc.encode_batch(some.column(1).to_pylist())):
-                    doc_ids.append(d)
-                    coded.append(c + end)
-                    held += len(c) // 4 + 1
-                    if held >= SEGMENT_TOKENS:
-                        yield flush()
-                        segment, held = segment + 1, 0
-                        doc_ids.clear()
-                        coded.clear()
+            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                doc_ids.append(d)
+                coded.append(enc.encode(text) + end)
+                held += len(coded[-1]) // 4
+                if held >= SEGMENT_TOKENS:
+                    yield flush()
+                    segment, held = segment + 1, 0
+                    doc_ids.clear()
+                    coded.clear()
         if coded:
             yield flush()
 
