@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plantlens.llm import bpe, decontaminate, html_text, licenses, minhash, quality, token_counts, token_store, toxicity, url_filter
 from plantlens.llm.common import table
+from plantlens.llm.oracles import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,7 +36,8 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages"))
+    return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +57,3 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontamination, op4_minhash_dedup, op5_bpe_roundtrip, op6_url_filter, op7_quality_rules, op8_html_text, op9_toxicity, op10_token_store)}
-ORACLE_SQL: dict[str, str] = {}
