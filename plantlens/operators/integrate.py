@@ -6,6 +6,8 @@ an equi-key form here; the literal forms exist for comparison.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,20 +47,30 @@ def with_keys(looks: DataFrame) -> DataFrame:
     )
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, values: list[str], bucket: Column | None = None) -> DataFrame:
-    """Every left row with the latest right row of the key at or before it.
+def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, values: list[str], bucket: Callable[[Column], Column] = F.to_date) -> DataFrame:
+    """Every left row with the latest right row of its key at or before it.
 
-    Both sides are united and the last right row seen so far is carried over a
-    window ordered by time. A right row of the same time counts as before; of
-    several the last in order of all values. ``bucket`` (a column of the right
-    time line, like the month) may split long keys; see ``range_join_by_day``
-    for disjoint ranges, which needs no order at all.
+    Time is cut into buckets. Within a key and bucket both sides are united and
+    the last right row seen is carried forward; what earlier buckets carry in is
+    found over one row a key and bucket. So no task holds the whole time line of
+    a key, and a hot key is split by a finer ``bucket``. A right row of the same
+    time counts as before; of several the last in order of all values. Rows with
+    a null key or time match nothing.
     """
-    name = [c for c in left.columns]
-    l = left.select(*name, F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_v"))  # noqa: E741
-    r = right.select(*[F.col(by) if c == by else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in name], F.col(right_on).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_v"))
-    order = W.partitionBy(by).orderBy("_t", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
-    return l.union(r).withColumn("_m", F.last("_v", ignorenulls=True).over(order)).filter("_side = 1").select(*name, *[F.col(f"_m.{v}").alias(v) for v in values])
+    name, kind = left.columns, right.select(F.struct(*values)).schema[0].dataType
+    at = lambda df, c: df.withColumn("_t", F.col(c)).withColumn("_b", bucket(F.col(c)))
+    l, r = at(left, left_on), at(right, right_on).filter(F.col("_t").isNotNull() & F.col(by).isNotNull())  # noqa: E741
+    last = r.groupBy(by, "_b").agg(F.max(F.struct("_t", F.struct(*values).alias("v"))).alias("m")).select(by, "_b", F.col("m.v").alias("_v"))
+    every = last.unionByName(l.select(by, "_b", F.lit(None).cast(kind).alias("_v")).distinct()).groupBy(by, "_b").agg(F.max("_v").alias("_v"))
+    before = W.partitionBy(by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carried = every.select(by, "_b", F.last("_v", ignorenulls=True).over(before).alias("_c")).filter("_c is not null")
+
+    rows = l.select(*name, "_t", "_b", F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_v"))
+    marks = r.select(*[F.col(by) if c == by else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in name], "_t", "_b", F.lit(0).alias("_side"), F.struct(*values).alias("_v"))
+    order = W.partitionBy(by, "_b").orderBy("_t", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
+    seen = rows.union(marks).withColumn("_m", F.last("_v", ignorenulls=True).over(order)).filter("_side = 1")
+    got = seen.join(carried, [by, "_b"], "left").withColumn("_m", F.when(F.col("_t").isNotNull() & F.col(by).isNotNull(), F.coalesce("_m", "_c")))
+    return got.select(*name, *[F.col(f"_m.{v}").alias(v) for v in values])
 
 
 def range_join(left: DataFrame, right: DataFrame, by: str, on: str, start: str, end: str) -> DataFrame:

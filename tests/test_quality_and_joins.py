@@ -88,3 +88,20 @@ def test_longest_run_counts_records(spark):
     rows = [("S1", i, bool(b)) for i, b in enumerate([1, 1, 0, 1, 1, 1, 0])] + [("S2", 0, False)]
     got = condition.longest_run(spark.createDataFrame(rows, "s string, d int, bad boolean"), ["s"], "d", "bad").collect()
     assert [(r.s, r.longest_run) for r in got] == [("S1", 3)]
+
+
+def test_asof_over_buckets_equals_the_plain_search(spark):
+    import random
+
+    rng = random.Random(3)
+    day = lambda: dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(60))
+    left = [(i, rng.choice("ab"), day()) for i in range(200)]
+    right = [(rng.choice("abc"), day(), i) for i in range(40)]
+    want = {}
+    for i, k, t in left:
+        fit = [(u, v) for q, u, v in right if q == k and u <= t]
+        want[i] = max(fit)[1] if fit else None
+    a, b = spark.createDataFrame(left, "i int, k string, t date"), spark.createDataFrame(right, "k string, u date, v int")
+    for bucket in (F.to_date, lambda c: F.trunc(c, "month"), lambda c: F.trunc(c, "year")):
+        got = integrate.asof_join(a, b, "k", "t", "u", ["u", "v"], bucket).collect()
+        assert {r.i: r.v for r in got} == want and len(got) == 200
