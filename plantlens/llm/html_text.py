@@ -29,7 +29,7 @@ ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
 MAIN = {"article", "main"}
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|notices|gdpr|popup|modal|overlay|newsletter|subscribe|signup|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|topbar|share|social|comments?|commentlist|respond|reply|replies|disqus|related|recommended|pagination|pager|login|search)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notices?|notification\w*|alerts?|announcement|disclaimer|toolbar|gdpr|popup|modal|overlay|newsletter|subscribe|signup|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|topbar|share|social|comments?|commentlist|respond|reply|replies|disqus|related|recommended|pagination|pager|login|search)(?:$|[\s_-])",
     re.I,
 )
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text|page)(?:$|[\s_-])", re.I)
@@ -78,7 +78,7 @@ class _Page:
 def _enter(tag: str, attributes: str, parent: _Open, number: int, article_open: bool) -> _Open:
     values = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
     names = f"{values.get('class', '')} {values.get('id', '')}"
-    named = bool(names.strip())
+    named = bool(names.strip()) and tag not in ("html", "body")
     bad = (named and bool(BAD_NAME.search(names))) or values.get("role", "").lower() in BAD_ROLES
     hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
     # a header inside an article holds its headline
