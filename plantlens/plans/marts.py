@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plantlens import policy as P
 from plantlens.operators import condition, coverage, findings, integrate, quality, spc
 from plantlens.sources.adapters import extract
+from plantlens.sources.tables import scratch_path
 
 
 class Plant:
@@ -22,6 +23,25 @@ class Plant:
     def dim(self, name: str) -> DataFrame:
         return P.dim(self.spark, name)
 
+    def mart(self, df: DataFrame, name: str) -> DataFrame:
+        """A mart of a row a station, day or mode, written once and read by all
+        that follows, so that the events are read once for each mart."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @cached_property
+    def observed_mart(self) -> DataFrame:
+        return self.mart(self.observed, "observed")
+
+    @cached_property
+    def ncr_mart(self) -> DataFrame:
+        return self.mart(self.ncr, "ncr")
+
+    @cached_property
+    def selftest_mart(self) -> DataFrame:
+        return self.mart(self.selftest, "selftest")
+
     @cached_property
     def dims(self) -> dict[str, DataFrame]:
         return {k: self.dim(k) for k in P.DIMS}
@@ -76,7 +96,7 @@ class Plant:
 
     @cached_property
     def cov(self) -> DataFrame:
-        return coverage.coverage_states(self.observed, self.dim("dim_position"), self.dim("dim_assignment"), self.dim("dim_mode").toDF("mode", "label", "feature_ref", "basis"))
+        return coverage.coverage_states(self.observed_mart, self.dim("dim_position"), self.dim("dim_assignment"), self.dim("dim_mode").toDF("mode", "label", "feature_ref", "basis"))
 
     @cached_property
     def points(self) -> DataFrame:
@@ -96,7 +116,7 @@ class Plant:
 
     @cached_property
     def judged(self) -> DataFrame:
-        return condition.verdicts(condition.with_policy_limits(self.selftest))
+        return condition.verdicts(condition.with_policy_limits(self.selftest_mart))
 
     def conditions(self, judged: DataFrame) -> DataFrame:
         return condition.station_condition(judged, self.dim("dim_assignment"), self.dim("dim_mode"), self.dim("dim_gate"))
@@ -108,12 +128,12 @@ class Plant:
     @cached_property
     def cond_swept(self) -> DataFrame:
         combos = coverage.sweep(self.spark, P.SELFTEST_SWEEP)
-        every = self.selftest.join(F.broadcast(combos), F.lit(True))  # the sweep of the policy
+        every = self.selftest_mart.join(F.broadcast(combos), F.lit(True))  # the sweep of the policy
         return self.conditions(condition.verdicts(every))
 
     @cached_property
     def wear_long(self) -> DataFrame:
-        return condition.unpivot_wear(self.selftest, self.dim("dim_measure"))
+        return condition.unpivot_wear(self.selftest_mart, self.dim("dim_measure"))
 
     @cached_property
     def wear(self) -> DataFrame:
@@ -121,7 +141,7 @@ class Plant:
 
     @cached_property
     def fractions(self) -> DataFrame:
-        return findings.limit_fractions(condition.latest_rows(self.selftest))
+        return findings.limit_fractions(condition.latest_rows(self.selftest_mart))
 
     @cached_property
     def lost(self) -> DataFrame:
@@ -131,7 +151,7 @@ class Plant:
     def plan_findings(self) -> DataFrame:
         kind = lambda df, k: df.select(F.lit(k).alias("finding_id"), "mode")
         return (
-            kind(findings.unassigned_modes(self.cov, self.ncr), "UNASSIGNED_MODE")
+            kind(findings.unassigned_modes(self.cov, self.ncr_mart), "UNASSIGNED_MODE")
             .unionByName(kind(findings.declared_silent(self.cov), "DECLARED_SILENT"))
             .unionByName(kind(findings.late_first_look(self.cov), "LATE_FIRST_LOOK"))
         )
@@ -144,7 +164,7 @@ class Plant:
 
     @cached_property
     def extent(self) -> DataFrame:
-        stations = self.selftest.agg(F.countDistinct("station_id").alias("n_stations"))
+        stations = self.selftest_mart.agg(F.countDistinct("station_id").alias("n_stations"))
         return findings.look_across(self.cov, self.cond_findings, self.plan_findings, stations, self.dim("dim_asset"), self.dim("dim_propagation"))
 
     @cached_property
@@ -160,7 +180,7 @@ class Plant:
         sel = f.selective_finding(condition.selective(self.cond_swept))
         sens = coverage.sensitivity(self.swept)
         parts = [
-            rows(f.unassigned_modes(self.cov, self.ncr), "UNASSIGNED_MODE", "high", mode=c("mode"), evidence=c("detections")),
+            rows(f.unassigned_modes(self.cov, self.ncr_mart), "UNASSIGNED_MODE", "high", mode=c("mode"), evidence=c("detections")),
             rows(f.declared_silent(self.cov), "DECLARED_SILENT", "open_question", mode=c("mode"), evidence=c("stations")),
             rows(f.no_backstop(self.econ), "NO_BACKSTOP", "high", mode=c("mode"), evidence=c("position")),
             rows(f.late_first_look(self.cov), "LATE_FIRST_LOOK", "medium", mode=c("mode"), evidence=c("first_position")),

@@ -501,7 +501,7 @@ def mode_label(p):
 
 
 def _with_seen(p: Plant, df: DataFrame) -> DataFrame:
-    return df.join(p.observed, ["station_id", "mode"], "left").withColumn("detections", F.coalesce("detections", F.lit(0)))
+    return df.join(p.observed_mart, ["station_id", "mode"], "left").withColumn("detections", F.coalesce("detections", F.lit(0)))
 
 
 @query
@@ -529,14 +529,14 @@ def exchange_rate(p):
 @query
 def cost_sensitivity(p):
     """Over all combinations, with the cheapest and dearest cost of all fails."""
-    totals = p.swept.join(p.observed, ["station_id", "mode"]).groupBy("combo_id").agg(F.sum(F.col("fr") * F.col("detections")).alias("vu"))
+    totals = p.swept.join(p.observed_mart, ["station_id", "mode"]).groupBy("combo_id").agg(F.sum(F.col("fr") * F.col("detections")).alias("vu"))
     span = totals.agg(F.min("vu").alias("least_vu"), F.max("vu").alias("most_vu"))
     return coverage.sensitivity(p.swept).join(F.broadcast(span), F.lit(True))  # one row each
 
 
 @query
 def sweep_cross(p):
-    return p.swept.join(p.observed, ["station_id", "mode"]).groupBy("combo_id", "line_id").agg(F.sum(F.col("fr") * F.col("detections")).alias("false_reject_vu"), F.sum(F.col("rate") * F.col("detections")).alias("weighted_rate"))
+    return p.swept.join(p.observed_mart, ["station_id", "mode"]).groupBy("combo_id", "line_id").agg(F.sum(F.col("fr") * F.col("detections")).alias("false_reject_vu"), F.sum(F.col("rate") * F.col("detections")).alias("weighted_rate"))
 
 
 @query
@@ -627,7 +627,7 @@ def fleet_selftest(p):
 # ---- findings and extent --------------------------------------------------
 @query
 def f_unassigned_mode(p):
-    return findings.unassigned_modes(p.cov, p.ncr)
+    return findings.unassigned_modes(p.cov, p.ncr_mart)
 
 
 @query
@@ -704,7 +704,7 @@ def peer_rank(p):
 
 @query
 def containment_units(p):
-    return findings.containment(p.cond, p.selftest)
+    return findings.containment(p.cond, p.selftest_mart)
 
 
 @query
