@@ -24,7 +24,7 @@ from plantlens.llm.common import id_and_text
 #: Fixed value: how byte-level BPE cuts a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT = 192
-CACHE = 400_000
+CACHE = 150_000
 _BITS, _NONE = 20, 1 << 62
 _ID = (1 << _BITS) - 1
 
@@ -142,10 +142,10 @@ class PieceCache(dict):
 class PieceEncoder:
     """Encodes texts by pieces; ``encode_piece`` gives a piece's ids as bytes."""
 
-    def __init__(self, encode_piece, special: dict[str, int]):
+    def __init__(self, encode_piece, special: dict[str, int], limit: int = CACHE):
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.cache = PieceCache(encode_piece, " ")
+        self.cache = PieceCache(encode_piece, " ", limit)
 
     def _plain(self, text: str) -> bytes:
         if not text:

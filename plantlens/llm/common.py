@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,3 +146,30 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     start = np.flatnonzero(begins)
     end = np.flatnonzero(ends) + 1
     return start, end, np.searchsorted(at, start, "right") - 1
+
+
+SLICE_BYTES = 1 << 19
+
+
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``limit`` bytes of text in a column, so that
+    the arrays made of a part stay small."""
+    _, at = byte_view(batch.column(column))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """The rows for whose texts ``keep`` gives true, unchanged. Null texts are
+    given as empty."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, column=at):
+                yield part.filter(pa.array(keep([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import mix64
-from plantlens.llm.minhash import slices
+from plantlens.llm.common import filter_rows, mix64, slices
 
 Q, EDIT_SHARE = 8, 0.1
 #: Characters of benchmark items that one pass over the documents looks for.
@@ -227,14 +226,11 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows that hold no benchmark item, unchanged."""
     for items in _blocks(benchmark, item_col, item_text_col, chars):
-        docs = df.select(F.struct(*df.columns).alias("row_of_table"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch):
-                    clean = np.ones(part.num_rows, bool)
-                    clean[[m[0] for m in items.matches(part.column(1).to_pylist())]] = False
-                    yield pa.RecordBatch.from_arrays([part.column(0)], names=["row_of_table"]).filter(pa.array(clean))
+        def clean(texts: list[str], items=items) -> np.ndarray:
+            keep = np.ones(len(texts), bool)
+            keep[[m[0] for m in items.matches(texts)]] = False
+            return keep
 
-        df = docs.mapInArrow(run, f"row_of_table {docs.schema['row_of_table'].dataType.simpleString()}").select("row_of_table.*")
+        df = filter_rows(df, text_col, clean)
     return df

@@ -20,26 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import Scratch, byte_view, id_and_text, lower_ascii, mix64, span_hashes, word_spans, written
+from plantlens.llm.common import byte_view, id_and_text, lower_ascii, mix64, slices, span_hashes, word_spans, written
 from plantlens.llm.graph import connected_components
 
 BINS, ROWS = 128, 4
-SLICE_BYTES = 2 << 20
 BLOCK = 1024
 _U = np.uint64
 _NONE = _U(2**64 - 1)
 
 
-def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``limit`` bytes of text in column 1."""
-    _, at = byte_view(batch.column(1))
-    i = 0
-    while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
-        yield batch.slice(i, j - i)
-        i = j
-
-
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's distinct shingles, ascending, and their offsets by
     row. A text of fewer words has its whole sequence as one shingle."""

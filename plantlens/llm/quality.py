@@ -9,14 +9,14 @@ of one text count as one document, since they say nothing about a line.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import byte_view, lower_ascii, mix64, span_hashes, word_spans, written
-from plantlens.llm.minhash import slices
+from plantlens.llm.common import byte_view, lower_ascii, mix64, slices, span_hashes, word_spans, written
 
 LEAST_WORDS = 50
 #: a line is over the limit in more than LEAST_DOCUMENTS documents of its host
@@ -138,71 +138,95 @@ def frequent_lines(df: DataFrame, least: int = LEAST_DOCUMENTS, share: float = S
     return counts.filter("line is not null").join(sizes, "host").filter(F.col("docs") > F.col("host_docs") * F.lit(share)).select("host", "line", "docs")
 
 
-def judge(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    least: int = LEAST_DOCUMENTS,
-    share: float = SHARE,
-    least_words: int = LEAST_WORDS,
-    texts: bool = False,
-) -> DataFrame:
+@dataclass
+class Verdict:
+    counts: dict[str, np.ndarray]
+    failed: np.ndarray
+    removed: np.ndarray
+    depleted: np.ndarray
+    #: for each text with a removed line, which of its lines that hold a word go
+    drop: dict[int, np.ndarray]
+
+    @property
+    def kept(self) -> np.ndarray:
+        return ~self.failed & ~self.depleted
+
+
+def verdict(texts: pa.Array, often: list[list[int] | None], least_words: int) -> Verdict:
+    counts, hashes, words, at = text_counts(texts)
+    removed, drop = np.zeros(len(texts), np.int64), {}
+    for i, lines in enumerate(often):
+        if lines:
+            gone = np.isin(hashes[at[i] : at[i + 1]], np.array(lines, np.int64))
+            if gone.any():
+                removed[i], drop[i] = words[at[i] : at[i + 1]][gone].sum(), gone
+    n = counts["n_words"]
+    failed = (n < LEAST_WORDS) | (100 * counts["n_repeat_words"] > 50 * n)
+    return Verdict(counts, failed, removed, (removed > 0) & (n - removed < least_words), drop)
+
+
+def without_lines(text: str, drop: np.ndarray) -> str:
+    flags = iter(drop.tolist())
+    return "\n".join([x for x in text.split("\n") if not x.strip(SPACES) or not next(flags)])
+
+
+FREQUENT = "frequent_lines_of_host"
+
+
+def _with_frequent(df: DataFrame, text_col: str, host_col: str, least: int, share: float) -> DataFrame:
+    """Each row with the lines over the limit of its host. A host has at most
+    (lines of a document) / ``share`` of them."""
+    often = frequent_lines(df, least, share, text_col, host_col).groupBy(F.col("host").alias(FREQUENT + "_")).agg(F.collect_list("line").alias(FREQUENT))
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+    return df.join(written(often, "often"), host == F.col(FREQUENT + "_"), "left").drop(FREQUENT + "_")
+
+
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
     """The verdict of every row.
 
     Returns doc_id, the counts of text_counts, base_failed (fewer than 50
     words, or over half of them in repeated windows), removed_words (in lines
     over the limit), depleted (words were removed and fewer than
-    ``least_words`` are left) and kept. With ``texts``, row_of_table (a struct
-    of the row) and cleaned_text (without those lines) come too. Null and empty
-    texts have no words and fail. Repeated rows are judged each, and alike.
-
-    A host has at most (lines of a document) / ``share`` lines over its limit;
-    they travel with its rows as an array.
+    ``least_words`` are left) and kept. Null and empty texts have no words and
+    fail. Repeated rows are judged each, and alike.
     """
-    often = frequent_lines(df, least, share, text_col, host_col).groupBy("host").agg(F.collect_list("line").alias("often"))
-    row = [F.struct(*[F.col(c) for c in df.columns]).alias("row_of_table")] if texts else []
-    docs = df.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
-        *row,
-    ).join(written(often, "often"), "host", "left").select("doc_id", "text", "often", *["row_of_table"] * texts)
-    names = ["doc_id", *COUNTS, "base_failed", "removed_words", "depleted", "kept"] + ["row_of_table", "cleaned_text"] * texts
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(host_col).alias("source"))
+    docs = _with_frequent(docs, "text", "source", least, share).drop("source")
+    names = ["doc_id", *COUNTS, "base_failed", "removed_words", "depleted", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                counts, hashes, words, at = text_counts(part.column(1))
-                removed = np.zeros(part.num_rows, np.int64)
-                cleaned: list[str] = part.column(1).to_pylist() if texts else []
-                for i, lines in enumerate(part.column(2).to_pylist()):
-                    if not lines:
-                        continue
-                    drop = np.isin(hashes[at[i] : at[i + 1]], np.array(lines, np.int64))
-                    removed[i] = words[at[i] : at[i + 1]][drop].sum()
-                    if texts and drop.any():
-                        flags = iter(drop.tolist())
-                        cleaned[i] = "\n".join([x for x in cleaned[i].split("\n") if not x.strip(SPACES) or not next(flags)])
-                n = counts["n_words"]
-                failed = (n < LEAST_WORDS) | (100 * counts["n_repeat_words"] > 50 * n)
-                depleted = (removed > 0) & (n - removed < least_words)
-                cols = [part.column(0), *[pa.array(counts[c].astype(np.int64)) for c in COUNTS], pa.array(failed), pa.array(removed), pa.array(depleted), pa.array(~failed & ~depleted)]
-                if texts:
-                    cols += [part.column(3), pa.array(cleaned, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, removed_words long, depleted boolean, kept boolean"
-    if texts:
-        schema += f", row_of_table {docs.schema['row_of_table'].dataType.simpleString()}, cleaned_text string"
-    return docs.mapInArrow(run, schema)
-
-
-def keep_good(df: DataFrame, text_col: str = "text", length_col: str = "n_chars", **more) -> DataFrame:
+                v = verdict(part.column(1), part.column(2).to_pylist(), least_words)
+                cols = [*[v.counts[c].astype(np.int64) for c in COUNTS], v.failed, v.removed, v.depleted, v.kept]
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols)], names=names)
+
+    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, removed_words long, depleted boolean, kept boolean")
+
+
+def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", length_col: str = "n_chars", least: int = LEAST_DOCUMENTS, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows that are kept, with their boilerplate lines removed and, if the
     table has it, their length in code points renewed. The columns stay."""
-    judged = judge(df, text_col=text_col, texts=True, **more).filter("kept")
-    new = {text_col: F.when(F.col("removed_words") > 0, F.col("cleaned_text")).otherwise(F.col(f"row_of_table.{text_col}"))}
-    if length_col in df.columns:
-        new[length_col] = F.when(F.col("removed_words") > 0, F.length("cleaned_text").cast(df.schema[length_col].dataType)).otherwise(F.col(f"row_of_table.{length_col}"))
-    return judged.select(*[new.get(c, F.col(f"row_of_table.`{c}`")).alias(c) for c in df.columns])
+    rows = _with_frequent(df, text_col, host_col, least, share)
+    names = df.columns
+    at, length = names.index(text_col), names.index(length_col) if length_col in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, column=at):
+                texts = part.column(at)
+                v = verdict(texts.fill_null("") if texts.null_count else texts, part.column(part.num_columns - 1).to_pylist(), least_words)
+                cols = list(part.columns[:-1])
+                if v.drop:
+                    new = texts.to_pylist()
+                    sizes = cols[length].to_pylist() if length is not None else []
+                    for i, gone in v.drop.items():
+                        new[i] = without_lines(new[i], gone)
+                        if length is not None:
+                            sizes[i] = len(new[i])
+                    cols[at] = pa.array(new, texts.type)
+                    if length is not None:
+                        cols[length] = pa.array(sizes, cols[length].type)
+                yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(v.kept))
+
+    return rows.mapInArrow(run, df.schema)

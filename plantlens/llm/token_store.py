@@ -28,6 +28,8 @@ from plantlens.llm.common import id_and_text, scratch_path, shuffle_partitions
 
 END = 2
 SEGMENT_TOKENS = 4_000_000
+#: Pieces that a Python worker keeps in each of two generations.
+PIECES = 400_000
 SCHEMA = (
     "part int, segment int, n_tokens long, doc_ids binary, counts binary, "
     "rank_ids binary, control binary, data binary"
@@ -82,7 +84,7 @@ class LibraryEncoder(PieceEncoder):
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        super().__init__(self._ids, {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()})
+        super().__init__(self._ids, {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}, PIECES)
 
     def _ids(self, piece: str) -> bytes:
         return np.array(self.lib.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()

@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import id_and_text, mix64, written
-from plantlens.llm.minhash import slices
+from plantlens.llm.common import filter_rows, id_and_text, mix64, slices, written
 
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 19
@@ -156,27 +155,32 @@ def fit(
     return Model(features, w * ratios, bias)
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """doc_id and score (0 to 1) of every row; with ``whole``, row_of_table too.
-    Null and empty texts get the score of no evidence. Repeated rows are scored
-    each. Labels, languages and sources are never read."""
-    row = [F.struct(*[F.col(c) for c in df.columns]).alias("row_of_table")] if whole else []
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *row)
+def scorer(model: Model) -> Callable[[list[str]], np.ndarray]:
+    """Scores of texts, from 0 to 1."""
     slots, weights, bias = model.table(), model.weights, model.bias
-    names = ["doc_id", "score"] + ["row_of_table"] * whole
+
+    def scores(texts: list[str]) -> np.ndarray:
+        owner, feature = ngrams(texts)
+        slot = slots[feature]
+        owner, slot = _distinct(owner[slot >= 0], slot[slot >= 0], max(1, len(weights)))
+        total = bias + (np.bincount(owner, weights[slot], len(texts)) if len(owner) else np.zeros(len(texts)))
+        return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+
+    return scores
+
+
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score (0 to 1) of every row. Null and empty texts get the
+    score of no evidence. Repeated rows are scored each. Labels, languages and
+    sources are never read."""
+    scores = scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                owner, feature = ngrams(part.column(1).to_pylist())
-                slot = slots[feature]
-                owner, slot = _distinct(owner[slot >= 0], slot[slot >= 0], max(1, len(weights)))
-                total = bias + (np.bincount(owner, weights[slot], part.num_rows) if len(owner) else np.zeros(part.num_rows))
-                p = pa.array(1 / (1 + np.exp(-np.clip(total, -40, 40))))
-                yield pa.RecordBatch.from_arrays([part.column(0), p, *([part.column(2)] if whole else [])], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(part.column(1).to_pylist()))], names=["doc_id", "score"])
 
-    schema = "doc_id long, score double" + (f", row_of_table {docs.schema['row_of_table'].dataType.simpleString()}" if whole else "")
-    return docs.mapInArrow(run, schema)
+    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
 LIMIT = 0.3
@@ -196,4 +200,5 @@ def score_toxicity(df: DataFrame, labels: DataFrame, limit: float = LIMIT, id_co
 def keep_civil(df: DataFrame, labels: DataFrame, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of a lesser score, unchanged."""
     model = fit(df, labels, lambda c: ~held_out(c), id_col=id_col, text_col=text_col)
-    return score(df, model, id_col, text_col, whole=True).filter(F.col("score") < limit).select("row_of_table.*")
+    scores = scorer(model)
+    return filter_rows(df, text_col, lambda texts: scores(texts) < limit)
