@@ -32,7 +32,7 @@ gone AS (SELECT doc_id, CAST(sum(k) AS BIGINT) AS removed_words FROM worded JOIN
 c AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, removed_words > 0 AND n_words - removed_words < {quality.LEAST_WORDS} AS depleted FROM c)
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, removed_words > CAST({quality.MOST_REMOVED} AS DOUBLE) * n_words AS depleted FROM c)
 SELECT *, NOT base_failed AND NOT depleted AS kept FROM f"""
 
 

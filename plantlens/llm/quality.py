@@ -2,7 +2,7 @@
 
 Every line is normalised and hashed. A line is boilerplate where the distinct
 documents of its host that hold it are over a limit; such lines are removed, and
-a document that then has too few words left is depleted and rejected. Copies
+a document that loses most of its words so is depleted and rejected. Copies
 of one text count as one document, since they say nothing about a line.
 """
 
@@ -22,6 +22,8 @@ LEAST_WORDS = 50
 #: a line is over the limit in more than LEAST_DOCUMENTS documents of its host
 #: and more than SHARE of the host's documents
 LEAST_DOCUMENTS, SHARE = 20, 0.08
+#: a document is depleted if over this share of its words stands in such lines
+MOST_REMOVED = 0.5
 _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -152,7 +154,7 @@ class Verdict:
         return ~self.failed & ~self.depleted
 
 
-def verdict(texts: pa.Array, often: list[list[int] | None], least_words: int) -> Verdict:
+def verdict(texts: pa.Array, often: list[list[int] | None], most_removed: float) -> Verdict:
     counts, hashes, words, at = text_counts(texts)
     removed, drop = np.zeros(len(texts), np.int64), {}
     for i, lines in enumerate(often):
@@ -162,7 +164,7 @@ def verdict(texts: pa.Array, often: list[list[int] | None], least_words: int) ->
                 removed[i], drop[i] = words[at[i] : at[i + 1]][gone].sum(), gone
     n = counts["n_words"]
     failed = (n < LEAST_WORDS) | (100 * counts["n_repeat_words"] > 50 * n)
-    return Verdict(counts, failed, removed, (removed > 0) & (n - removed < least_words), drop)
+    return Verdict(counts, failed, removed, removed > most_removed * n, drop)
 
 
 def without_lines(text: str, drop: np.ndarray) -> str:
@@ -181,14 +183,13 @@ def _with_frequent(df: DataFrame, text_col: str, host_col: str, least: int, shar
     return df.join(written(often, "often"), host == F.col(FREQUENT + "_"), "left").drop(FREQUENT + "_")
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, most_removed: float = MOST_REMOVED) -> DataFrame:
     """The verdict of every row.
 
     Returns doc_id, the counts of text_counts, base_failed (fewer than 50
     words, or over half of them in repeated windows), removed_words (in lines
-    over the limit), depleted (words were removed and fewer than
-    ``least_words`` are left) and kept. Null and empty texts have no words and
-    fail. Repeated rows are judged each, and alike.
+    over the limit), depleted (these are over ``most_removed`` of its words)
+    and kept. Null and empty texts have no words and fail. Repeated rows are judged each, and alike.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(host_col).alias("source"))
     docs = _with_frequent(docs, "text", "source", least, share).drop("source")
@@ -197,14 +198,14 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                v = verdict(part.column(1), part.column(2).to_pylist(), least_words)
+                v = verdict(part.column(1), part.column(2).to_pylist(), most_removed)
                 cols = [*[v.counts[c].astype(np.int64) for c in COUNTS], v.failed, v.removed, v.depleted, v.kept]
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols)], names=names)
 
     return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, removed_words long, depleted boolean, kept boolean")
 
 
-def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", length_col: str = "n_chars", least: int = LEAST_DOCUMENTS, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
+def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", length_col: str = "n_chars", least: int = LEAST_DOCUMENTS, share: float = SHARE, most_removed: float = MOST_REMOVED) -> DataFrame:
     """The rows that are kept, with their boilerplate lines removed and, if the
     table has it, their length in code points renewed. The columns stay."""
     rows = _with_frequent(df, text_col, host_col, least, share)
@@ -215,7 +216,7 @@ def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", l
         for batch in batches:
             for part in slices(batch, column=at):
                 texts = part.column(at)
-                v = verdict(texts.fill_null("") if texts.null_count else texts, part.column(part.num_columns - 1).to_pylist(), least_words)
+                v = verdict(texts.fill_null("") if texts.null_count else texts, part.column(part.num_columns - 1).to_pylist(), most_removed)
                 cols = list(part.columns[:-1])
                 if v.drop:
                     new = texts.to_pylist()

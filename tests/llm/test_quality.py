@@ -65,7 +65,7 @@ def test_counts_and_verdicts(spark, odd_texts):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, chars, symbols, dup, repeat, failed), text[r.doc_id][:80]
         gone = sum(len(x.split()) for x in lines_of(text[r.doc_id]) if (host[r.doc_id], x) in often)
         assert r.removed_words == gone
-        assert r.kept == (not failed and not (gone and n - gone < 50))
+        assert r.kept == (not failed and not gone > 0.5 * n)
 
 
 def test_cleaned_rows_keep_their_columns(spark):
