@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plantlens.llm.bpe import PieceEncoder
+from plantlens.llm.bpe import PieceEncoder, printable_bytes
 from plantlens.llm.common import id_and_text, scratch_path, shuffle_partitions
 
 END = 2
@@ -82,11 +82,16 @@ class LibraryEncoder(PieceEncoder):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.shown = {b: c for c, b in printable_bytes().items()}
         self.lib.no_truncation()
         self.lib.no_padding()
         super().__init__(self._ids, {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}, PIECES)
 
     def _ids(self, piece: str) -> bytes:
+        word = piece.removeprefix(" ")
+        if word.isalpha() and max(word) < "\u0250":  # one word of the pattern: the library's model alone
+            tokens = self.lib.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))
+            return np.array([t.id for t in tokens], "<u4").tobytes()
         return np.array(self.lib.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
 
