@@ -45,7 +45,9 @@ EVENT = ["event_id", "station_id", "vision_result", "defect_code", "inspection_p
 # ---- sources and sinks ----------------------------------------------------
 def _as_csv(p: Plant, name: str) -> str:
     path = tables.scratch_path(p.spark, name)
-    p.source(name).write.option("header", True).csv(path)
+    df = p.source(name)
+    times = {c: F.col(c).cast("string") for c, kind in df.dtypes if kind.startswith("timestamp")}  # to the microsecond
+    df.withColumns(times).write.option("header", True).csv(path)
     return path
 
 
