@@ -129,10 +129,8 @@ def line_sets(df: DataFrame, text_col: str, host_col: str) -> DataFrame:
     return docs.mapInArrow(run, "host string, content long, lines array<long>")
 
 
-def frequent_lines(df: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """host, line (its hash) and docs of every line over the limit. Rows of a
-    host with the same text count once. Null counts as the host of no name."""
-    once = line_sets(df, text_col, host_col).dropDuplicates(["host", "content"])
+def _over_limit(once: DataFrame, least: int, share: float) -> DataFrame:
+    """host, line and docs of the lines over the limit in distinct line sets."""
     # each line beside a row for the document itself, so that one pass counts both
     counted = once.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "lines")).alias("line"))
     counts = written(counted.groupBy("host", "line").agg(F.count("*").alias("docs")).filter((F.col("docs") > least) | F.col("line").isNull()), "lines")
@@ -140,6 +138,12 @@ def frequent_lines(df: DataFrame, least: int = LEAST_DOCUMENTS, share: float = S
     return counts.filter("line is not null").join(sizes, "host").filter(F.col("docs") > F.col("host_docs") * F.lit(share)).select("host", "line", "docs")
 
 
+def frequent_lines(df: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """host, line (its hash) and docs of every line over the limit. Rows of a
+    host with the same text count once. Null counts as the host of no name."""
+    return _over_limit(line_sets(df, text_col, host_col).dropDuplicates(["host", "content"]), least, share)
+
+
 @dataclass
 class Verdict:
     counts: dict[str, np.ndarray]
@@ -172,15 +176,18 @@ def without_lines(text: str, drop: np.ndarray) -> str:
     return "\n".join([x for x in text.split("\n") if not x.strip(SPACES) or not next(flags)])
 
 
-FREQUENT = "frequent_lines_of_host"
+FREQUENT, HOST, CONTENT = "frequent_lines_of_text", "frequent_lines_host", "frequent_lines_content"
 
 
 def _with_frequent(df: DataFrame, text_col: str, host_col: str, least: int, share: float) -> DataFrame:
-    """Each row with the lines over the limit of its host. A host has at most
-    (lines of a document) / ``share`` of them."""
-    often = frequent_lines(df, least, share, text_col, host_col).groupBy(F.col("host").alias(FREQUENT + "_")).agg(F.collect_list("line").alias(FREQUENT))
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    return df.join(written(often, "often"), host == F.col(FREQUENT + "_"), "left").drop(FREQUENT + "_")
+    """Each row with those of its own lines that are over the limit of its
+    host, so no list is longer than a text, whatever the limits are."""
+    once = written(line_sets(df, text_col, host_col).dropDuplicates(["host", "content"]), "line-sets")
+    often = _over_limit(once, least, share).select("host", "line")
+    lines = once.select("host", "content", F.explode("lines").alias("line"))
+    held = lines.join(often, ["host", "line"]).groupBy(F.col("host").alias(HOST), F.col("content").alias(CONTENT)).agg(F.collect_list("line").alias(FREQUENT))
+    host, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (host_col, text_col))
+    return df.join(written(held, "often"), (host == F.col(HOST)) & (F.xxhash64(text) == F.col(CONTENT)), "left").drop(HOST, CONTENT)
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, most_removed: float = MOST_REMOVED) -> DataFrame:

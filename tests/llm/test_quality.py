@@ -82,5 +82,14 @@ def test_cleaned_rows_keep_their_columns(spark):
         assert r.text == "\n".join(want) and r.n_chars == len(r.text)
 
 
+def test_rows_get_only_their_own_frequent_lines(spark):
+    """A list of all frequent lines of a host would have no bound without a share."""
+    rows = [(i, f"shared {i // 3}\nalone {i}", "a") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert quality.frequent_lines(df, 2, 0.0).count() == 20
+    got = quality._with_frequent(df, "text", "source", 2, 0.0).collect()
+    assert len(got) == len(rows) and all(len(r[quality.FREQUENT]) == 1 for r in got)
+
+
 def test_empty_table(docs_of):
     assert quality.judge(docs_of(["a"]).limit(0)).count() == 0
