@@ -756,11 +756,4 @@ def stream_frozen_gauge(p):
     """On first looks of two digits, each id once, in one trigger."""
     path = tables.scratch_path(p.spark, "gauge")
     p.looks.withColumn("feature_dim_mm", F.round("feature_dim_mm", 1)).write.parquet(path)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    old = p.spark.conf.get(key)
-    p.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        feed = stream.read_stream(p.spark, path, tables.EVENT_SCHEMA)
-        return _run(p, stream.frozen_gauge(feed), "gauge", "append")
-    finally:
-        p.spark.conf.set(key, old)
+    return stream.run_held_readings(stream.read_stream(p.spark, path, tables.EVENT_SCHEMA), tables.scratch_path(p.spark, "gauge-rows"))

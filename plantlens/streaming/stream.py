@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 from plantlens.functions.scalar import failed
 from plantlens.operators import spc
+from plantlens.sources import tables
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 1000) -> DataFrame:
@@ -49,39 +47,66 @@ def phase2_score(days: DataFrame, limits: DataFrame) -> DataFrame:
     return spc.phase2_score(days, limits)
 
 
-class HeldReadings(StatefulProcessor):
-    """Marks a third identical reading in a row; keeps two readings a station.
-    Rows of one trigger are put in order of ts and event_id."""
+LAST = "station_id string, last struct<v: double>, prev struct<v: double>"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "a double, b double")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        a, b = self.last.get() if self.last.exists() else (None, None)
-        held = []
-        for v in new["feature_dim_mm"]:
-            held.append(a is not None and b is not None and v == a == b)
-            a, b = b, float(v)
-        self.last.update((a, b))
-        yield pd.DataFrame({"event_id": new["event_id"], "station_id": key[0], "held": held})
+def held_readings(rows: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """event_id, station_id and held: is it the third identical reading in a row,
+    in order of ts and event_id? Second, the last two readings of each station
+    (LAST), as ``before`` holds those from earlier rows.
 
-    def close(self) -> None:
-        pass
+    Readings are compared within a station and day. What the days before carry
+    in is found over one row a station and day, so no task holds a station.
+    """
+    rows = rows.select("event_id", "station_id", "ts", F.struct(F.col("feature_dim_mm").alias("v")).alias("v"), F.to_date("ts").alias("_b"))
+    day = W.partitionBy("station_id", "_b").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    near = rows.withColumns({"_n": F.row_number().over(day), "_1": F.lag("v", 1).over(day), "_2": F.lag("v", 2).over(day), "_next": F.lead("v", 1).over(day)})
+    ends = near.filter("_next is null").select("station_id", "_b", F.lit(1).alias("_new"), F.col("v").alias("last"), F.col("_1").alias("prev"))
+    ends = ends.union(before.select("station_id", F.lit(None).cast("date"), F.lit(0), "last", "prev"))
+    days = W.partitionBy("station_id").orderBy("_new", F.asc_nulls_last("_b"))
+    carried = ends.withColumns({"_c1": F.lag("last", 1).over(days), "_c2": F.coalesce(F.lag("prev", 1).over(days), F.lag("last", 2).over(days)), "_after": F.lead("last", 1).over(days)})
+    after = carried.filter("_after is null").select("station_id", "last", F.coalesce("prev", "_c1").alias("prev"))
+    into = carried.filter("_new = 1").select(F.col("station_id").alias("_s"), F.col("_b").alias("_d"), "_c1", "_c2")
+    joined = near.join(into, F.col("station_id").eqNullSafe(F.col("_s")) & F.col("_b").eqNullSafe(F.col("_d")))
+    one = F.coalesce("_1", "_c1")
+    two = F.coalesce("_2", F.when(F.col("_n") == 1, F.col("_c2")).when(F.col("_n") == 2, F.col("_c1")))
+    same = (F.col("v.v") == one["v"]) & (F.col("v.v") == two["v"]) & ~F.isnan("v.v")
+    return joined.select("event_id", "station_id", F.coalesce(same, F.lit(False)).alias("held")), after
 
 
-def frozen_gauge(feed: DataFrame) -> DataFrame:
-    """Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass)."""
-    return feed.groupBy("station_id").transformWithStateInPandas(HeldReadings(), "event_id string, station_id string, held boolean", "Append", "None")
+def run_held_readings(feed: DataFrame, path: str) -> DataFrame:
+    """Runs held_readings on a feed to its present end and reads the rows. Every
+    trigger writes its rows and the stations' last readings under its number,
+    so one that is run again replaces what it wrote."""
+    spark = feed.sparkSession
 
+    def trigger(rows: DataFrame, number: int) -> None:
+        before = spark.read.schema(LAST).parquet(f"{path}/last/{number - 1}") if number else spark.createDataFrame([], LAST)
+        held, after = held_readings(rows, before)
+        held.write.mode("overwrite").parquet(f"{path}/rows/trigger={number}")
+        after.write.mode("overwrite").parquet(f"{path}/last/{number}")
 
-def run_available(result: DataFrame, path: str, name: str, mode: str = "update") -> DataFrame:
-    """Runs a feed to its present end into a table of the session, and reads it."""
-    query = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", path).trigger(availableNow=True).start()
+    _to_end(feed.writeStream.foreachBatch(trigger), f"{path}/state")
+    return tables.optional_source(spark, f"{path}/rows", "event_id string, station_id string, held boolean").drop("trigger")
+
+
+def _to_end(writer: DataStreamWriter, state: str) -> None:
+    query = writer.option("checkpointLocation", state).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
         if query.exception():
             raise query.exception()
-        return result.sparkSession.table(name)
     finally:
         query.stop()
+
+
+def run_available(result: DataFrame, path: str, name: str, mode: str = "update") -> DataFrame:
+    """Runs a feed to its present end and reads the result. Appended rows may be
+    as many as the feed has and go to Parquet files beside the state; updated
+    ones (a row a station and window) to a table of the session."""
+    spark = result.sparkSession
+    if mode == "append":
+        _to_end(result.writeStream.format("parquet").option("path", f"{path}/rows").outputMode(mode), f"{path}/state")
+        return spark.read.schema(result.schema).parquet(f"{path}/rows")
+    _to_end(result.writeStream.format("memory").queryName(name).outputMode(mode), path)
+    return spark.table(name)
