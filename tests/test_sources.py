@@ -51,3 +51,15 @@ def test_report_is_one_row_of_structs(spark, tmp_path):
 def test_extracts_grow_with_the_events(spark, name):
     small, large = (extract(spark, f"/root/testdata/{sf}", name).count() for sf in ("sf0.001", "sf0.01"))
     assert 0 < small <= large
+
+
+def test_long_ids_stay_whole(spark, tmp_path):
+    ids = [1, 999_999, 1_000_000, *range(10_000_000, 10_000_010), 123_456_789_012]
+    one = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(1).drop("event_id")
+    events = spark.createDataFrame([(i,) for i in ids], "event_id long").crossJoin(one)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    rows = extract(spark, str(tmp_path), "inspections").select("event_id", "serial_number").distinct().collect()
+    assert sorted(r.event_id for r in rows) == sorted(f"EVT-{i:07d}" for i in ids)
+    serials = [r.serial_number for r in rows if r.serial_number]
+    assert len(set(serials)) == len(serials) == sum(i % 97 != 0 for i in ids)
+    assert {s.rsplit("-", 1)[1] for s in serials} == {f"{i:06d}" for i in ids if i % 97}
