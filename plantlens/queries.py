@@ -209,8 +209,8 @@ def station_scorecard(p):
 
 @query
 def scorecard_assemble(p):
-    """Stations without a reading in the window stay."""
-    return p.looks.groupBy("station_id").agg(F.count("*").alias("n")).join(spc.capability(p.looks.filter("station_id <> 'S9'")).select("station_id", "cpk"), "station_id", "left")
+    """Stations without a valid reading stay."""
+    return p.looks.groupBy("station_id").agg(F.count("*").alias("n")).join(spc.capability(p.looks).select("station_id", "cpk"), "station_id", "left")
 
 
 @query
