@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from plantlens.llm.common import UPPER, Scratch, written
 
-DAMPING, ROUNDS, BLOCK_SHARE = 0.85, 8, 0.5
+DAMPING, ROUNDS, BLOCK_SHARE = 0.85, 8, 0.5  # ROUNDS: those of the SQL twin
+#: Ranks are done when a round changes them by less than this in all. What is
+#: left to change is then below damping / (1 - damping) times as much.
+TOLERANCE = 1e-10
 #: Rules up to this number are part of each row's expression; more are joined.
 INLINE = 64
 
@@ -83,25 +86,30 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.union(up).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def host_ranks(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, trust and distrust after so many rounds. seeds: host, kind (trust
-    or distrust) and weight. What a host without edges would pass on is lost."""
+def host_ranks(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """host, trust and distrust, to a summed change below ``tolerance``. seeds:
+    host, kind (trust or distrust) and weight. What a host without edges would
+    pass on is lost, so every round changes the ranks by at most ``damping``
+    times what the one before did: for 1e-10 there are about 140 at most."""
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("distrust"), "dst", "src", "weight"))
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
     steps = written(both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out")).alias("part")), "steps")
     totals = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
     start = written(seeds.join(totals, "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("rank")), "seeds")
-    home = start.select("kind", "host", (F.col("rank") * F.lit(1 - damping)).alias("rank"))
-    held = Scratch(start, "ranks")
-    for _ in range(rounds):
-        moved = held.df.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("part") * F.lit(damping)).alias("rank"))
-        new = Scratch(home.union(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks")
+    none = F.lit(0.0)
+    home = start.select("kind", "host", (F.col("rank") * F.lit(1 - damping)).alias("rank"), none.alias("was"))
+    held, change = Scratch(start, "ranks"), 1.0
+    while change >= tolerance:
+        now = held.df
+        moved = now.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("part") * F.lit(damping)).alias("rank"), none.alias("was"))
+        every = home.union(moved).union(now.select("kind", "host", none, "rank"))
+        new = Scratch(every.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")), "ranks")
         held.drop()
-        held = new
+        held, change = new, new.df.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
     return held.df.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
 
 
-def judge_urls(df: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int = ROUNDS, share: float = BLOCK_SHARE) -> DataFrame:
+def judge_urls(df: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tolerance: float = TOLERANCE, share: float = BLOCK_SHARE) -> DataFrame:
     """The verdict on every url: page_id, host, path, rule (the longest that
     fits, else null), verdict (allow or block), trust and distrust of the host.
 
@@ -116,7 +124,7 @@ def judge_urls(df: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page
     kind = F.when(F.col("action") == "allow", "trust").otherwise("distrust")
     seeds = ruled.filter("rule is not null and host <> ''").groupBy(kind.alias("kind"), "host").agg(F.count("*").cast("double").alias("weight"))
     edges = written(host_edges(pages), "edges")
-    ranks = host_ranks(edges, seeds, rounds)
+    ranks = host_ranks(edges, seeds, tolerance)
     total = F.col("trust") + F.col("distrust")
     blocked = F.coalesce(F.col("distrust") > F.lit(share) * total, F.lit(False))
     return ruled.join(ranks, "host", "left").select(

@@ -116,6 +116,20 @@ def test_verdicts_against_plain_ranks(spark, monkeypatch, inline):
     assert {r.verdict for r in got if not r.rule} == {"allow", "block"}
 
 
+def test_ranks_reach_the_end_of_long_chains_and_settle_in_rings(spark):
+    """Thirteen hosts in a chain to a blocked one; a ring of two that a seed feeds."""
+    link = lambda x: f'<a href="http://{x}/">'
+    rows = [(i, f"http://n{i}.test/", link(f"n{i + 1}.test")) for i in range(13)] + [(13, "http://n13.test/bad", None)]
+    rows += [(20, "http://a.ring/good", link("b.ring")), (21, "http://b.ring/", link("a.ring"))]
+    rules = [url_filter.rule("block", "n13.test/bad"), url_filter.rule("allow", "a.ring/good")]
+    got = {r.host: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules, tolerance=1e-3).collect()}
+    d = url_filter.DAMPING
+    for i in range(14):
+        assert got[f"n{i}.test"].verdict == "block"
+        assert abs(got[f"n{i}.test"].distrust - (1 - d) * d ** (13 - i)) < 1e-9
+    assert abs(got["a.ring"].trust - 1 / (1 + d)) < 6e-3 and abs(got["b.ring"].trust - d / (1 + d)) < 6e-3
+
+
 def test_empty_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.judge_urls(df).count() == 0 and html_text.extract_text(df).count() == 0
