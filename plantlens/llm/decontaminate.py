@@ -28,10 +28,18 @@ _B = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+def lower_each(text: str) -> str:
+    """Lower case, but for code points whose lower case is longer (U+0130)."""
+    longer = {c for c in set(text) if len(c.lower()) != 1}
+    # in their place a letter, so that their neighbours' lower case is that of a word's middle
+    low = "".join("I" if c in longer else c for c in text).lower()
+    return "".join(c if c in longer else x for c, x in zip(text, low))
+
+
 def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points in lower case with white space runs as one space, the row of
     each, and its place in the row's own text."""
-    low = [x if len(x := t.lower()) == len(t) else t for t in texts]
+    low = [x if len(x := t.lower()) == len(t) else lower_each(t) for t in texts]
     points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) for t in texts], np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes)
@@ -59,6 +67,10 @@ def qgrams(points: np.ndarray, owner: np.ndarray, q: int = Q) -> tuple[np.ndarra
     return mix64(out), owner[:k] == owner[q - 1 :][:k] if k else np.zeros(0, bool)
 
 
+def as_text(points: np.ndarray) -> str:
+    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 @dataclass
 class Items:
     """Benchmark items and an index of their q-grams."""
@@ -83,6 +95,27 @@ class Items:
         self.keys, self.first, self.count = np.unique(h[at], return_index=True, return_counts=True)
         self.mask = np.zeros(1 << FILTER_BITS, bool)
         self.mask[(self.keys & _U((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+        # items of fewer than q characters have no q-gram: they are looked for as they are
+        self.short: dict[int, dict[str, list[int]]] = {}
+        for i, p in enumerate(self.points):
+            if 0 < len(p) < self.q and (t := as_text(p).strip(" ")):
+                self.short.setdefault(len(t), {}).setdefault(t, []).append(i)
+        self.short_keys = {n: np.sort(qgrams(*normalise(["".join(ts)])[:2], n)[0][::n]) for n, ts in self.short.items()}
+
+    def short_places(self, points: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, first and last place + 1 among all points) of the items of
+        fewer than q characters, where no word goes on beyond them."""
+        for n, keys in self.short_keys.items():
+            h, inside = qgrams(points, owner, n)
+            slot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            for a in np.flatnonzero((keys[slot] == h) & inside).tolist():
+                b, row = a + n, int(owner[a])
+                t = as_text(points[a:b])
+                before = a > 0 and owner[a - 1] == row and chr(points[a - 1]).isalnum() and t[0].isalnum()
+                after = b < len(points) and owner[b] == row and chr(points[b]).isalnum() and t[-1].isalnum()
+                if not before and not after:
+                    for item in self.short[n].get(t, ()):
+                        yield row, item, a, b
 
     def regions(self, points: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, first and last diagonal) of every band over the bound.
@@ -172,6 +205,8 @@ class Items:
             got = self.align(item, text, low - a - cut, high - a - cut)
             if got:
                 found.setdefault((row, item), []).append((got[0], got[1] + cut, got[2] + cut))
+        for row, item, s, e in self.short_places(points, owner):
+            found.setdefault((row, item), []).append((0, s - int(bounds[row]), e - int(bounds[row])))
         out = []
         for (row, item), ms in found.items():
             taken: list[tuple[int, int]] = []
@@ -184,7 +219,7 @@ class Items:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, chars: int) -> Iterator[Items]:
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter(F.length("t") >= Q)
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter(F.length("t") > 0)
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-total // chars)
     for b in range(n):
@@ -200,8 +235,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     An item may differ by a tenth of its characters, less for items so short
     that the bound of the lemma would be lost; upper case and white space do
-    not count. Items of fewer than Q characters, and null items, are not looked
-    for. Null and empty texts hold nothing; repeated rows give repeated
+    not count. Items of fewer than Q characters are found without edits and where
+    no word goes on beyond them; null and blank items are not looked for. Null and empty texts hold nothing; repeated rows give repeated
     matches. The benchmark is split by a hash of its items into blocks of about
     ``chars`` characters; each block is one pass over the documents.
     """

@@ -89,6 +89,25 @@ def test_odd_rows(docs_of, odd_texts, spark):
     assert dc.find_leaks(docs_of(texts), items.limit(0)).count() == 0
 
 
+def test_case_does_not_count_beside_letters_of_longer_lower_case(docs_of, spark):
+    item = "some passage to look for here, with acronyms in it such as nasa and unesco"
+    text = "\u0130stanbul: " + item.upper()
+    rows = dc.find_leaks(docs_of([text]), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.item_id, r.start_char, r.end_char, r.edits) for r in rows] == [(1, 10, len(text), 0)]
+    assert dc.lower_each("\u0391\u03a3\u0130 \u0391\u03a3") == "\u03b1\u03c3\u0130 \u03b1\u03c2"
+
+
+def test_short_items_are_found_between_words(docs_of, spark):
+    items = spark.createDataFrame([(1, "Yes"), (2, " x  = 1\n"), (3, "a"), (3, "a"), (4, "(b)"), (5, "  "), (6, "yes")], "item_id long, text string")
+    texts = ["oh YES, yes; yesterday", "x =\t1 and x = 12", "fa(b)c", "eyes", None, "a"]
+    want = {(0, k, s, e) for k in (1, 6) for s, e in ((3, 6), (8, 11))} | {(1, 2, 0, 5), (2, 4, 2, 5), (5, 3, 0, 1)}
+    for chars in (dc.BLOCK_CHARS, 4):
+        got = dc.find_leaks(docs_of(texts), items, chars=chars).collect()
+        assert sorted((r.doc_id, r.item_id, r.start_char, r.end_char) for r in got) == sorted(want)
+        assert all(r.edits == 0 for r in got)
+        assert sorted(r.doc_id for r in dc.drop_leaks(docs_of(texts), items, chars=chars).collect()) == [3, 4]
+
+
 @pytest.mark.parametrize("q", [1, 3, 8, 11])
 def test_qgram_hashes(q):
     points = np.frombuffer("abcabcabcabcabd".encode("utf-32-le"), np.uint32)
