@@ -12,14 +12,13 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from plantlens.llm.common import id_and_text
+from plantlens.llm.common import id_and_text, keep_in_worker, map_batches, slices
 
 #: Fixed value: how byte-level BPE cuts a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -173,10 +172,9 @@ class Encoder(PieceEncoder):
         return b"".join(map(self.pairs.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder for all tasks that a Python worker runs in turn."""
-    return Encoder(path)
+    """One encoder for all tasks of a stage that a Python worker runs in turn."""
+    return keep_in_worker(f"pairs of {path}", lambda: Encoder(path))
 
 
 def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
@@ -190,22 +188,22 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * ids
         for batch in batches:
-            counts, digests, texts, all_ids = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                raw = enc.encode(text)
-                back = np.frombuffer(raw, "<u4").tolist()
-                counts.append(len(back))
-                digests.append(hashlib.sha256(raw).hexdigest())
-                texts.append(hashlib.sha256(enc.decode(back).encode()).hexdigest())
+            for part in slices(batch):
+                counts, digests, texts, coded = [], [], [], []
+                for text in part.column(1).to_pylist():
+                    raw = enc.encode(text)
+                    counts.append(len(raw) // 4)
+                    digests.append(hashlib.sha256(raw).hexdigest())
+                    texts.append(hashlib.sha256(enc.decode(np.frombuffer(raw, "<u4").tolist()).encode()).hexdigest())
+                    if ids:
+                        coded.append(raw)
+                cols = [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
                 if ids:
-                    all_ids.append(back)
-            cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                cols.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("token_ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                    flat = pa.array(np.frombuffer(b"".join(coded), "<i4"))
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), flat))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
-    return id_and_text(df, id_col, text_col).mapInArrow(run, schema)
+    return map_batches(id_and_text(df, id_col, text_col), run, schema)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder that the cluster names in
-    ``spark.checkpoint.dir``; only where that is unset (a local test session)
-    a temporary folder becomes the setting."""
+    ``spark.checkpoint.dir``. Where that is unset, it is below the warehouse,
+    or, if driver and executors are one process, in a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if not root and spark.sparkContext.master.split("[")[0] == "local":
         root = tempfile.mkdtemp(prefix="plantlens-")
         spark.conf.set("spark.checkpoint.dir", root)
+    root = root or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/plantlens-{tag}-{uuid.uuid4().hex}"
 
 
@@ -148,7 +152,48 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(at, start, "right") - 1
 
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
+#: Bytes of one Arrow batch that Spark hands to a Python worker.
+BATCH_BYTES = 4 << 20
+_kept: dict[str, Any] = {}
+
+
+def keep_in_worker(name: str, make: Callable[[], Any]) -> Any:
+    """One object for all tasks of a stage that a Python worker runs in turn;
+    it goes when the worker gets a task of another stage."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def _give_back() -> None:
+    """Memory that is free again goes back to the machine, since the worker
+    lives on and shares an executor with the next stage."""
+    global _powers
+    _powers = np.ones(1, _U64), np.ones(1, _U64)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent where the C library is not GNU's
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_BYTES, so that a worker never
+    holds thousands of whole texts, and with little left in it after a task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stage = TaskContext.get().stageId()
+        if _kept.get("stage") != stage:
+            _kept.clear()
+            _kept["stage"] = stage
+            _give_back()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES, column: int = 1) -> Iterator[pa.RecordBatch]:
@@ -172,4 +217,4 @@ def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list[str]], np.nda
             for part in slices(batch, column=at):
                 yield part.filter(pa.array(keep([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import filter_rows, mix64, slices
+from plantlens.llm.common import filter_rows, map_batches, mix64, slices
 
 Q, EDIT_SHARE = 8, 0.1
 #: Characters of benchmark items that one pass over the documents looks for.
@@ -253,7 +253,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", "item_id", "start_char", "end_char", "edits"])
 
-        some = docs.mapInArrow(run, schema)
+        some = map_batches(docs, run, schema)
         out = some if out is None else out.union(some)
     return out if out is not None else df.sparkSession.createDataFrame([], schema)
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantlens.llm.common import map_batches
+
 #: Elements whose content is never text of the page.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "select", "textarea", "head", "title", "button"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "svg", "template", "select"}
@@ -270,4 +272,4 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             texts = [main_text(p) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(pages, run, "page_id long, url string, text string, n_chars long")

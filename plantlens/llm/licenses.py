@@ -15,7 +15,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plantlens.llm.common import id_and_text, text_bytes
+from plantlens.llm.common import id_and_text, map_batches, text_bytes
 
 #: Phrases and the labels they give.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -225,4 +225,4 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], names=names)
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label string, first_word long, last_word long, share double>>"
-    return id_and_text(df, id_col, text_col).mapInArrow(run, schema)
+    return map_batches(id_and_text(df, id_col, text_col), run, schema)

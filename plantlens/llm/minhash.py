@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import byte_view, id_and_text, lower_ascii, mix64, slices, span_hashes, word_spans, written
+from plantlens.llm.common import byte_view, id_and_text, lower_ascii, map_batches, mix64, slices, span_hashes, word_spans, written
 from plantlens.llm.graph import connected_components
 
 BINS, ROWS = 128, 4
@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_a", "set_b", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return map_batches(docs, run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -126,7 +126,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return map_batches(docs, run, "doc_id long, shingles array<long>")
 
 
 def block_links(ids: np.ndarray, comp: np.ndarray, flat: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -304,4 +304,4 @@ def _residual_links(buckets: DataFrame, stars: DataFrame, sets: DataFrame, perce
     groups = F.when(whole, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(meets)
     dealt = work.select("key", "rep", "comp", F.explode(groups).alias("at")).select(F.xxhash64("key", "at.x", "at.y").alias("g"), "rep", "comp")
     full = dealt.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("g", "rep", "comp", "shingles")
-    return full.repartition("g").sortWithinPartitions("g").mapInArrow(_links_of_groups(percent), "u long, v long")
+    return map_batches(full.repartition("g").sortWithinPartitions("g"), _links_of_groups(percent), "u long, v long")

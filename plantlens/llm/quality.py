@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import byte_view, lower_ascii, mix64, slices, span_hashes, word_spans, written
+from plantlens.llm.common import byte_view, lower_ascii, map_batches, mix64, slices, span_hashes, word_spans, written
 
 LEAST_WORDS = 50
 #: a line is over the limit in more than LEAST_DOCUMENTS documents of its host
@@ -126,7 +126,7 @@ def line_sets(df: DataFrame, text_col: str, host_col: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[new]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["host", "content", "lines"])
 
-    return docs.mapInArrow(run, "host string, content long, lines array<long>")
+    return map_batches(docs, run, "host string, content long, lines array<long>")
 
 
 def _over_limit(once: DataFrame, least: int, share: float) -> DataFrame:
@@ -209,7 +209,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
                 cols = [*[v.counts[c].astype(np.int64) for c in COUNTS], v.failed, v.removed, v.depleted, v.kept]
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, cols)], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, removed_words long, depleted boolean, kept boolean")
+    return map_batches(docs, run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, removed_words long, depleted boolean, kept boolean")
 
 
 def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", length_col: str = "n_chars", least: int = LEAST_DOCUMENTS, share: float = SHARE, most_removed: float = MOST_REMOVED) -> DataFrame:
@@ -237,4 +237,4 @@ def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", l
                         cols[length] = pa.array(sizes, cols[length].type)
                 yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(v.kept))
 
-    return rows.mapInArrow(run, df.schema)
+    return map_batches(rows, run, df.schema)

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plantlens.llm.bpe import encoder
-from plantlens.llm.common import id_and_text
+from plantlens.llm.common import id_and_text, map_batches
 
 BLOCK = 1024
 
@@ -33,7 +33,7 @@ def document_lengths(df: DataFrame, tokenizer: str, group_cols: Sequence[str] =
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds.get(c, 'bigint')}" for c in names)
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def length_histogram(lengths: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:

@@ -14,7 +14,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plantlens.llm.bpe import PieceEncoder, printable_bytes
-from plantlens.llm.common import id_and_text, scratch_path, shuffle_partitions
+from plantlens.llm.common import id_and_text, keep_in_worker, map_batches, scratch_path, shuffle_partitions
 
 END = 2
 SEGMENT_TOKENS = 4_000_000
@@ -95,9 +94,8 @@ class LibraryEncoder(PieceEncoder):
         return np.array(self.lib.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@lru_cache(maxsize=1)
 def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+    return keep_in_worker(f"library of {path}", lambda: LibraryEncoder(path))
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -137,7 +135,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = END, id
             yield flush()
 
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
+    map_batches(ordered, run, SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
@@ -177,7 +175,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                 for i in range(0, len(n), 10_000):
                     yield whole.slice(i, 10_000)
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * ids)
+    return map_batches(placed, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * ids)
 
 
 def store_tokens(df: DataFrame, tokenizer: str, path: str | None = None, **more) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import filter_rows, id_and_text, mix64, slices, written
+from plantlens.llm.common import filter_rows, id_and_text, map_batches, mix64, slices, written
 
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 19
@@ -132,7 +132,7 @@ def fit(
     share = (a + b) / F.lit(n0 + n1 + 2 * SMOOTHING)
     gain = a * F.log(a / F.lit(n1 + SMOOTHING) / share) + b * F.log(b / F.lit(n0 + SMOOTHING) / share)
     ratio = F.log(a / F.lit(n1 + 2 * SMOOTHING)) - F.log(b / F.lit(n0 + 2 * SMOOTHING))
-    counted = rows.mapInArrow(_counts, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = map_batches(rows, _counts, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     best = counted.filter("n0 + n1 >= 3").select("feature", ratio.alias("ratio"), gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(FEATURES).toPandas()
     best = best.sort_values("feature")
     features, ratios = best["feature"].to_numpy(np.int64), best["ratio"].to_numpy(np.float64)
@@ -149,7 +149,7 @@ def fit(
                 packed = [p.tobytes() for p in np.packbits(bits, axis=1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(packed, pa.binary())], names=["doc_id", "label", "bits"])
 
-    got = rows.mapInArrow(present, "doc_id long, label double, bits binary").toPandas().sort_values("doc_id")
+    got = map_batches(rows, present, "doc_id long, label double, bits binary").toPandas().sort_values("doc_id")
     bits = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1), axis=1)[:, : len(features)]
     w, bias = logistic(bits.astype(np.float32) * ratios.astype(np.float32), (got["label"].to_numpy() > 0.5).astype(np.float64))
     return Model(features, w * ratios, bias)
@@ -180,7 +180,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(part.column(1).to_pylist()))], names=["doc_id", "score"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return map_batches(id_and_text(df, id_col, text_col), run, "doc_id long, score double")
 
 
 LIMIT = 0.3
