@@ -30,15 +30,21 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del",
 ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
 MAIN = {"article", "main"}
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notices?|notification\w*|alerts?|announcement|disclaimer|toolbar|gdpr|popup|modal|overlay|newsletter|subscribe|signup|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|topbar|share|social|comments?|commentlist|respond|reply|replies|disqus|related|recommended|pagination|pager|login|search)(?:$|[\s_-])",
-    re.I,
-)
-GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text|page)(?:$|[\s_-])", re.I)
-#: Weights of the classifier: what a feature adds to the score of content.
-WEIGHTS = {"bias": -1.0, "in_main": 5.0, "in_aside": -14.0, "bad_name": -14.0, "good_name": 1.5, "link_share": -3.5, "words": 0.08, "stops": 0.6, "heading": 0.5}
+#: Words of class names and ids, as the first or last part of a name.
+BAD_WORDS = set("ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent notice notices notification notifications alert alerts announcement disclaimer toolbar gdpr popup modal overlay newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget widgets footer header masthead topbar share social comment comments commentlist respond reply replies disqus related recommended pagination pager login search".split())
+GOOD_WORDS = set("article post entry story content main body text page".split())
+#: A name that begins or ends so tells of a state or a layout, not of what the element holds.
+STATES = {"has", "with", "without", "no", "is", "not", "hide", "show"}, {"enabled", "disabled", "open", "closed", "on", "off", "visible", "hidden"}
+#: Elements that hold text itself; their names say less than those of containers.
+TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption"}
+#: Weights of the classifier: what a feature adds to the score of content. Those
+#: of places hold for the nearest container; FAR of it is left further inside.
+WEIGHTS = {"bias": -0.6, "words": 0.06, "link_share": -2.5, "stops": 0.4, "heading": 0.3, "no_main": 0.3, "outside_main": -1.5}
+IN_MAIN, IN_ASIDE, BAD_NAME, BAD_TEXT_NAME, GOOD_NAME, FAR = 3.5, -5.0, -4.5, -1.75, 1.2, 0.3
 MOST_WORDS = 25
-NEIGHBOURS, CONTAINER = 0.6, 0.4
+#: Smoothness: of blocks that follow each other (divided by how far apart they
+#: are in the tree), of a container and its blocks, of a container and the next outside it.
+NEIGHBOURS, CONTAINER, OUTER = 1.0, 0.5, 0.3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=/>]|$)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]*))?""", re.I)
@@ -49,10 +55,9 @@ _SPACE = re.compile(r"\s+")
 class Block:
     text: str
     container: int
+    depth: int
     in_main: bool
-    in_aside: bool
-    bad_name: bool
-    good_name: bool
+    place: float  # evidence of the containers: above 0 for content
     heading: bool
     linked: int
 
@@ -63,65 +68,117 @@ class _Open:
     number: int
     in_main: bool = False
     in_aside: bool = False
-    bad_name: bool = False
-    good_name: bool = False
+    place: float = 0.0
+    named: float = 0.0  # the part of place that names have given
     silent: bool = False
     link: bool = False
     heading: bool = False
 
 
-@dataclass
-class _Page:
-    blocks: list[Block] = field(default_factory=list)
-    text: list[str] = field(default_factory=list)
-    linked: int = 0
+def name_evidence(names: str) -> int:
+    """-1 for a name of boilerplate, 1 for one of content, 0 for neither or both."""
+    good = bad = False
+    for name in names.lower().split():
+        parts = [x for x in re.split(r"[-_]+", name) if x]
+        if not parts or parts[0] in STATES[0] or (len(parts) > 1 and parts[-1] in STATES[1]):
+            continue
+        ends = {parts[0], parts[-1]}
+        bad |= bool(ends & BAD_WORDS)
+        good |= bool(ends & GOOD_WORDS) and not ends & BAD_WORDS
+    return good - bad
 
 
-def _enter(tag: str, attributes: str, parent: _Open, number: int, article_open: bool) -> _Open:
+def _enter(tag: str, attributes: str, parent: _Open, number: int, in_article: bool) -> _Open:
     values = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    names = f"{values.get('class', '')} {values.get('id', '')}"
-    named = bool(names.strip()) and tag not in ("html", "body")
-    bad = (named and bool(BAD_NAME.search(names))) or values.get("role", "").lower() in BAD_ROLES
+    role = values.get("role", "").lower()
     hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
+    names = name_evidence(f"{values.get('class', '')} {values.get('id', '')}") if values and tag not in ("html", "body") and tag not in INLINE else 0
     # a header inside an article holds its headline
-    aside = tag in ASIDE and not (tag == "header" and article_open)
-    return _Open(
-        tag,
-        number,
-        parent.in_main or tag in MAIN or values.get("role") == "main",
-        parent.in_aside or aside,
-        parent.bad_name or bad,
-        parent.good_name or (named and bool(GOOD_NAME.search(names))),
-        parent.silent or tag in SILENT or hidden,
-        parent.link or tag == "a",
-        tag in ("h1", "h2", "h3", "h4", "h5", "h6") or (parent.heading and tag in INLINE),
-    )
+    aside = (tag in ASIDE and not (tag == "header" and in_article)) or role in BAD_ROLES
+    main = (tag in MAIN or role == "main") and names >= 0
+    e = _Open(tag, number, parent.in_main or main, parent.in_aside or aside, parent.place, parent.named, parent.silent or tag in SILENT or hidden, parent.link or tag == "a")
+    e.heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") or (parent.heading and tag in INLINE)
+    if aside:
+        e.place, e.named = IN_ASIDE + FAR * min(0.0, parent.place), FAR * min(0.0, parent.named)
+    elif main and not parent.in_main and not parent.in_aside:
+        e.place, e.named = IN_MAIN + FAR * parent.place, FAR * parent.named
+    elif names < 0:
+        far, own = (1.0, BAD_TEXT_NAME) if tag in TEXTUAL else (FAR, BAD_NAME)
+        e.place, e.named = far * parent.place + own, far * parent.named + own
+    elif names > 0 and not parent.in_main and not parent.in_aside:
+        # inside boilerplate such a name says little
+        e.place = parent.place + GOOD_NAME if parent.place < 0 else max(parent.place, GOOD_NAME)
+        e.named = parent.named + e.place - parent.place
+    return e
 
 
 #: an open element of the first kind ends where one of the second begins
 _ENDS = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order, each with where it stands."""
-    stack = [_Open("", 0)]
-    out = _Page()
-    number = 0
+class _Tree:
+    """The open elements. Of each tag, and of all that are no inline elements,
+    the places in the stack are kept, so that no step walks the stack."""
+
+    def __init__(self):
+        self.stack = [_Open("", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.outer = [0]
+
+    def push(self, e: _Open) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.stack))
+        if e.tag not in INLINE:
+            self.outer.append(len(self.stack))
+        self.stack.append(e)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            e = self.stack.pop()
+            self.places[e.tag].pop()
+            if e.tag not in INLINE:
+                self.outer.pop()
+
+    def last(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+    @property
+    def container(self) -> _Open:
+        return self.stack[self.outer[-1]]
+
+
+@dataclass
+class Page:
+    blocks: list[Block] = field(default_factory=list)
+    #: of each container of a block: the next container outside it
+    outside: dict[int, int] = field(default_factory=dict)
+
+
+def page_of(page: str, by_names: bool = True) -> Page:
+    """Blocks of text in page order, each with where it stands. Takes time in
+    proportion to the page, however deep its elements are nested."""
+    tree, out = _Tree(), Page()
+    said: list[str] = []
+    linked = number = 0
 
     def close() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(out.text))).strip()
+        nonlocal linked
+        text = _SPACE.sub(" ", html.unescape("".join(said))).strip()
         if text:
-            top = next(x for x in reversed(stack) if x.tag not in INLINE)
-            at = stack[-1]
-            out.blocks.append(Block(text, top.number, at.in_main, at.in_aside, at.bad_name, at.good_name, top.heading, min(out.linked, len(text))))
-        out.text.clear()
-        out.linked = 0
+            c = tree.container
+            place = c.place if by_names else c.place - c.named
+            out.blocks.append(Block(text, c.number, len(tree.outer), c.in_main, place, c.heading, min(linked, len(text))))
+            out.outside.setdefault(c.number, tree.stack[tree.outer[-2]].number if len(tree.outer) > 1 else -1)
+        said.clear()
+        linked = 0
 
     def say(raw: str) -> None:
-        if raw and not stack[-1].silent:
-            out.text.append(raw)
-            if stack[-1].link:
-                out.linked += len(raw.strip())
+        nonlocal linked
+        top = tree.stack[-1]
+        if raw and not top.silent:
+            said.append(raw)
+            if top.link:
+                linked += len(raw.strip())
 
     at, n = 0, len(page)
     while at < n:
@@ -142,33 +199,26 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in INLINE:
             close()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
+            i = tree.last(tag)
+            if i and (tag not in INLINE or i > tree.outer[-1]):
+                tree.cut(i)
             continue
         if tag in VOID:
             continue
         if tag not in INLINE:
-            for i in range(len(stack) - 1, 0, -1):
-                ends = _ENDS.get(stack[i].tag, ())
-                if ends is None or tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+            ends = _ENDS.get(tree.container.tag, ())
+            if ends is None or tag in ends:
+                tree.cut(tree.outer[-1])
         number += 1
-        stack.append(_enter(tag, m[3], stack[-1], number, any(x.tag == "article" for x in stack)))
+        tree.push(_enter(tag, m[3], tree.stack[-1], number, bool(tree.last("article"))))
         if m[3].endswith("/") and tag in ("svg", "path", "iframe"):
-            stack.pop()
+            tree.cut(len(tree.stack) - 1)
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            stack.pop()
+            tree.cut(len(tree.stack) - 1)
             at = end.end() if end else n
     close()
-    return out.blocks
+    return out
 
 
 def costs(b: Block, main_exists: bool) -> float:
@@ -176,9 +226,8 @@ def costs(b: Block, main_exists: bool) -> float:
     w = WEIGHTS
     words = b.text.count(" ") + 1
     s = w["bias"] + w["words"] * min(words, MOST_WORDS) + w["link_share"] * b.linked / len(b.text)
-    s += w["in_aside"] * b.in_aside + w["bad_name"] * b.bad_name + w["good_name"] * b.good_name
-    s += w["stops"] * (b.text[-1] in ".!?…\"'") + w["heading"] * b.heading
-    return s + (w["in_main"] if b.in_main else -w["in_main"]) if main_exists else s + 1.0
+    s += w["stops"] * (b.text[-1] in ".!?…\"'") + w["heading"] * b.heading + b.place
+    return s + (w["outside_main"] * (not b.in_main) if main_exists else w["no_main"])
 
 
 class Cut:
@@ -237,28 +286,39 @@ class Cut:
         return [v >= 0 for v in level]
 
 
-def label(blocks: list[Block]) -> list[bool]:
+def label(page: Page) -> list[bool]:
     """For each block whether the minimum cut calls it content."""
+    blocks = page.blocks
     if not blocks:
         return []
     main = any(b.in_main for b in blocks)
-    containers = {c: i for i, c in enumerate(dict.fromkeys(b.container for b in blocks))}
     n = len(blocks)
+    containers = {c: n + i for i, c in enumerate(page.outside)}
     s, t = n + len(containers), n + len(containers) + 1
     g = Cut(t + 1)
     for i, b in enumerate(blocks):
         c = costs(b, main)
         g.join(s, i, c) if c > 0 else g.join(i, t, -c)
         if i:
-            near = NEIGHBOURS if blocks[i - 1].in_main == b.in_main and blocks[i - 1].in_aside == b.in_aside else NEIGHBOURS / 4
+            a = blocks[i - 1]
+            near = NEIGHBOURS if a.container == b.container else NEIGHBOURS / (1 + abs(a.depth - b.depth) + (a.place != b.place))
             g.join(i - 1, i, near, near)
-        g.join(i, n + containers[b.container], CONTAINER, CONTAINER)
+        g.join(i, containers[b.container], CONTAINER, CONTAINER)
+    for c, outer in page.outside.items():
+        if outer in containers:
+            g.join(containers[c], containers[outer], OUTER, OUTER)
     return g.source_side(s, t)[:n]
 
 
 def main_text(page: str) -> str:
-    blocks = blocks_of(page)
-    return "\n".join(b.text for b, keep in zip(blocks, label(blocks)) if keep)
+    """The blocks that the cut calls content. Where it calls none so, as where
+    a wrapper of all has a name of boilerplate, names do not count."""
+    for by_names in (True, False):
+        p = page_of(page, by_names)
+        kept = [b.text for b, keep in zip(p.blocks, label(p)) if keep]
+        if kept or not any(b.place < 0 for b in p.blocks):
+            break
+    return "\n".join(kept)
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

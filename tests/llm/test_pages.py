@@ -136,3 +136,76 @@ def test_empty_pages(spark):
     odd = spark.createDataFrame([(1, None, None), (1, None, None), (None, "x", "")], df.schema)
     assert [r.verdict for r in url_filter.judge_urls(odd).collect()] == ["allow"] * 3
     assert [(r.text, r.n_chars) for r in html_text.extract_text(odd).collect()] == [("", 0)] * 3
+
+
+LONG = "This is a paragraph of text which goes on for quite a number of words. It ends here."
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "layout with-sidebar", "page-header", "no-nav", "main-content share-enabled", "sidebar", "comments"])
+def test_an_article_stays_whatever_its_wrapper_is_called(name):
+    page = f'<nav><a href="/">Home</a></nav><div class="{name}"><article><h1>Head</h1><p>{LONG}</p><p>Of.</p></article></div><footer>A footer of some words. Quite long.</footer>'
+    assert html_text.main_text(page) == f"Head\n{LONG}\nOf."
+
+
+def test_names_of_paragraphs_are_weaker_than_their_text():
+    page = f'<article class="post has-comments"><p>{LONG}</p><p class="share-price">The price of a share rose by two.</p></article>'
+    assert html_text.main_text(page) == f"{LONG}\nThe price of a share rose by two."
+
+
+def test_comments_and_teasers_go_though_they_are_articles():
+    page = f'<main><article><p>{LONG}</p></article><div class="comments"><article class="comment"><p>{LONG}</p></article><article><p>Reply. {LONG}</p></article></div><aside><article><p>Teaser. {LONG}</p></article></aside></main>'
+    assert html_text.main_text(page) == LONG
+
+
+def test_the_cut_differs_from_the_score_where_neighbours_decide():
+    """A short line among long paragraphs stays, and goes among links; a
+    sentence between lists of links goes, though its own score is of content."""
+    links = "".join(f'<p><a href="/{i}">Link {i}</a></p>' for i in range(6))
+    for page, text, score_says in (
+        (f"<div><p>{LONG}</p><p>Of</p><p>{LONG}</p></div>", "Of", False),
+        (f"<div>{links}<p>See all our offers.</p>{links}</div><section><p>{LONG}</p><p>{LONG}</p></section>", "See all our offers.", True),
+    ):
+        p = html_text.page_of(page)
+        i = next(i for i, b in enumerate(p.blocks) if b.text == text)
+        assert (html_text.costs(p.blocks[i], False) > 0) == score_says
+        assert html_text.label(p)[i] != score_says
+    assert html_text.main_text(f"<div>{links}<p>Of</p>{links}</div><section><p>{LONG}</p></section>") == LONG
+
+
+def test_labels_cost_least_of_all():
+    """The cut against all labellings of small pages."""
+    import itertools
+
+    page = html_text.page_of(f'<div><p>{LONG}</p><p>Of</p><p><a href="/">To it</a></p></div><ul class="menu"><li>One</li><li><a href="/">Two</a></li></ul><p>Some words here.</p>')
+    got, n = html_text.label(page), len(page.blocks)
+    names = list(page.outside)
+
+    def cost(labels):
+        x, c = labels[:n], dict(zip(names, labels[n:]))
+        total = 0.0
+        for i, b in enumerate(page.blocks):
+            s = html_text.costs(b, False)
+            total += max(s, 0) * (not x[i]) + max(-s, 0) * x[i] + html_text.CONTAINER * (x[i] != c[b.container])
+            if i:
+                a = page.blocks[i - 1]
+                near = html_text.NEIGHBOURS if a.container == b.container else html_text.NEIGHBOURS / (1 + abs(a.depth - b.depth) + (a.place != b.place))
+                total += near * (x[i] != x[i - 1])
+        return total + sum(html_text.OUTER * (c[k] != c[o]) for k, o in page.outside.items() if o in c)
+
+    every = list(itertools.product([False, True], repeat=n + len(names)))
+    least = min(map(cost, every))
+    assert min(cost((*got, *rest)) for rest in itertools.product([False, True], repeat=len(names))) == pytest.approx(least)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for page in ("<div>" * 100_000 + LONG, "<div><p>a b c. " * 50_000, "<div>" * 50_000 + "</i></b></p>" * 50_000, f"<p>{LONG}</p><p><a>x</a></p>" * 5000):
+        assert isinstance(html_text.main_text(page), str)
+    assert time.process_time() - began < 60
+
+
+def test_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "u", f"<article>{LONG}</article>", 5, "x")] * 2, "page_id long, url string, html string, n_chars long, text string")
+    assert [(r.text, r.n_chars) for r in html_text.extract_text(df).collect()] == [(LONG, len(LONG))] * 2
