@@ -2,11 +2,13 @@
 
 Each n-gram feature is a presence scaled by its naive Bayes log-count ratio; a
 logistic regression over the scaled features gives the score. Labels are learnt
-from a bounded sample of labelled rows; scoring covers every row.
+from a bounded sample of labelled rows, on all n-grams that tell the labels
+apart there; scoring covers every row.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,13 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import filter_rows, id_and_text, map_batches, mix64, slices, written
+from plantlens.llm.common import filter_rows, id_and_text, keep_in_worker, map_batches, mix64, slices, written
 
 SIZES = (4, 5, 6)
-BUCKETS = 1 << 19
-#: Bounds of the fit: labelled rows, drawn by a hash of their ids; features.
-SAMPLE, FEATURES = 20_000, 1024
+BUCKETS = 1 << 21
+#: Bound of the fit: labelled rows, drawn by a hash of their ids.
+SAMPLE = 20_000
+#: A feature stands in at least so many of these rows, and its G2 is beyond
+#: what one in a thousand features reaches that says nothing of the label.
+LEAST_ROWS, LEAST_G2 = 3, 10.83
 SMOOTHING, PENALTY, STEPS = 1.0, 0.02, 300
+#: Places of n-grams that are worked on at a time.
+WINDOW = 1 << 17
 _U = np.uint64
 
 
@@ -37,32 +44,54 @@ class Model:
         return slots
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of every place of every n-gram. Texts are in lower case;
-    ASCII characters that are no letters count as spaces."""
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points in lower case and the row of each; ASCII characters that are
+    no letters count as spaces, and a space is put before and after each text."""
     low = [f" {t.lower()} " for t in texts]
     points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where((points < 128) & ~((points >= 97) & (points <= 122)), 32, points).astype(_U)
-    sizes = np.array([len(t) for t in low], np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    points = np.where((points < 128) & ~((points >= 97) & (points <= 122)), np.uint32(32), points)
+    return points, np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in low])
+
+
+def _grams(points: np.ndarray, owner: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of every n-gram that begins at one of the first ``most`` places."""
+    points = points.astype(_U)
     rows, features = [], []
     for n in SIZES:
-        k = len(points) - n + 1
+        k = min(most, len(points) - n + 1)
         if k <= 0:
             continue
         h = np.full(k, n, _U)
         for d in range(n):
             h = h * _U(0x9E3779B97F4A7C15) + points[d : d + k]
-        inside = owner[:k] == owner[n - 1 :]
-        rows.append(owner[:k][inside])
+        inside = owner[:k] == owner[n - 1 : n - 1 + k]
+        rows.append(owner[:k][inside].astype(np.int64))
         features.append((mix64(h[inside]) & _U(BUCKETS - 1)).astype(np.int64))
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(rows), np.concatenate(features)
 
 
-def _distinct(rows: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    key = np.unique(rows * width + values)
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of every place of every n-gram."""
+    points, owner = _points(texts)
+    return _grams(points, owner, len(points))
+
+
+def distinct_ngrams(texts: list[str], slots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of every distinct n-gram of each text, or with ``slots``
+    (row, slot) of those that have one. Found window by window, so that a very
+    long text needs little more memory than its code points."""
+    points, owner = _points(texts)
+    width, found = BUCKETS if slots is None else int(slots.max(initial=0)) + 1, []
+    for at in range(0, len(points), WINDOW):
+        end = at + WINDOW + max(SIZES) - 1
+        row, feature = _grams(points[at:end], owner[at:end], WINDOW)
+        if slots is not None:
+            slot = slots[feature]
+            row, feature = row[slot >= 0], slot[slot >= 0]
+        found.append(np.unique(row * width + feature))
+    key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return key // width, key % width
 
 
@@ -71,22 +100,44 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, l
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label"))
     known = known.dropna().groupBy("doc_id").agg(F.max("label").alias("label")).filter(learn("doc_id"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"])
+    rows = docs.join(F.broadcast(drawn), "doc_id")  # SAMPLE rows at most
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, BUCKETS), np.int64)
+    counts = np.zeros((2, BUCKETS), np.int32)
     for batch in rows:
         for part in slices(batch):
-            owner, feature = _distinct(*ngrams(part.column(1).to_pylist()), BUCKETS)
+            owner, feature = distinct_ngrams(part.column(1).to_pylist())
             label = (part.column(2).to_numpy() > 0.5)[owner]
             for k in (0, 1):
-                counts[k] += np.bincount(feature[label == k], minlength=BUCKETS)
-    some = np.flatnonzero(counts.sum(0))
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], names=["feature", "n0", "n1"])
+                np.add.at(counts[k], feature[label == k], 1)
+    some = np.flatnonzero(counts.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (some, *counts[:, some])], names=["feature", "n0", "n1"])
+
+
+class Presence:
+    """A sparse matrix: which features stand in which rows, each with the value
+    of its column."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, values: np.ndarray, rows: int, turned: bool = False):
+        self.row, self.column, self.values, self.rows, self.turned = row, column, values, rows, turned
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.rows, len(self.values)
+
+    @property
+    def T(self) -> Presence:
+        return Presence(self.row, self.column, self.values, self.rows, not self.turned)
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        if self.turned:
+            return np.bincount(self.column, v[self.row], len(self.values)) * self.values
+        return np.bincount(self.row, (v * self.values)[self.column], self.rows)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray | Presence, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Penalised logistic regression by accelerated gradient steps."""
     n, k = x.shape
     start = np.zeros(k + 1)
@@ -121,7 +172,8 @@ def fit(
 ) -> Model:
     """A model from at most ``limit`` labelled rows for whose id ``learn``
     holds. Rows with a null label are not used; of several labels of one id the
-    greatest holds. Without labelled rows the score is that of no evidence: 0."""
+    greatest holds, of several texts the least. Without labelled rows of both
+    kinds the score is that of no evidence: 0, or 1 if all are toxic."""
     rows = written(_labelled(id_and_text(df, id_col, text_col), labels, id_col, label_col, learn, limit).repartition(8), "labelled")
     sizes = {int(r.label > 0.5): r.n for r in rows.groupBy((F.col("label") > 0.5).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -133,37 +185,35 @@ def fit(
     gain = a * F.log(a / F.lit(n1 + SMOOTHING) / share) + b * F.log(b / F.lit(n0 + SMOOTHING) / share)
     ratio = F.log(a / F.lit(n1 + 2 * SMOOTHING)) - F.log(b / F.lit(n0 + 2 * SMOOTHING))
     counted = map_batches(rows, _counts, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    best = counted.filter("n0 + n1 >= 3").select("feature", ratio.alias("ratio"), gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(FEATURES).toPandas()
-    best = best.sort_values("feature")
+    some = counted.filter(F.col("n0") + F.col("n1") >= LEAST_ROWS).filter(2 * gain >= LEAST_G2)
+    best = some.select("feature", ratio.alias("ratio")).toPandas().sort_values("feature")
     features, ratios = best["feature"].to_numpy(np.int64), best["ratio"].to_numpy(np.float64)
-    slots = Model(features, ratios, 0.0).table()
+    empty = Model(features, ratios, 0.0)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = empty.table()
         for batch in batches:
             for part in slices(batch):
-                owner, feature = ngrams(part.column(1).to_pylist())
-                slot = slots[feature]
-                owner, slot = _distinct(owner[slot >= 0], slot[slot >= 0], FEATURES)
-                bits = np.zeros((part.num_rows, FEATURES), bool)
-                bits[owner, slot] = True
-                packed = [p.tobytes() for p in np.packbits(bits, axis=1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(packed, pa.binary())], names=["doc_id", "label", "bits"])
-
-    got = map_batches(rows, present, "doc_id long, label double, bits binary").toPandas().sort_values("doc_id")
-    bits = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), -1), axis=1)[:, : len(features)]
-    w, bias = logistic(bits.astype(np.float32) * ratios.astype(np.float32), (got["label"].to_numpy() > 0.5).astype(np.float64))
+                owner, slot = distinct_ngrams(part.column(1).to_pylist(), slots)
+                at = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(slot, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["doc_id", "label", "slots"])
+
+    got = map_batches(rows, present, "doc_id long, label double, slots array<int>").toPandas().sort_values("doc_id")
+    sizes = got["slots"].map(len).to_numpy()
+    columns = np.concatenate([*got["slots"], np.zeros(0, np.int32)]).astype(np.int64)
+    matrix = Presence(np.repeat(np.arange(len(got)), sizes), columns, ratios, len(got))
+    w, bias = logistic(matrix, (got["label"].to_numpy() > 0.5).astype(np.float64))
     return Model(features, w * ratios, bias)
 
 
 def scorer(model: Model) -> Callable[[list[str]], np.ndarray]:
     """Scores of texts, from 0 to 1."""
-    slots, weights, bias = model.table(), model.weights, model.bias
+    name, weights, bias = f"slots {uuid.uuid4().hex}", model.weights, model.bias
 
     def scores(texts: list[str]) -> np.ndarray:
-        owner, feature = ngrams(texts)
-        slot = slots[feature]
-        owner, slot = _distinct(owner[slot >= 0], slot[slot >= 0], max(1, len(weights)))
-        total = bias + (np.bincount(owner, weights[slot], len(texts)) if len(owner) else np.zeros(len(texts)))
+        owner, slot = distinct_ngrams(texts, keep_in_worker(name, model.table))
+        total = bias + np.bincount(owner, weights[slot], len(texts)) if len(owner) else np.full(len(texts), bias)
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
     return scores
