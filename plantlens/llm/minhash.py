@@ -24,6 +24,7 @@ from plantlens.llm.common import byte_view, id_and_text, lower_ascii, map_batche
 from plantlens.llm.graph import connected_components
 
 BINS, ROWS = 128, 4
+ORDERED = {"string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz", "binary"}
 BLOCK = 1024
 _U = np.uint64
 _NONE = _U(2**64 - 1)
@@ -251,7 +252,9 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     roots = stars if rest.isEmpty() else connected_components(rest.union(stars.toDF("u", "v")))
 
     grouped = held.filter("n > 1").select("set_a", "set_b", "rep")
-    known = drawn.join(grouped, ["set_a", "set_b"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+    # empty sets have one name; under names of their own they are no hot key
+    named = drawn.withColumn("set_a", F.when(F.col("n_shingles") > 0, F.col("set_a")).otherwise(F.xxhash64("doc_id")))
+    known = named.join(grouped, ["set_a", "set_b"], "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     out = known.join(roots, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
@@ -261,15 +264,23 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
 def keep_first(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, unchanged: the one of the
     least doc_id, and of repeated rows of it the first in order of all columns.
-    Rows without doc_id, and without words, stay."""
+    Rows without doc_id stay; so do those without words, one of each doc_id. Other columns may have any
+    name and type; those without an order are compared by their JSON."""
     groups = near_duplicates(df, words, percent, id_col, text_col)
-    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    stay = df.join(gone, F.col(id_col).cast("long") == F.col("gone"), "left_anti")
-    again = groups.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 and doc_id is not null").select(F.col("doc_id").alias("again"))
+    names, free = df.columns, lambda c: c + "_" * (1 + max(map(len, df.columns)))
+    key, rank = free("key"), free("rank")
+    at = F.col(f"`{id_col}`").cast("long")
+    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    stay = df.join(gone, at == F.col(key), "left_anti")
+    again = groups.groupBy("doc_id").agg(F.count("*").alias(rank)).filter((F.col(rank) > 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key))
     if again.isEmpty():
         return stay
-    once = stay.join(again, F.col(id_col).cast("long") == F.col("again"), "left_semi").groupBy(id_col).agg(F.min(F.struct(*df.columns)).alias("r")).select("r.*")
-    return stay.join(again, F.col(id_col).cast("long") == F.col("again"), "left_anti").unionByName(once)
+    # columns without an order, such as maps, are compared by their text
+    order = [F.col(f"`{c}`") if kind in ORDERED else F.to_json(F.struct(F.col(f"`{c}`"))) for c, kind in df.dtypes]
+    repeated = stay.join(again, at == F.col(key), "left_semi")
+    least = repeated.select(at.alias(key), F.struct(*order).alias(rank), F.struct(*[F.col(f"`{c}`") for c in names]).alias(free("row")))
+    once = least.groupBy(key).agg(F.min_by(free("row"), rank).alias(free("row"))).select(*[F.col(free("row")).getField(c).alias(c) for c in names])
+    return stay.join(again, at == F.col(key), "left_anti").unionByName(once)
 
 
 def _residual_links(buckets: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

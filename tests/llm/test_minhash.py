@@ -85,3 +85,15 @@ def test_components_of_chains_and_loops(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100), (200, 201), (201, 202), (202, 200), (None, 3)]
     got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {201: 200, 202: 200}
+
+
+def test_keep_first_with_any_columns(spark):
+    """Names of helper columns, names with dots, and types without an order."""
+    text = "one two three four five six seven"
+    rows = [(4, text, 1, 2, "x", {"k": "b"}), (4, text, 1, 2, "x", {"k": "a"}), (2, text, 0, 0, "y", None), (None, text, 5, 5, None, None), (9, None, 0, 0, None, None), (9, "", 0, 0, None, None), (7, "a b", 3, 3, "z", {"q": "q"})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int, again long, `kept.rows` string, r map<string,string>")
+    got = minhash.keep_first(df)
+    assert got.dtypes == df.dtypes
+    assert sorted((r[0] or -1, r[2], r[5] and dict(r[5])) for r in got.collect()) == [(-1, 5, None), (2, 0, None), (7, 3, {"q": "q"}), (9, 0, None)]
+    again = minhash.keep_first(df.filter("doc_id = 4"))
+    assert [(r[0], dict(r[5])) for r in again.collect()] == [(4, {"k": "a"})]
