@@ -9,7 +9,8 @@ kept to the band.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import filter_rows, map_batches, mix64, slices
+from plantlens.llm.common import filter_rows, keep_in_worker, map_batches, mix64, slices, written
 
 Q, EDIT_SHARE = 8, 0.1
 #: Characters of benchmark items that one pass over the documents looks for.
@@ -218,7 +219,14 @@ class Items:
         return sorted(out)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, chars: int) -> Iterator[Items]:
+def _index_of(ids: list[int], texts: list[str]) -> Callable[[], Items]:
+    name = f"items {uuid.uuid4().hex}"
+    return lambda: keep_in_worker(name, lambda: Items(ids, texts))
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, chars: int) -> Iterator[tuple[Callable[[], Items], bool]]:
+    """For each block of items what makes their index, which tasks do, and
+    whether it is the only one. The driver holds the texts of one block."""
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter(F.length("t") > 0)
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-total // chars)
@@ -226,7 +234,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, chars: int) -> I
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).distinct().collect()
         rows.sort(key=lambda r: (r.i is None, r.i, r.t))
         if rows:
-            yield Items([r.i for r in rows], [r.t for r in rows])
+            yield _index_of([r.i for r in rows], [r.t for r in rows]), n == 1
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
@@ -238,14 +246,16 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     not count. Items of fewer than Q characters are found without edits and where
     no word goes on beyond them; null and blank items are not looked for. Null and empty texts hold nothing; repeated rows give repeated
     matches. The benchmark is split by a hash of its items into blocks of about
-    ``chars`` characters; each block is one pass over the documents.
+    ``chars`` characters; each block is one pass over the documents, and where
+    there are several its places are written before the next block is read.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = "doc_id long, item_id long, start_char long, end_char long, edits int"
     out = None
-    for items in _blocks(benchmark, item_col, item_text_col, chars):
+    for make, only in _blocks(benchmark, item_col, item_text_col, chars):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], make=make) -> Iterator[pa.RecordBatch]:
+            items = make()
             for batch in batches:
                 for part in slices(batch):
                     rows = items.matches(part.column(1).to_pylist())
@@ -254,18 +264,20 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", "item_id", "start_char", "end_char", "edits"])
 
         some = map_batches(docs, run, schema)
+        some = some if only else written(some, "leaks")
         out = some if out is None else out.union(some)
     return out if out is not None else df.sparkSession.createDataFrame([], schema)
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows that hold no benchmark item, unchanged."""
-    for items in _blocks(benchmark, item_col, item_text_col, chars):
+    for make, only in _blocks(benchmark, item_col, item_text_col, chars):
 
-        def clean(texts: list[str], items=items) -> np.ndarray:
+        def clean(texts: list[str], make=make) -> np.ndarray:
             keep = np.ones(len(texts), bool)
-            keep[[m[0] for m in items.matches(texts)]] = False
+            keep[[m[0] for m in make().matches(texts)]] = False
             return keep
 
         df = filter_rows(df, text_col, clean)
+        df = df if only else written(df, "clean")
     return df

@@ -116,3 +116,14 @@ def test_qgram_hashes(q):
     grams = [s[i : i + q] for i in range(len(s) - q + 1)]
     assert len(h) == len(grams)
     assert all((h[i] == h[j]) == (grams[i] == grams[j]) for i in range(len(h)) for j in range(len(h)))
+
+
+def test_several_blocks_leave_nothing_in_the_driver(spark):
+    """Each block's places are read from what it has written."""
+    items = [(i, f"benchmark item number {i} of a long list of questions about rivers and {'hills' * (i % 5)}") for i in range(12)]
+    texts = [f"Some text before. {t.upper()} And after it {j}." for j, (_, t) in enumerate(items)] + ["clean text of no item at all"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dc.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), chars=200)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} >= {(j, i) for j, (i, _) in enumerate(items)}
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()
+    assert [r.doc_id for r in dc.drop_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), chars=200).collect()] == [12]
