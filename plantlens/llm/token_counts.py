@@ -13,19 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plantlens.llm.bpe import encoder
 from plantlens.llm.common import id_and_text, map_batches
+from plantlens.llm.token_store import library_encoder
 
 BLOCK = 1024
 
 
 def document_lengths(df: DataFrame, tokenizer: str, group_cols: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the group columns and n_tokens of every row; null texts have 0."""
+    """doc_id, the group columns and n_tokens of every row; null and empty texts
+    have 0. Repeated rows are counted each; an empty table gives no rows. Other
+    columns are not read, whatever their names."""
     docs = id_and_text(df, id_col, text_col, *group_cols)
     names = ["doc_id", *group_cols, "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = library_encoder(tokenizer)
         for batch in batches:
             n = [len(enc.encode(t)) // 4 for t in batch.column(1).to_pylist()]
             kept = [batch.column(i) for i in range(batch.num_columns) if i != 1]
