@@ -27,6 +27,10 @@ from plantlens.llm.common import id_and_text, keep_in_worker, map_batches, scrat
 
 END = 2
 SEGMENT_TOKENS = 4_000_000
+#: Bytes of the source, as Spark estimates them, in one part of the store.
+PART_BYTES = 128 << 20
+#: Greater estimates are of tables whose size Spark does not know.
+UNKNOWN_BYTES = 1 << 50
 #: Pieces that a Python worker keeps in each of two generations.
 PIECES = 400_000
 SCHEMA = (
@@ -100,10 +104,11 @@ def library_encoder(path: str) -> LibraryEncoder:
 
 def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text, appends ``end_id``, and writes the segments to
-    ``path``. A null text is empty and has the end id alone; rows of the same
+    ``path``. The parts grow in number with the table. A null text is empty and has the end id alone; rows of the same
     doc_id are ordered by text; rows without doc_id come first."""
     docs = id_and_text(df, id_col, text_col)
-    parts = shuffle_partitions(df.sparkSession)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(shuffle_partitions(df.sparkSession), size // PART_BYTES if size < UNKNOWN_BYTES else 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, segment = library_encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -142,9 +147,8 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and,
     with ``ids``, token_ids of every document in the files at ``path``.
 
-    Starts are summed over the parts, whose number is that of the shuffle
-    partitions of the writer, then over each part's segments, then within a
-    segment. A table without documents gives no rows."""
+    Starts are summed over the parts (a row each), then over each part's
+    segments, then within a segment. A table without documents gives no rows."""
     store = spark.read.schema(SCHEMA).parquet(path)
     sizes = store.select("part", "segment", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))

@@ -100,3 +100,24 @@ def test_lengths_over_blocks(spark):
     plain = [n * 700 % 5000 for n in range(200)]
     for r in token_counts.length_histogram(lengths).collect():
         assert r.tokens_longer == sum(n for n in plain if n > r.n_tokens) and r.tokens_total == sum(plain)
+
+
+def test_parts_grow_with_the_table(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(400)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(token_store, "PART_BYTES", 500)
+    token_store.write_tokens(docs, str(tmp_path / "store"), PATH)
+    store = spark.read.parquet(str(tmp_path / "store"))
+    assert store.select("part").distinct().count() > 8
+    got = token_store.read_tokens(spark, str(tmp_path / "store")).orderBy("doc_id").collect()
+    at = 0
+    for i, r in enumerate(got):
+        want = [*ids(f"text {i} " * 50), token_store.END]
+        assert (r.doc_id, r.start, r.n_tokens) == (i, at, len(want))
+        at += len(want)
+
+
+def test_lengths_with_clashing_columns(docs_of):
+    rows = token_counts.document_lengths(docs_of(["a b", "a b", None, ""]), PATH, ["lang"]).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == [(0, len(ids("a b"))), (1, len(ids("a b"))), (2, 0), (3, 0)]
