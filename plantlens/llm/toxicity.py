@@ -24,8 +24,8 @@ BUCKETS = 1 << 21
 #: Bound of the fit: labelled rows, drawn by a hash of their ids.
 SAMPLE = 20_000
 #: A feature stands in at least so many of these rows, and its G2 is beyond
-#: what one in a thousand features reaches that says nothing of the label.
-LEAST_ROWS, LEAST_G2 = 3, 10.83
+#: what one in ten thousand reaches of the features that say nothing of the label.
+LEAST_ROWS, LEAST_G2 = 3, 15.14
 SMOOTHING, PENALTY, STEPS = 1.0, 0.02, 300
 #: Places of n-grams that are worked on at a time.
 WINDOW = 1 << 17
@@ -117,47 +117,60 @@ def _counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Presence:
-    """A sparse matrix: which features stand in which rows, each with the value
-    of its column."""
+    """A sparse matrix: which features (``columns``, row by row from ``at`` on)
+    stand in each row, each with the value of its column."""
 
-    def __init__(self, row: np.ndarray, column: np.ndarray, values: np.ndarray, rows: int, turned: bool = False):
-        self.row, self.column, self.values, self.rows, self.turned = row, column, values, rows, turned
+    def __init__(self, at: np.ndarray, columns: np.ndarray, values: np.ndarray):
+        self.shape, self.values = (len(at) - 1, len(values)), values
+        order = np.argsort(columns, kind="stable")
+        rows = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))[order]
+        self.by_row = at, columns
+        self.by_column = np.searchsorted(columns, np.arange(len(values) + 1), sorter=order), rows
 
-    @property
-    def shape(self) -> tuple[int, int]:
-        return self.rows, len(self.values)
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return _sums(*self.by_row, v * self.values)
 
-    @property
-    def T(self) -> Presence:
-        return Presence(self.row, self.column, self.values, self.rows, not self.turned)
+    def left(self, v: np.ndarray) -> np.ndarray:
+        return _sums(*self.by_column, v) * self.values
 
-    def __matmul__(self, v: np.ndarray) -> np.ndarray:
-        if self.turned:
-            return np.bincount(self.column, v[self.row], len(self.values)) * self.values
-        return np.bincount(self.row, (v * self.values)[self.column], self.rows)
+
+def _sums(at: np.ndarray, index: np.ndarray, v: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+    """The sum of v at the indices of each run, about ``most`` of them at a time."""
+    out, i = np.zeros(len(at) - 1), 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        sums = np.concatenate([np.zeros(1), np.cumsum(v[index[at[i] : at[j]]])])
+        out[i:j] = np.diff(sums[at[i : j + 1] - at[i]])
+        i = j
+    return out
 
 
-def logistic(x: np.ndarray | Presence, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Penalised logistic regression by accelerated gradient steps."""
+def logistic(x: np.ndarray | Presence, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS, near: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Penalised logistic regression by accelerated gradient steps, ``steps``
+    at most, until none changes a weight by ``near``."""
     n, k = x.shape
+    left = x.left if isinstance(x, Presence) else lambda v: x.T @ v
     start = np.zeros(k + 1)
     start[-1] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     v = np.ones(k + 1) / np.sqrt(k + 1)
     for _ in range(20):  # the greatest curvature
-        u = x @ v[:-1].astype(np.float32) + v[-1]
-        v = np.append(x.T @ u, u.sum())
+        u = x @ v[:-1] + v[-1]
+        v = np.append(left(u), u.sum())
         top = np.linalg.norm(v)
         v = v / max(top, 1e-12)
     step = 1 / (0.25 * top / n * 1.05 + penalty)
     w, z, t = start.copy(), start.copy(), 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ z[:-1].astype(np.float32) + z[-1], -30, 30)))
-        g = np.append(x.T @ (p - y).astype(np.float32), (p - y).sum()) / n
+        p = 1 / (1 + np.exp(-np.clip(x @ z[:-1] + z[-1], -30, 30)))
+        g = np.append(left(p - y), (p - y).sum()) / n
         g[:-1] += penalty * z[:-1]
         new = z - step * g
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z = new + (t - 1) / t2 * (new - w)
+        change = np.abs(new - w).max()
         w, t = new, t2
+        if change < near:
+            break
     return w[:-1], float(w[-1])
 
 
@@ -199,11 +212,11 @@ def fit(
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(slot, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["doc_id", "label", "slots"])
 
-    got = map_batches(rows, present, "doc_id long, label double, slots array<int>").toPandas().sort_values("doc_id")
-    sizes = got["slots"].map(len).to_numpy()
-    columns = np.concatenate([*got["slots"], np.zeros(0, np.int32)]).astype(np.int64)
-    matrix = Presence(np.repeat(np.arange(len(got)), sizes), columns, ratios, len(got))
-    w, bias = logistic(matrix, (got["label"].to_numpy() > 0.5).astype(np.float64))
+    got = map_batches(rows, present, "doc_id long, label double, slots array<int>").toArrow().sort_by("doc_id")
+    slots = got.column("slots").combine_chunks()
+    at = slots.offsets.to_numpy().astype(np.int64)
+    columns = slots.values.to_numpy()[at[0] : at[-1]]
+    w, bias = logistic(Presence(at - at[0], columns, ratios), (got.column("label").to_numpy() > 0.5).astype(np.float64))
     return Model(features, w * ratios, bias)
 
 
