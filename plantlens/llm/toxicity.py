@@ -26,7 +26,7 @@ SAMPLE = 20_000
 #: A feature stands in at least so many of these rows, and its G2 is beyond
 #: what one in ten thousand reaches of the features that say nothing of the label.
 LEAST_ROWS, LEAST_G2 = 3, 15.14
-SMOOTHING, PENALTY, STEPS = 1.0, 0.02, 300
+SMOOTHING, PENALTY, STEPS = 1.0, 0.02, 120
 #: Places of n-grams that are worked on at a time.
 WINDOW = 1 << 17
 _U = np.uint64
