@@ -145,6 +145,14 @@ def latest_rows(selftest: DataFrame) -> DataFrame:
     return selftest.groupBy("station_id").agg(F.max(F.struct("production_day", *[c for c in rest if c != "production_day"])).alias("r")).select("station_id", "r.*")
 
 
+def day_series(judged: DataFrame) -> DataFrame:
+    """One row a station, day and trended measure: its value, and whether the
+    day passed each step."""
+    names = ["datamatrix_grade", "ref_repeatability_mm", *[t[1] for t in P.TOOLING if t[3]]]
+    steps = ["imaging_ok", "measurement_ok", "tooling_ok"]
+    return judged.unpivot(["station_id", "production_day", *steps], names, "measure", "value").withColumn("value", F.round("value", 5))
+
+
 def fleet(judged: DataFrame, cond: DataFrame) -> DataFrame:
     """Per station: worst condition, days out and the sets that ever failed."""
     rank = F.when(F.col("condition") == "ALERT", 2).when(F.col("condition") == "WATCH", 1).otherwise(0)

@@ -137,6 +137,18 @@ def coverage_kpis(cov: DataFrame, econ: DataFrame) -> DataFrame:
     )
 
 
+def effective_coverage(cond: DataFrame) -> DataFrame:
+    """Declared pairs of station and mode, those that the station's condition
+    leaves, their share, and the modes and stations that lose some."""
+    lost = ~F.col("effective")
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(lost, F.col(c)))), ",")
+    left = F.sum(F.col("effective").cast("long"))
+    return cond.agg(
+        F.count("*").alias("declared_pairs"), F.coalesce(left, F.lit(0)).alias("effective_pairs"), F.round(F.try_divide(left.cast("double"), F.count("*").cast("double")), 4).alias("effective_rate"),
+        names("mode").alias("modes_losing"), names("station_id").alias("stations_losing"),
+    )
+
+
 def event_costs(looks: DataFrame, econ: DataFrame) -> DataFrame:
     """Exposure of first-look fails by line, mode and day."""
     fails = looks.filter((F.col("vision_result") == "FAIL") & F.col("defect_code").isNotNull()).groupBy("station_id", F.col("defect_code").alias("mode"), F.to_date("ts").alias("d")).agg(F.count("*").alias("fails"))

@@ -112,6 +112,16 @@ def peer_rank(fractions: DataFrame) -> DataFrame:
     return fractions.withColumn("place", F.row_number().over(W.partitionBy("check_name").orderBy(severity, F.desc("fraction"), "station_id")))
 
 
+def ranked_peers(found: DataFrame, fractions: DataFrame) -> DataFrame:
+    """The other stations on the check of each finding, in order of how near
+    they are to its limit: finding_id, station_id, check_name, place, peer, state, fraction."""
+    others = fractions.select("check_name", F.col("station_id").alias("peer"), "state", "fraction")
+    both = found.select("finding_id", "station_id", "check_name").join(others, "check_name").filter(F.col("peer") != F.col("station_id"))
+    severity = F.when(F.col("state") == "BREACHED", 0).when(F.col("state") == "APPROACHING", 1).otherwise(2)
+    order = W.partitionBy("finding_id", "station_id", "check_name").orderBy(severity, F.desc("fraction"), "peer")
+    return both.withColumn("place", F.row_number().over(order))
+
+
 def containment(cond: DataFrame, selftest: DataFrame) -> DataFrame:
     """Units made since a station's first day below, of its first declared mode
     that is not OK."""

@@ -83,7 +83,7 @@ def range_join(left: DataFrame, right: DataFrame, by: str, on: str, start: str,
 def range_join_by_day(left: DataFrame, right: DataFrame, by: str, on: str, start: str, end: str) -> DataFrame:
     """The same for dates, when the ranges are no small table: each range
     becomes its days, and the join an equi-join on key and day."""
-    days = right.withColumn("_day", F.explode(F.sequence(start, end)))
+    days = right.filter(F.col(start) <= F.col(end)).withColumn("_day", F.explode(F.sequence(start, end)))
     a, b = left.alias("a"), days.alias("b")
     cond = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col(f"a.{on}") == F.col("b._day"))
     return a.join(b, cond, "left").select("a.*", *[F.col(f"b.{c}") for c in right.columns if c != by])
@@ -110,15 +110,18 @@ def derived_key_join(mes: DataFrame, keyed: DataFrame) -> DataFrame:
 
 
 def serial_join(keyed: DataFrame, qms: DataFrame) -> DataFrame:
-    """Events with their NCRs; one serial may have several."""
-    return keyed.join(qms.select("serial_key", "ncr_no", "defect_code_qms", "disposition"), "serial_key", "left")
+    """Events with their NCRs; one serial may have several. An event without a
+    serial has a key of its own in the join, so that they are no hot key."""
+    ncrs = qms.filter("serial_key is not null").select(F.col("serial_key").alias("_serial"), "ncr_no", "defect_code_qms", "disposition")
+    key = F.coalesce("serial_key", F.concat(F.lit("\0"), "event_id"))
+    return keyed.join(ncrs, key == F.col("_serial"), "left").drop("_serial")
 
 
 def join_all(looks: DataFrame, erp: DataFrame, mes: DataFrame, qms: DataFrame) -> DataFrame:
-    """Event-grain fact with the context of all systems. Work orders are few and
-    disjoint on a line, so the range join is one hash join with a residual."""
+    """Event-grain fact with the context of all systems; the range of a work
+    order is joined by its days, so that a line is no hot key."""
     keyed = with_keys(looks)
-    ranged = range_join(keyed, erp.select("line_id", "sched_start", "sched_end", "work_order_no", "item_no"), "line_id", "date", "sched_start", "sched_end")
+    ranged = range_join_by_day(keyed, erp.select("line_id", "sched_start", "sched_end", "work_order_no", "item_no"), "line_id", "date", "sched_start", "sched_end")
     shifts = mes.select("station_id", "shift_id", "units_completed", "mes_work_order_no")
     joined = ranged.join(shifts, ["station_id", "shift_id"], "left")
     return serial_join(joined, qms).withColumn("has_work_order", F.col("work_order_no").isNotNull()).withColumn("has_mes_shift", F.col("units_completed").isNotNull())
@@ -161,6 +164,13 @@ def reconcile(keyed: DataFrame, mes: DataFrame, tolerance: float = P.TOLERANCE_P
     )
 
 
+def variance_shifts(rec: DataFrame, most: int = 5) -> DataFrame:
+    """The flagged shifts of the greatest variance, either way."""
+    far = F.abs("qty_variance_pct")
+    flagged = rec.filter("variance_flag").orderBy(far.desc(), "station_id", "shift_id").limit(most)
+    return flagged.select("station_id", "shift_id", "inspection_events", "mes_units_completed", "qty_variance_pct")
+
+
 def orphan_ncrs(qms: DataFrame, keyed: DataFrame) -> DataFrame:
     return qms.join(keyed.select("serial_key").distinct(), "serial_key", "left_anti")
 

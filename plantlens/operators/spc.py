@@ -95,6 +95,11 @@ def valid_readings(looks: DataFrame) -> DataFrame:
     return looks.filter(ok & ~F.isnan("feature_dim_mm"))
 
 
+def in_days(events: DataFrame, first: str, last: str) -> DataFrame:
+    """Events of a closed range of days."""
+    return events.filter(F.to_date("ts").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+
+
 def recent_start(looks: DataFrame, days: int = P.RECENT_DAYS) -> DataFrame:
     """One row: the start of the recent window, which has one day more."""
     return looks.agg(F.date_sub(F.to_date(F.max("ts")), days).alias("start"))

@@ -264,3 +264,21 @@ ORACLE_SQL["coverage_kpis"] = HEAD.rstrip() + ",\ng AS (SELECT mode, bool_or(det
 _VOLUME = "WITH" + _RANGES[1:] + "\nSELECT o_custkey, count(*) AS items, count(k) AS matched, CAST(sum(k) AS BIGINT) AS key_sum FROM ({}) GROUP BY o_custkey"
 ORACLE_SQL["asof_volume"] = _VOLUME.format("SELECT i.o_custkey, rid, max_by(o.o_orderkey, (o.s, o.o_orderkey)) AS k FROM items i LEFT JOIN ords o ON o.o_custkey = i.o_custkey AND o.s <= i.ship GROUP BY i.o_custkey, rid")
 ORACLE_SQL["range_volume"] = _VOLUME.format("SELECT i.o_custkey, o.o_orderkey AS k FROM items i LEFT JOIN ords o ON o.o_custkey = i.o_custkey AND i.ship BETWEEN o.s AND coalesce(o.nx, DATE '2030-01-01') - 1")
+
+_CHECK = "CASE WHEN cause LIKE '%tooling/eoat%' THEN 'eoat' WHEN cause LIKE '%tooling/fixture%' THEN 'fixture' WHEN cause LIKE '%imaging%' THEN 'imaging' ELSE 'measurement' END"
+_SCOPE = _Q["containment_units"]
+_SERIES = ["datamatrix_grade", "ref_repeatability_mm", "locator_wear_mm", "gripper_pad_wear_mm", "tcp_offset_mm"]
+ORACLE_SQL |= {
+    k: HEAD + v
+    for k, v in {
+        "scorecard_left_join": "SELECT f.station_id, f.n, round(cap.cpk, 6) AS cpk FROM (SELECT station_id, count(*) AS n FROM fp GROUP BY station_id) f LEFT JOIN cap ON cap.station_id = f.station_id",
+        "recent_window_in_range": f"SELECT station_id, count(*) AS n, CAST(min(d) AS VARCHAR) AS first_day, CAST(max(d) AS VARCHAR) AS last_day FROM (SELECT station_id, CAST(ts AS DATE) AS d, max(CAST(ts AS DATE)) OVER () - {P.RECENT_DAYS} AS start FROM inspections WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20') WHERE d >= start GROUP BY station_id",
+        "variance_shifts": "SELECT station_id, shift_id, inspection_events, units_completed AS mes_units_completed, round(v, 3) AS qty_variance_pct FROM rec WHERE abs(v) > 5 ORDER BY abs(round(v, 3)) DESC, station_id, shift_id LIMIT 5",
+        "effective_coverage": "SELECT count(*) AS declared_pairs, count(*) FILTER (WHERE condition <> 'ALERT') AS effective_pairs, round((count(*) FILTER (WHERE condition <> 'ALERT'))::DOUBLE / count(*), 4) AS effective_rate, coalesce(string_agg(DISTINCT CASE WHEN condition = 'ALERT' THEN mode END, ',' ORDER BY CASE WHEN condition = 'ALERT' THEN mode END), '') AS modes_losing, coalesce(string_agg(DISTINCT CASE WHEN condition = 'ALERT' THEN station_id END, ',' ORDER BY CASE WHEN condition = 'ALERT' THEN station_id END), '') AS stations_losing FROM cond",
+        "fleet_series": " UNION ALL ".join(f"SELECT station_id, production_day, imaging_ok, measurement_ok, fixture_ok AND eoat_ok AS tooling_ok, '{c}' AS measure, round({c}, 5) AS value FROM judged" for c in _SERIES),
+        "f_coverage_lost_card": f"SELECT l.station_id, modes_lost, longest_run, first_day_below, {_CHECK} AS check_name, owner, escalate_days, {r('fpy_overall')}, violations, {r('cpk_recent')}, status FROM lost l LEFT JOIN dim_reaction d ON d.check_name = {_CHECK} LEFT JOIN scored s ON s.station_id = l.station_id",
+        "finding_peers": "SELECT finding_id, cf.station_id, cf.check_name, row_number() OVER (PARTITION BY finding_id, cf.station_id, cf.check_name ORDER BY CASE state WHEN 'BREACHED' THEN 0 WHEN 'APPROACHING' THEN 1 ELSE 2 END, fraction DESC, f.station_id) AS place, f.station_id AS peer, state, fraction FROM cf JOIN frac f ON f.check_name = cf.check_name AND f.station_id <> cf.station_id",
+        "look_across_scope": f"SELECT e.finding_id, e.station_id, e.mode, verdict, n_affected, from_day, to_day, units FROM extent e LEFT JOIN ({_SCOPE}) c ON c.station_id = e.station_id WHERE e.station_id <> '-'",
+        "stream_phase2": _Q["phase2_score"],
+    }.items()
+}

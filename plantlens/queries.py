@@ -213,6 +213,19 @@ def scorecard_assemble(p):
     return p.looks.groupBy("station_id").agg(F.count("*").alias("n")).join(spc.capability(p.looks).select("station_id", "cpk"), "station_id", "left")
 
 
+@query
+def scorecard_left_join(p):
+    """Every station's looks and capability; null without a valid reading."""
+    return scorecard_assemble(p)
+
+
+@query
+def recent_window_in_range(p):
+    """Of a range of days asked for: the window that ends with its last day that has events."""
+    events = spc.in_days(p.raw, "2024-01-05", "2024-01-20")
+    return spc.recent_window(events).groupBy("station_id").agg(F.count("*").alias("n"), F.min(F.to_date("ts")).alias("first_day"), F.max(F.to_date("ts")).alias("last_day"))
+
+
 @query
 def status_rule(p):
     return spc.scorecard(p.looks).select("station_id", "violations", "status")
@@ -412,6 +425,12 @@ def qty_variance(p):
     return p.reconciled.select("station_id", "shift_id", "mes_units_completed", "qty_variance_pct", "variance_flag")
 
 
+@query
+def variance_shifts(p):
+    """The five shifts whose logged units differ most from the inspected ones."""
+    return integrate.variance_shifts(p.reconciled)
+
+
 @query
 def shift_counts(p):
     return integrate.shift_counts(p.keyed)
@@ -497,6 +516,11 @@ def coverage_kpis(p):
     return coverage.coverage_kpis(p.cov, p.econ)
 
 
+@query
+def effective_coverage(p):
+    return coverage.effective_coverage(p.cond)
+
+
 @query
 def mode_label(p):
     return coverage.mode_labels(p.observed, p.dim("dim_mode"), p.dim("dim_basis"))
@@ -626,6 +650,12 @@ def fleet_selftest(p):
     return condition.fleet(p.judged, p.cond)
 
 
+@query
+def fleet_series(p):
+    """Each station's days: readings that are trended and the verdicts of the day."""
+    return condition.day_series(p.judged)
+
+
 # ---- findings and extent --------------------------------------------------
 @query
 def f_unassigned_mode(p):
@@ -658,6 +688,15 @@ def f_coverage_lost(p):
     return p.lost
 
 
+@query
+def f_coverage_lost_card(p):
+    """Stations that lost coverage, beside what their scorecard says and who is to react."""
+    card = spc.scorecard(p.looks).select("station_id", "fpy_overall", "violations", "cpk_recent", "status")
+    named = p.lost.withColumn("check_name", findings.check_of_cause())
+    plans = findings.reaction_plans(named, p.dim("dim_reaction")).select("station_id", "modes_lost", "longest_run", "first_day_below", "check_name", "owner", "escalate_days")
+    return plans.join(card, "station_id", "left")
+
+
 @query
 def f_transient(p):
     return findings.transient(p.cond)
@@ -704,6 +743,19 @@ def peer_rank(p):
     return findings.peer_rank(p.fractions).select("check_name", "place", "station_id", "state")
 
 
+@query
+def finding_peers(p):
+    """For each finding on a station: all other stations on the same check, the worst first."""
+    return findings.ranked_peers(p.cond_findings, p.fractions)
+
+
+@query
+def look_across_scope(p):
+    """Findings on stations with their extent and the units made since they began."""
+    scope = findings.containment(p.cond, p.selftest_mart)
+    return p.extent.filter("station_id <> '-'").select("finding_id", "station_id", "mode", "verdict", "n_affected").join(scope, "station_id", "left")
+
+
 @query
 def containment_units(p):
     return findings.containment(p.cond, p.selftest_mart)
@@ -732,23 +784,34 @@ def _feed(p: Plant) -> DataFrame:
     return stream.read_stream(p.spark, path, tables.EVENT_SCHEMA)
 
 
-def _run(p: Plant, result: DataFrame, name: str, mode: str = "update") -> DataFrame:
-    return stream.run_available(result, tables.scratch_path(p.spark, "feed-state"), f"{name}_{abs(hash((p.sf_dir, id(p)))) % 10**9}", mode)
+def _updated(p: Plant, result: DataFrame) -> DataFrame:
+    return stream.run_updated(result, tables.scratch_path(p.spark, "feed-rows"), ["station_id", "start"])
 
 
 @query
 def stream_dedupe(p):
-    return _run(p, stream.dedupe(_feed(p), "40 days").select("event_id", "station_id"), "dedupe", "append")
+    return stream.run_appended(stream.dedupe(_feed(p), "40 days").select("event_id", "station_id"), tables.scratch_path(p.spark, "feed-rows"))
 
 
 @query
 def stream_daily_fpy(p):
-    return _run(p, stream.daily_fpy(_feed(p), "40 days"), "daily")
+    return _updated(p, stream.daily_fpy(_feed(p), "40 days"))
 
 
 @query
 def stream_shift_fpy(p):
-    return _run(p, stream.shift_fpy(_feed(p), "40 days"), "shifts")
+    return _updated(p, stream.shift_fpy(_feed(p), "40 days"))
+
+
+@query
+def stream_phase2(p):
+    """The feed's days, each id once, against the limits of the baseline."""
+    path = tables.scratch_path(p.spark, "feed")
+    p.events.write.parquet(path)
+    feed = stream.read_stream(p.spark, path, tables.EVENT_SCHEMA)
+    days = _updated(p, stream.daily_fpy(feed, "40 days")).select("station_id", F.to_date("start").alias("d"), "n", "fails", (F.col("fails") / F.col("n")).alias("defect_rate"))
+    later = spc.subgroup_rank(days).filter(F.col("subgroup") > P.BASELINE_DAYS)
+    return stream.phase2_score(later, spc.baseline_pbar(days)).select(*DAY, "ucl", "lcl", "out_of_control")
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,13 +102,24 @@ def _to_end(writer: DataStreamWriter, state: str) -> None:
         query.stop()
 
 
-def run_available(result: DataFrame, path: str, name: str, mode: str = "update") -> DataFrame:
-    """Runs a feed to its present end and reads the result. Appended rows may be
-    as many as the feed has and go to Parquet files beside the state; updated
-    ones (a row a station and window) to a table of the session."""
-    spark = result.sparkSession
-    if mode == "append":
-        _to_end(result.writeStream.format("parquet").option("path", f"{path}/rows").outputMode(mode), f"{path}/state")
-        return spark.read.schema(result.schema).parquet(f"{path}/rows")
-    _to_end(result.writeStream.format("memory").queryName(name).outputMode(mode), path)
-    return spark.table(name)
+def run_appended(result: DataFrame, path: str) -> DataFrame:
+    """Runs a feed to its present end and reads the rows that it appended, from
+    Parquet files beside the state."""
+    _to_end(result.writeStream.format("parquet").option("path", f"{path}/rows").outputMode("append"), f"{path}/state")
+    return result.sparkSession.read.schema(result.schema).parquet(f"{path}/rows")
+
+
+def run_updated(result: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """The same for a result that updates its rows. Every trigger writes what it
+    has updated under its number, so one that is run again replaces what it
+    wrote; of each key the row of the last trigger holds."""
+
+    def trigger(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/trigger={number}")
+
+    _to_end(result.writeStream.foreachBatch(trigger).outputMode("update"), f"{path}/state")
+    schema = T.StructType([*result.schema.fields, T.StructField("trigger", T.LongType())])
+    rows = tables.optional_source(result.sparkSession, f"{path}/rows", schema)
+    rest = [c for c in result.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "trigger").alias("_r"))
+    return last.select(*[c if c in keys else F.col(f"_r.{c}") for c in result.columns])

@@ -12,9 +12,9 @@ def test_appended_rows_stay_off_the_driver(spark, tmp_path):
     rows = [event(i % 20, ts=dt.datetime(2024, 1, 1, i % 20)) for i in range(40)]
     spark.createDataFrame(rows, EVENT_SCHEMA).write.parquet(str(tmp_path / "feed"))
     feed = stream.read_stream(spark, str(tmp_path / "feed"), EVENT_SCHEMA)
-    got = stream.run_available(stream.dedupe(feed).select("event_id"), str(tmp_path / "out"), "appended", "append")
+    got = stream.run_appended(stream.dedupe(feed).select("event_id"), str(tmp_path / "out"))
     assert sorted(r.event_id for r in got.collect()) == sorted(f"E{i}" for i in range(20))
-    assert not spark.catalog.tableExists("appended") and got.inputFiles()
+    assert got.inputFiles()
 
 
 def test_held_readings_over_days_and_triggers(spark, tmp_path):
@@ -35,3 +35,14 @@ def test_held_readings_over_days_and_triggers(spark, tmp_path):
     assert sum(want.values()) > 40
     assert len(got) == len(rows) and {r.event_id: r.held for r in got} == want
     assert len(list((tmp_path / "out" / "last").iterdir())) == 4
+
+
+def test_updated_rows_over_triggers(spark, tmp_path):
+    """A file a trigger: each station and day has one row, of all its events."""
+    for k in range(3):
+        rows = [event(10 * k + i, ts=dt.datetime(2024, 1, 1 + i % 2, 2 + k), station_id="S1", vision_result="FAIL" if i == k else "PASS") for i in range(4)]
+        spark.createDataFrame(rows, EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    feed = stream.read_stream(spark, str(tmp_path / "feed"), EVENT_SCHEMA, files=1)
+    got = stream.run_updated(stream.daily_fpy(feed), str(tmp_path / "out"), ["station_id", "start"])
+    assert len(list((tmp_path / "out" / "rows").iterdir())) >= 3
+    assert sorted((r.start.day, r.n, r.fails) for r in got.collect()) == [(1, 6, 2), (2, 6, 1)]
