@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +15,20 @@ from plantlens.sources.tables import scratch_path
 
 
 class Plant:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """``sources`` are landed extracts by name (``landed`` reads a folder of
+    them); what is not among them is derived from the events table of ``sf_dir``.
+    ``dims`` are policy tables by name (``policy.read_dims`` reads a folder of
+    them) in place of those of the built-in policy."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, sources: Mapping[str, DataFrame] | None = None, dims: Mapping[str, DataFrame] | None = None):
         self.spark, self.sf_dir = spark, sf_dir
+        self.sources, self.own_dims = dict(sources or {}), dict(dims or {})
 
     def source(self, name: str) -> DataFrame:
-        return extract(self.spark, self.sf_dir, name)
+        return self.sources[name] if name in self.sources else extract(self.spark, self.sf_dir, name)
 
     def dim(self, name: str) -> DataFrame:
-        return P.dim(self.spark, name)
+        return self.own_dims[name] if name in self.own_dims else P.dim(self.spark, name)
 
     def mart(self, df: DataFrame, name: str) -> DataFrame:
         """A mart of a row a station, day or mode, written once and read by all

@@ -102,6 +102,19 @@ def dim(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def read_dims(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The policy tables that a folder holds as JSON lines, ``<name>.json``; the
+    others stay those of the built-in policy. Read with their schema: a row
+    that does not fit it is an error."""
+    jvm = spark._jvm
+    found = {}
+    for name, (schema, _) in DIMS.items():
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.json")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            found[name] = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{folder}/{name}.json")
+    return found
+
+
 def _literal(v: object) -> str:
     if v is None:
         return "NULL"

@@ -57,6 +57,28 @@ def optional_source(spark: SparkSession, path: str, schema: T.StructType | str,
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+TEXT_EXTRACTS = {
+    "erp_work_orders": ["WORK_ORDER_NO", "ITEM_NO", "PROD_LINE", "SCHED_START_DT", "SCHED_END_DT"],
+    "qms_ncr": ["NCR_NO", "SERIAL_NO", "DEFECT_CATEGORY", "DISPOSITION"],
+}
+
+
+def landed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The extracts that a folder holds as CSV with a header: ``<name>.csv``, a
+    file or a folder each. A text extract may have more columns, in any order."""
+    found = {}
+    for name in ("inspections", "mes_shift_log", *TEXT_EXTRACTS):
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.csv")
+        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            continue
+        path = f"{folder}/{name}.csv"
+        if name in TEXT_EXTRACTS:
+            found[name] = spark.read.option("header", True).csv(path).select(*TEXT_EXTRACTS[name])
+        else:
+            found[name] = scan_events(spark, path) if name == "inspections" else scan_mixed(spark, path)
+    return found
+
+
 def source_sanity(df: DataFrame, key: str = "station_id") -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_keys"))
 
@@ -94,7 +116,11 @@ def write_report(parts: dict[str, DataFrame], path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder of ``spark.checkpoint.dir``; only where
-    that is unset, as in a local test session, in a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plantlens-")
+    """A fresh path in the shared folder of ``spark.checkpoint.dir``. Where that
+    is unset, it is below the warehouse, or, if driver and executors are one
+    process, in a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] == "local":
+        root = tempfile.mkdtemp(prefix="plantlens-")
+    root = root or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/plantlens-{tag}-{uuid.uuid4().hex}"
