@@ -24,7 +24,8 @@ BUCKETS = 1 << 21
 #: Bound of the fit: labelled rows, drawn by a hash of their ids.
 SAMPLE = 20_000
 #: A feature stands in at least so many of these rows, and its G2 is beyond
-#: what one in ten thousand reaches of the features that say nothing of the label.
+#: what one in ten thousand reaches of the features that say nothing of the label,
+#: or half the greatest where so few rows are labelled that this is less.
 LEAST_ROWS, LEAST_G2 = 3, 15.14
 SMOOTHING, PENALTY, STEPS = 1.0, 0.02, 120
 #: Places of n-grams that are worked on at a time.
@@ -198,8 +199,9 @@ def fit(
     gain = a * F.log(a / F.lit(n1 + SMOOTHING) / share) + b * F.log(b / F.lit(n0 + SMOOTHING) / share)
     ratio = F.log(a / F.lit(n1 + 2 * SMOOTHING)) - F.log(b / F.lit(n0 + 2 * SMOOTHING))
     counted = map_batches(rows, _counts, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    some = counted.filter(F.col("n0") + F.col("n1") >= LEAST_ROWS).filter(2 * gain >= LEAST_G2)
-    best = some.select("feature", ratio.alias("ratio")).toPandas().sort_values("feature")
+    some = written(counted.filter(F.col("n0") + F.col("n1") >= LEAST_ROWS).select("feature", ratio.alias("ratio"), (2 * gain).alias("g2")), "features")
+    limit_g2 = min(LEAST_G2, (some.agg(F.max("g2")).first()[0] or 0.0) / 2)
+    best = some.filter(F.col("g2") >= limit_g2).select("feature", "ratio").toPandas().sort_values("feature")
     features, ratios = best["feature"].to_numpy(np.int64), best["ratio"].to_numpy(np.float64)
     empty = Model(features, ratios, 0.0)
 
