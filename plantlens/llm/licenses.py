@@ -20,27 +20,47 @@ from plantlens.llm.common import id_and_text, map_batches, text_bytes
 #: Phrases and the labels they give.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Notices and opening passages of public licences.
+#: Notices and sections of public licences, as words.
 TEMPLATES = {
     "mit": [
+        "the mit license mit",
         "released under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     ],
     "apache-2": [
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
         "licensed under the apache license version 2 0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ],
+    "bsd-3": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ],
+    "gpl": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"],
+    "gpl-2": [
+        "this work is licensed under the gnu general public license version 2",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     ],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
-    "gpl-2": ["this work is licensed under the gnu general public license version 2"],
     "gpl-3": [
         "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     ],
     "lgpl-3": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license version 3"],
     "agpl-3": ["this work is licensed under the gnu affero general public license version 3"],
-    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ],
     "cc-by": ["this work is licensed under a creative commons attribution 4 0 international license", "licensed under cc by 4 0"],
     "cc-by-sa": ["this work is licensed under a creative commons attribution sharealike 4 0 international license", "licensed under cc by sa 4 0"],
     "cc-by-nc": ["this work is licensed under a creative commons attribution noncommercial 4 0 international license", "licensed under cc by nc 4 0"],
@@ -55,24 +75,24 @@ LEAST_MATCH, MOST_GAP, LEAST_SHARE = 4, 12, 0.8
 class SuffixAutomaton:
     """All stretches of words of several templates. For each state: next
     states, suffix link, greatest length, and the templates that hold it with
-    the end of one place there."""
+    the ends of all its places there."""
 
     def __init__(self, templates: Sequence[Sequence[bytes]], phrases: Sequence[Sequence[bytes]] = ()):
         self.words = {w: i for i, w in enumerate(dict.fromkeys(w for t in [*templates, *phrases] for w in t))}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.places: list[dict[int, int]] = [{}]
+        self.places: list[dict[int, set[int]]] = [{}]
         for k, template in enumerate([*templates, *phrases]):
             last = 0
             for end, word in enumerate(template):
                 last = self._extend(last, self.words[word])
                 if k < len(templates):
-                    self.places[last].setdefault(k, end)
+                    self.places[last].setdefault(k, set()).add(end)
         order = sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True)
         for s in order:
             if self.link[s] > 0:
-                for k, end in self.places[s].items():
-                    self.places[self.link[s]].setdefault(k, end)
+                for k, ends in self.places[s].items():
+                    self.places[self.link[s]].setdefault(k, set()).update(ends)
         own: list[list[tuple[int, int]]] = [[] for _ in self.next]
         for p, phrase in enumerate(phrases):
             s = 0
@@ -149,19 +169,19 @@ class SuffixAutomaton:
 
 def chain(matches: Sequence[tuple[int, int, int]], gap: int = MOST_GAP) -> tuple[int, int, int]:
     """Most words of one template covered by matches in order, at most ``gap``
-    words apart, and the text span of that chain. matches: start in the text,
-    start in the template, length; sorted by the first."""
+    words apart, and the text span of that chain: of several the shortest, then
+    the first. matches: start in the text, start in the template, length; sorted
+    by the first."""
     best = (0, 0, 0)
-    kept: list[tuple[int, int, int, int]] = []  # end in text, end in template, words, first word
+    live: list[tuple[int, int, int, int]] = []  # end in text, end in template, words, first word
     for at, t, n in matches:
+        live = [k for k in live if at - k[0] <= gap]  # later matches start no earlier
         words, first = n, at
-        for end, t_end, w, f in reversed(kept):
-            if at - end > gap + 256:
-                break
-            if at >= end and t >= t_end and at - end <= gap and w + n > words:
+        for end, t_end, w, f in live:
+            if at >= end and t >= t_end and (w + n, f) > (words, first):
                 words, first = w + n, f
-        kept.append((at + n, t + n, words, first))
-        best = max(best, (words, first, at + n - 1), key=lambda x: x[0])
+        live.append((at + n, t + n, words, first))
+        best = max(best, (words, first, at + n - 1), key=lambda c: (c[0], c[1] - c[2], -c[1]))
     return best
 
 
@@ -179,16 +199,19 @@ class Scanner:
         labels, score, spans = set(base), 1.0 if base else 0.0, []
         per: dict[int, list[tuple[int, int, int]]] = {}
         for end, n, state in matches:
-            for k, t_end in self.automaton.places[state].items():
-                per.setdefault(k, []).append((end - n + 1, t_end - n + 1, n))
-        for k, ms in sorted(per.items()):
-            label, template = self.templates[k]
-            covered, first, last = chain(ms)
-            share = min(1.0, covered / len(template))
+            for k, ends in self.automaton.places[state].items():
+                per.setdefault(k, []).extend((end - n + 1, t_end - n + 1, n) for t_end in ends)
+        long = []
+        for k, ms in per.items():
+            covered, first, last = chain(sorted(ms))
+            share = covered / len(self.templates[k][1])
             score = max(score, share)
             if share >= LEAST_SHARE:
-                labels.add(label)
-                spans.append({"label": label, "first_word": first, "last_word": last, "share": share})
+                long.append((k, covered, first, last, share))
+        for k, covered, first, last, share in sorted(long):
+            if not any(c > covered and f <= first and last <= z for _, c, f, z, _ in long):
+                labels.add(self.templates[k][0])
+                spans.append({"label": self.templates[k][0], "first_word": first, "last_word": last, "share": share})
         starts = [s for s, _ in found]
         return (
             len(words),
@@ -211,7 +234,9 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns doc_id, n_words, n_base (places of phrases), first_word and
     last_word (their least and greatest start, else null), base_labels, labels,
     score (greatest covered share of a template; 1 where a phrase stands) and
-    spans. Null and empty texts have no words, empty labels and score 0.
+    spans. A template has its best chain only, and none where another template
+    covers more words of a span around it: licences that differ in a word are
+    told apart. Null and empty texts have no words, empty labels and score 0.
     Repeated rows are scanned each; other columns are not read.
     """
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), SPANS]

@@ -42,8 +42,69 @@ def test_matching_statistics_are_longest_stretches():
         assert ends == want
         assert sorted(s for s, _ in found) == [i for i in range(14) if text[i : i + 2] == [b"a", b"b"]]
         for e, n, state in matches:
-            for k, at in automaton.places[state].items():
-                assert templates[k][at + 1 - n : at + 1] == text[e + 1 - n : e + 1]
+            part = text[e + 1 - n : e + 1]
+            at = {k: {i + n - 1 for i in range(13 - n) if t[i : i + n] == part} for k, t in enumerate(templates)}
+            assert automaton.places[state] == {k: ends for k, ends in at.items() if ends}
+
+
+def best_chain(matches, gap):
+    """Of all chains: most words, the shortest span, the first."""
+    chains, grown = [], [[m] for m in matches]
+    while grown:
+        chains += grown
+        grown = [[*c, m] for c in grown for m in matches if c[-1][0] + c[-1][2] <= m[0] <= c[-1][0] + c[-1][2] + gap and m[1] >= c[-1][1] + c[-1][2]]
+    spans = [(sum(n for _, _, n in c), c[0][0], c[-1][0] + c[-1][2] - 1) for c in chains]
+    return min(spans, key=lambda s: (-s[0], s[2] - s[1], s[1]), default=(0, 0, 0))
+
+
+def test_chain_against_all_chains():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        matches = sorted((int(a), int(t), int(n)) for a, t, n in zip(rng.integers(0, 25, 8), rng.integers(0, 15, 8), rng.integers(1, 6, 8)))
+        assert lic.chain(matches, 4) == best_chain(matches, 4)
+    # a short match far behind does not hide a long one that ends nearer
+    assert lic.chain([(0, 0, 300), (10, 50, 4), (305, 300, 4)]) == (304, 0, 308)
+
+
+def test_labels_and_score_against_brute_force():
+    rng = np.random.default_rng(3)
+    words = ["a", "b", "c", "d"]
+    some = lambda n: " ".join(words[i] for i in rng.integers(0, 4, n))
+    for _ in range(40):
+        templates = {x: [some(int(n)) for n in rng.integers(5, 9, 2)] for x in ("p", "q", "r")}
+        flat = [(x, t.split()) for x, ts in templates.items() for t in ts]
+        phrases = {"a b c d a": "base"}
+        scanner = lic.Scanner(templates, phrases)
+        for _ in range(5):
+            text = " z ".join(some(int(n)) for n in rng.integers(2, 10, 3)).split()
+            places = lambda part: [(k, i) for k, (_, t) in enumerate(flat) for i in range(len(t)) if t[i : i + len(part)] == part]  # noqa: B023, E731
+            known = [t for _, t in flat] + [p.split() for p in phrases]
+            stands = lambda part: any(t[i : i + len(part)] == part for t in known for i in range(len(t)))  # noqa: B023, E731
+            longest = [max((n for n in range(1, e + 2) if stands(text[e + 1 - n : e + 1])), default=0) for e in range(len(text))]
+            ends = [e for e, n in enumerate(longest) if n >= lic.LEAST_MATCH and (e + 1 == len(text) or longest[e + 1] != n + 1)]
+            per = {}
+            for e in ends:
+                for k, i in places(text[e + 1 - longest[e] : e + 1]):
+                    per.setdefault(k, []).append((e + 1 - longest[e], i, longest[e]))
+            found = {k: best_chain(sorted(ms), lic.MOST_GAP) for k, ms in per.items()}
+            base = {"base"} if any(text[i : i + 5] == "a b c d a".split() for i in range(len(text))) else set()
+            share = {k: c[0] / len(flat[k][1]) for k, c in found.items()}
+            long = {k: found[k] for k in found if share[k] >= lic.LEAST_SHARE}
+            inside = lambda k: any(c[0] > long[k][0] and c[1] <= long[k][1] and long[k][2] <= c[2] for c in long.values())  # noqa: B023, E731
+            labels = base | {flat[k][0] for k in long if not inside(k)}
+            got = scanner.scan(" ".join(text).encode())
+            assert got[4:7] == (",".join(base), ",".join(sorted(labels)), 1.0 if base else max(share.values(), default=0.0))
+
+
+def test_licences_that_differ_in_a_word():
+    label = lambda t: lic.Scanner().scan(t.encode())[5]
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    nc = "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."
+    by = nc.replace("-NonCommercial", "")
+    assert label(gpl.format(2)) == "gpl-2" and label(gpl.format(3)) == "gpl-3"
+    assert label(nc) == "cc-by-nc" and label(by) == "cc-by"
+    assert label(nc + " Fish swim far below the old bridge. " + by) == "cc-by,cc-by-nc"
+    assert label("The MIT License (MIT)") == "mit"
 
 
 def test_labels_of_templates(spark):
