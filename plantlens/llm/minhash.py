@@ -25,7 +25,8 @@ from plantlens.llm.graph import connected_components
 
 BINS, ROWS = 128, 4
 ORDERED = {"string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz", "binary"}
-BLOCK = 1024
+#: Members of one block of a large bucket; a task's group has at most two blocks.
+BLOCK = 256
 _U = np.uint64
 _NONE = _U(2**64 - 1)
 

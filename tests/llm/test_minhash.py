@@ -50,7 +50,7 @@ def copies():
     return [(i * 3 % 1009, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("words", "block"), [(2, 1024), (5, 1024), (2, 8)])
+@pytest.mark.parametrize(("words", "block"), [(2, 1024), (5, 1024), (2, 256), (2, 8)])
 def test_same_groups_as_all_pairs(spark, copies, monkeypatch, words, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
     df = spark.createDataFrame(copies, "doc_id long, text string")
