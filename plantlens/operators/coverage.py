@@ -28,7 +28,9 @@ def ncr_by_mode(qms: DataFrame, categories: DataFrame) -> DataFrame:
 def coverage_states(observed: DataFrame, position: DataFrame, assignment: DataFrame, modes: DataFrame) -> DataFrame:
     """One row for each station and mode, of the plan or seen."""
     seen = modes.select("mode").union(observed.select("mode")).distinct()
-    grid = position.select("line_id", "station_id", "position").join(F.broadcast(seen), F.lit(True))  # stations x modes of the policy
+    stations = position.agg(F.collect_list(F.struct("line_id", "station_id", "position")).alias("at"))
+    # one row of the policy's stations; what modes the data hold is not bounded
+    grid = seen.join(F.broadcast(stations), F.lit(True)).select("mode", F.explode("at").alias("at")).select("at.*", "mode")
     n = F.coalesce("detections", F.lit(0))
     declared = F.coalesce("declared", F.lit(False))
     state = F.when(declared & (n > 0), "COVERED").when(declared, "DECLARED_SILENT").when(n > 0, "UNDECLARED_DETECTED").otherwise("NOT_APPLICABLE")

@@ -52,24 +52,31 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on
 
     Time is cut into buckets. Within a key and bucket both sides are united and
     the last right row seen is carried forward; what earlier buckets carry in is
-    found over one row a key and bucket. So no task holds the whole time line of
-    a key, and a hot key is split by a finer ``bucket``. A right row of the same
-    time counts as before; of several the last in order of all values. Rows with
-    a null key or time match nothing.
+    found over one row a key and bucket, and stands in front of the bucket. So no
+    task holds the whole time line of a key, and a hot key is split by a finer
+    ``bucket``. A right row of the same time counts as before; of several the
+    last in order of all values. Rows with a null key or time match nothing, and
+    lie anywhere in the shuffle.
     """
     name, kind = left.columns, right.select(F.struct(*values)).schema[0].dataType
     at = lambda df, c: df.withColumn("_t", F.col(c)).withColumn("_b", bucket(F.col(c)))
-    l, r = at(left, left_on), at(right, right_on).filter(F.col("_t").isNotNull() & F.col(by).isNotNull())  # noqa: E741
+    known = F.col("_t").isNotNull() & F.col(by).isNotNull()
+    l, r = at(left, left_on), at(right, right_on).filter(known)  # noqa: E741
     last = r.groupBy(by, "_b").agg(F.max(F.struct("_t", F.struct(*values).alias("v"))).alias("m")).select(by, "_b", F.col("m.v").alias("_v"))
-    every = last.unionByName(l.select(by, "_b", F.lit(None).cast(kind).alias("_v")).distinct()).groupBy(by, "_b").agg(F.max("_v").alias("_v"))
+    every = last.unionByName(l.filter(known).select(by, "_b", F.lit(None).cast(kind).alias("_v")).distinct()).groupBy(by, "_b").agg(F.max("_v").alias("_v"))
     before = W.partitionBy(by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carried = every.select(by, "_b", F.last("_v", ignorenulls=True).over(before).alias("_c")).filter("_c is not null")
-
-    rows = l.select(*name, "_t", "_b", F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_v"))
-    marks = r.select(*[F.col(by) if c == by else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in name], "_t", "_b", F.lit(0).alias("_side"), F.struct(*values).alias("_v"))
-    order = W.partitionBy(by, "_b").orderBy("_t", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
-    seen = rows.union(marks).withColumn("_m", F.last("_v", ignorenulls=True).over(order)).filter("_side = 1")
-    got = seen.join(carried, [by, "_b"], "left").withColumn("_m", F.when(F.col("_t").isNotNull() & F.col(by).isNotNull(), F.coalesce("_m", "_c")))
+    carried = every.select(by, "_b", F.last("_v", ignorenulls=True).over(before).alias("_v")).filter("_v is not null")
+
+    time = l.schema["_t"].dataType
+    blank = [F.col(by) if c == by else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in name]
+    spot = F.when(~known, F.pmod(F.xxhash64(*[c for c, k in left.dtypes if "map<" not in k]), F.lit(1024)))
+    no_spot = F.lit(None).cast("long").alias("_spot")
+    rows = l.select(*name, "_t", "_b", F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_v"), spot.alias("_spot"))
+    marks = r.select(*blank, "_t", "_b", F.lit(0).alias("_side"), F.struct(*values).alias("_v"), no_spot)
+    front = carried.select(*blank, F.lit(None).cast(time).alias("_t"), "_b", F.lit(0).alias("_side"), "_v", no_spot)
+    order = W.partitionBy(by, "_b", "_spot").orderBy(F.asc_nulls_first("_t"), "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
+    seen = rows.union(marks).union(front).withColumn("_m", F.last("_v", ignorenulls=True).over(order)).filter("_side = 1")
+    got = seen.withColumn("_m", F.when(known, F.col("_m")))
     return got.select(*name, *[F.col(f"_m.{v}").alias(v) for v in values])
 
 

@@ -34,8 +34,15 @@ def consistent() -> list[tuple[str, Column]]:
 
 
 def with_duplicates(events: DataFrame, key: str = "event_id") -> DataFrame:
-    """Marks every row of a repeated key; null keys are equal to each other."""
-    return events.withColumn("is_duplicate", F.count("*").over(W.partitionBy(key)) > 1)
+    """Marks every row of a repeated key; null keys are equal to each other.
+    Rows without a key are counted in one aggregate and lie anywhere in the
+    window's shuffle, so that they are no hot key."""
+    none = F.col(key).isNull()
+    spot = F.when(none, F.pmod(F.xxhash64(*events.columns), F.lit(1024)))
+    without = events.agg((F.count_if(none) > 1).alias("_repeated"))
+    both = events.join(F.broadcast(without), F.lit(True))  # one row
+    again = F.count("*").over(W.partitionBy(key, spot)) > 1
+    return both.withColumn("is_duplicate", F.when(none, F.col("_repeated")).otherwise(again)).drop("_repeated")
 
 
 def unique() -> list[tuple[str, Column]]:

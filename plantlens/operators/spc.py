@@ -6,7 +6,7 @@ run over those rows. Tables of one row a station are joined by that key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -201,21 +201,52 @@ def phase2_score(new_days: DataFrame, limits: DataFrame, sigma: int = P.SIGMA) -
     return add_limits(limits_join(new_days, limits), sigma)
 
 
+def with_rows_before(rows: DataFrame, value: str, k: int, bucket: Callable[[Column], Column] = F.to_date) -> DataFrame:
+    """All rows and, in front of each bucket of a station's time, the last ``k``
+    rows of earlier buckets (_own = 0, with nothing but station and ``value``),
+    so that windows over a few rows need no station's whole history in one task.
+
+    Adds _b, _own, _at (the place in front) and _rn, the number of each row in
+    its station by ts and event_id. What earlier buckets hand on is found over
+    one row a station and bucket; a hot station is split by a finer ``bucket``.
+    """
+    cut = rows.withColumn("_b", bucket(F.col("ts")))
+    order = W.partitionBy("station_id", "_b").orderBy("ts", "event_id")
+    ends = cut.select("station_id", "_b", F.row_number().over(order).alias("_n"), F.lead(F.lit(True), k).over(order).alias("_more"), value).filter("_more is null")
+    tails = ends.groupBy("station_id", "_b").agg(F.max("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_n", value))).alias("_tail"))
+    days = W.partitionBy("station_id").orderBy("_b")
+    known = F.flatten(F.collect_list("_tail").over(days.rowsBetween(-k, -1)))
+    before = tails.select("station_id", "_b", F.sum("_n").over(days.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.slice(F.reverse(known), 1, k).alias("_last"))
+    front = before.select("station_id", "_b", "_before", F.posexplode("_last").alias("_at", "_r"))
+    taken = {"station_id": F.col("station_id"), value: F.col(f"_r.{value}")}
+    kinds = {f.name: f.dataType for f in rows.schema}
+    guests = front.select(*[taken.get(c, F.lit(None).cast(kinds[c])).alias(c) for c in rows.columns], "_b", F.lit(0).alias("_own"), (-F.col("_at")).alias("_at"), "_before")
+    every = cut.select(*rows.columns, "_b", F.lit(1).alias("_own"), F.lit(0).alias("_at"), F.lit(None).cast("long").alias("_before")).unionByName(guests)
+    here, whole = carried_order(), W.partitionBy("station_id", "_b")
+    ahead = F.coalesce(F.max("_before").over(whole), F.lit(0)) - F.sum(1 - F.col("_own")).over(whole)
+    return every.withColumn("_rn", F.row_number().over(here) + ahead).drop("_before")
+
+
+def carried_order():
+    return W.partitionBy("station_id", "_b").orderBy("_own", "_at", "ts", "event_id")
+
+
 def frozen_gauge(looks: DataFrame) -> DataFrame:
     """Readings that repeat the two before them exactly."""
-    order = W.partitionBy("station_id").orderBy("ts", "event_id")
-    value = F.col("feature_dim_mm")
+    order, value = carried_order(), F.col("feature_dim_mm")
     held = (value == F.lag(value, 1).over(order)) & (value == F.lag(value, 2).over(order))
-    return looks.withColumn("held", F.coalesce(held, F.lit(False)))
+    marked = with_rows_before(looks, "feature_dim_mm", 2).withColumn("held", F.coalesce(held, F.lit(False)))
+    return marked.filter("_own = 1").select(*looks.columns, "held")
 
 
 def last5_slope(looks: DataFrame) -> DataFrame:
     """Slope of the last five valid readings, of three at least; drift where it
-    is steep and the reading is within 35 % of a limit."""
-    order = W.partitionBy("station_id").orderBy("ts", "event_id")
-    numbered = valid_readings(looks).withColumn("rn", F.row_number().over(order))
-    five = order.rowsBetween(-4, 0)
+    is steep and the reading is within 35 % of a limit. rn numbers a station's
+    valid readings."""
+    numbered = with_rows_before(valid_readings(looks), "feature_dim_mm", 4).withColumnRenamed("_rn", "rn")
+    five = carried_order().rowsBetween(-4, 0)
     slope = F.when(F.col("rn") >= 3, F.regr_slope("feature_dim_mm", F.col("rn").cast("double")).over(five))
     room = F.least(F.lit(P.USL) - F.col("feature_dim_mm"), F.col("feature_dim_mm") - F.lit(P.LSL))
     near = room < 0.35 * (P.USL - P.LSL) / 2
-    return numbered.withColumn("slope", slope).withColumn("drift", F.coalesce((F.abs("slope") > 0.002) & near, F.lit(False)))
+    sloped = numbered.withColumn("slope", slope).filter("_own = 1").drop("_own", "_at", "_b")
+    return sloped.withColumn("drift", F.coalesce((F.abs("slope") > 0.002) & near, F.lit(False)))
