@@ -5,6 +5,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -82,12 +83,30 @@ def test_keep_first_of_repeated_rows(docs_of):
     assert sorted((r.doc_id or -1, r.text) for r in minhash.keep_first(docs).collect()) == [(-1, None), (2, "a b c d e f"), (9, "x y")]
 
 
-def test_empty_documents(spark, sf_dir, monkeypatch):
+def test_empty_documents(spark, sf_dir, steps):
     docs = table(spark, sf_dir, "documents")
     empty = written(docs.limit(0), "empty")
-    for _, stage in cp.STAGES[:-1]:
+    for name, stage in cp.STAGES:
         out = stage(spark, empty, sf_dir)
-        assert out.dtypes == docs.dtypes and out.count() == 0
+        assert out.dtypes == steps[name][3] and out.count() == 0
+
+
+def test_whole_chain_with_odd_rows(spark, sf_dir, steps):
+    """Null ids, sources and texts, repeated rows, a very long text and columns
+    whose names clash with those inside the stages: what is kept of the others
+    is the same, the odd rows with words stay, and each document stands once."""
+    plain_docs = table(spark, sf_dir, "documents")
+    own = {c: F.lit(7) for c in ("gone", "again", "key", "rank", "rep", "host", "line", "score", "kept", "shingles", "token_ids")}
+    words = lambda tag, n: " ".join(f"{tag}{i} stone" for i in range(n))
+    odd = spark.createDataFrame([(None, words("river", 60)), (-1, words("hill", 40_000)), (-2, ""), (-3, None), (None, None)], "doc_id long, text string")
+    again = plain_docs.filter(F.col("doc_id") == int(steps["bpe"][0].doc_id.iloc[0]))
+    docs = plain_docs.unionByName(again).unionByName(again).unionByName(odd, allowMissingColumns=True).withColumns(own)
+    kinds = docs.dtypes
+    for name, stage in cp.STAGES:
+        assert docs.dtypes == kinds
+        docs = written(stage(spark, docs, sf_dir), f"odd-{name}")
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert sorted(ids, key=str) == sorted([*steps["bpe"][1].doc_id, None, -1], key=str)
 
 
 def test_whole_run(spark, sf_dir, steps):
