@@ -62,6 +62,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a source, as Spark estimates them, in one part that is sorted or packed.
+PART_BYTES = 128 << 20
+#: Greater estimates are of tables whose size Spark does not know.
+UNKNOWN_BYTES = 1 << 50
+
+
+def parts_by_size(df: DataFrame) -> int:
+    """A number of parts that grows with the table."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_partitions(df.sparkSession), size // PART_BYTES if size < UNKNOWN_BYTES else 0)
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the named columns, whatever else the table holds. A null text
     counts as empty."""

@@ -7,11 +7,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import bpe, decontaminate, html_text, licenses, minhash, quality, token_counts, token_store, toxicity, url_filter
+from plantlens.llm import bpe, decontaminate, html_text, licenses, minhash, packing, quality, token_counts, token_store, toxicity, url_filter
 from plantlens.llm.common import table
 from plantlens.llm.oracles import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +57,9 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontamination, op4_minhash_dedup, op5_bpe_roundtrip, op6_url_filter, op7_quality_rules, op8_html_text, op9_toxicity, op10_token_store)}
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontamination, op4_minhash_dedup, op5_bpe_roundtrip, op6_url_filter, op7_quality_rules, op8_html_text, op9_toxicity, op10_token_store, op12_packing)}
