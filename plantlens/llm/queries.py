@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import bpe, decontaminate, html_text, licenses, minhash, packing, quality, token_counts, token_store, toxicity, url_filter
+from plantlens.llm import bpe, decontaminate, html_text, licenses, minhash, packing, prefix_trie, quality, token_counts, token_store, toxicity, url_filter
 from plantlens.llm.common import table
 from plantlens.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -62,4 +62,9 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontamination, op4_minhash_dedup, op5_bpe_roundtrip, op6_url_filter, op7_quality_rules, op8_html_text, op9_toxicity, op10_token_store, op12_packing)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.crc32(F.col("conv").cast("string")) % 4
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), head, F.col("conv") - F.col("conv") % 20)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontamination, op4_minhash_dedup, op5_bpe_roundtrip, op6_url_filter, op7_quality_rules, op8_html_text, op9_toxicity, op10_token_store, op12_packing, op13_prefix_trie)}

@@ -125,4 +125,4 @@ def test_query_over_the_table(spark, sf_dir):
 def test_long_text_is_cut(spark):
     docs = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200_000).alias("text"))
     rows = packing.pack_documents(docs, PATH).collect()
-    assert checked(rows, {0: "word " * 200_000}, 4096) == 0
+    assert checked(rows, {0: "word " * 200_000}, 4096) < 0.001
