@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.llm import bpe, decontaminate, html_text, licenses, minhash, packing, prefix_trie, quality, token_counts, token_store, toxicity, url_filter
-from plantlens.llm.common import table
+from plantlens.llm import bpe, decontaminate, html_text, licenses, minhash, packing, prefix_trie, quality, repair, token_counts, token_store, toxicity, url_filter
+from plantlens.llm.common import table, written
 from plantlens.llm.oracles import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,22 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = table(spark, sf_dir, "conversations")
+    damaged = repair.damage_conversations(whole)
+    plans = written(repair.plan_repairs(damaged), "repairs")
+    digests = repair.conversation_digests(repair.repaired_turns(damaged, plans))
+    ids = whole.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    found = ids.join(plans, F.col("id").eqNullSafe(plans.conv_id), "left").drop("conv_id")
+    found = found.join(digests, F.col("id").eqNullSafe(digests.conv_id), "left")
+    return found.select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -67,4 +83,4 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), head, F.col("conv") - F.col("conv") % 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontamination, op4_minhash_dedup, op5_bpe_roundtrip, op6_url_filter, op7_quality_rules, op8_html_text, op9_toxicity, op10_token_store, op12_packing, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_decontamination, op4_minhash_dedup, op5_bpe_roundtrip, op6_url_filter, op7_quality_rules, op8_html_text, op9_toxicity, op10_token_store, op11_conversation_repair, op12_packing, op13_prefix_trie)}
