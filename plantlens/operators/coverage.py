@@ -56,19 +56,19 @@ def discovery_points(position: DataFrame, assignment: DataFrame, final: DataFram
     return tested.select("line_id", "station_id", "position", "mode", "value_vu", kind.alias("found_kind"), where.alias("found_at"), F.col("nx.next_value").alias("next_value"))
 
 
-def false_reject_cost(fraction: Column | None = None, handling: Column | None = None) -> Column:
-    return F.col("value_vu") * (F.lit(P.REWORK_FRACTION) if fraction is None else fraction) + (F.lit(P.FIXED_HANDLING) if handling is None else handling)
+def false_reject_cost(policy: P.Policy = P.BUILT_IN, fraction: Column | None = None, handling: Column | None = None) -> Column:
+    return F.col("value_vu") * (F.lit(policy["rework_fraction"]) if fraction is None else fraction) + (F.lit(policy["fixed_handling"]) if handling is None else handling)
 
 
-def escape_cost(final_penalty: Column | None = None, customer_penalty: Column | None = None) -> Column:
-    fp = F.lit(P.FINAL_PENALTY) if final_penalty is None else final_penalty
-    cp = F.lit(P.CUSTOMER_PENALTY) if customer_penalty is None else customer_penalty
-    final = F.lit(P.VALUE_AT_FINAL * P.TEARDOWN)
-    return F.when(F.col("found_kind") == "station", F.col("next_value") * P.TEARDOWN).when(F.col("found_kind") == "final_test", final + fp).otherwise(final + cp)
+def escape_cost(policy: P.Policy = P.BUILT_IN, final_penalty: Column | None = None, customer_penalty: Column | None = None) -> Column:
+    fp = F.lit(policy["final_penalty"]) if final_penalty is None else final_penalty
+    cp = F.lit(policy["customer_penalty"]) if customer_penalty is None else customer_penalty
+    final = F.lit(policy["value_at_final"] * policy["teardown"])
+    return F.when(F.col("found_kind") == "station", F.col("next_value") * policy["teardown"]).when(F.col("found_kind") == "final_test", final + fp).otherwise(final + cp)
 
 
-def economics(points: DataFrame) -> DataFrame:
-    fr, esc = false_reject_cost(), escape_cost()
+def economics(points: DataFrame, policy: P.Policy = P.BUILT_IN) -> DataFrame:
+    fr, esc = false_reject_cost(policy), escape_cost(policy)
     return points.select(
         "line_id", "station_id", "position", "mode", F.round(fr, 4).alias("false_reject_cost_vu"), F.round(esc, 4).alias("escape_cost_vu"),
         "found_at", "found_kind", F.round(esc / fr, 3).alias("exchange_rate"), (F.col("found_kind") != "customer").alias("backstop"),
@@ -83,11 +83,13 @@ def sweep(spark: SparkSession, ranges: dict[str, list[float]]) -> DataFrame:
     return out.withColumn("combo_id", F.concat_ws("|", *ranges))
 
 
-def cost_sweep(points: DataFrame, combos: DataFrame) -> DataFrame:
-    """Costs and rate of each station and mode under each combination."""
+def cost_sweep(points: DataFrame, combos: DataFrame, policy: P.Policy = P.BUILT_IN) -> DataFrame:
+    """Costs and rate of each station and mode under each combination. A cost that the
+    sweep leaves out is the policy's."""
+    swept = lambda c: F.col(c) if c in combos.columns else None
     every = points.join(F.broadcast(combos), F.lit(True))  # the sweep of the policy
-    fr = false_reject_cost(F.col("rework_fraction"), F.col("fixed_handling"))
-    return every.select("combo_id", "line_id", "station_id", "position", "mode", fr.alias("fr"), (escape_cost(F.col("final_penalty"), F.col("customer_penalty")) / fr).alias("rate"))
+    fr = false_reject_cost(policy, swept("rework_fraction"), swept("fixed_handling"))
+    return every.select("combo_id", "line_id", "station_id", "position", "mode", fr.alias("fr"), (escape_cost(policy, swept("final_penalty"), swept("customer_penalty")) / fr).alias("rate"))
 
 
 def monotone(swept: DataFrame, mode: str = P.COMMON_MODE) -> DataFrame:

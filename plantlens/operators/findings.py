@@ -35,9 +35,9 @@ def late_first_look(cov: DataFrame) -> DataFrame:
     return per.filter("first_position > 1 and detections > 0")
 
 
-def position_driver(sens: DataFrame, econ: DataFrame) -> DataFrame:
+def position_driver(sens: DataFrame, econ: DataFrame, mode: str = P.COMMON_MODE) -> DataFrame:
     """The first line's walk, where rates do not always fall along the line."""
-    first = econ.filter(F.col("mode") == P.COMMON_MODE)
+    first = econ.filter(F.col("mode") == mode)
     line = first.agg(F.min("line_id").alias("line_id"))
     walk = first.join(F.broadcast(line), "line_id").groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("position", "station_id", "exchange_rate"))).alias("steps"))
     text = F.array_join(F.transform("steps", lambda s: F.concat_ws(":", s["station_id"], s["exchange_rate"].cast("decimal(12,3)"))), " ")
@@ -62,7 +62,7 @@ def transient(cond: DataFrame) -> DataFrame:
     return watch.join(cond.filter("condition = 'ALERT'").select("station_id").distinct(), "station_id", "left_anti")
 
 
-def trending(wear: DataFrame, days: int = P.TREND_DAYS) -> DataFrame:
+def trending(wear: DataFrame, days: float = P.BUILT_IN["trend_days"]) -> DataFrame:
     return wear.filter(F.col("trend") & F.col("within_limit") & (F.col("days_to_limit") <= days))
 
 
@@ -70,10 +70,14 @@ def selective_finding(sel: DataFrame) -> DataFrame:
     return sel.withColumn("severity", F.when(F.col("e1_robust"), "insight").otherwise("open_question"))
 
 
-def check_of_cause(cause: str = "cause"):
-    """The most specific attribution wins."""
+def check_of_cause(cause: str = "cause", policy: P.Policy = P.BUILT_IN):
+    """The most specific attribution wins: a tooling set, the last of the policy's
+    first, then imaging, then measurement."""
     c = F.col(cause)
-    return F.when(c.contains("tooling/eoat"), "eoat").when(c.contains("tooling/fixture"), "fixture").when(c.contains("imaging"), "imaging").otherwise("measurement")
+    found = F.lit(None).cast("string")
+    for s in policy.tooling_sets:
+        found = F.when(c.contains(f"tooling/{s}"), s).otherwise(found)
+    return F.coalesce(found, F.when(c.contains("imaging"), "imaging").otherwise("measurement"))
 
 
 def reaction_plans(df: DataFrame, reactions: DataFrame, check: str = "check_name") -> DataFrame:
@@ -91,19 +95,19 @@ def asset_peers(df: DataFrame, assets: DataFrame, propagation: DataFrame) -> Dat
     return both.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("peer")), ";").alias("peer_stations"), F.countDistinct("peer").alias("n_peers"))
 
 
-def limit_fractions(latest: DataFrame) -> DataFrame:
+def limit_fractions(latest: DataFrame, policy: P.Policy = P.BUILT_IN) -> DataFrame:
     """How near each station is to the limit of each check's first trended
     measure: BREACHED, APPROACHING from the policy's fraction on, or OK."""
-    spec = {"imaging": ("datamatrix_grade", P.GRADE_MIN, False), "measurement": ("ref_repeatability_mm", P.REPEATABILITY_MAX, True)}
-    for s in ("fixture", "eoat"):
-        _, m, limit, *_ = next(t for t in P.TOOLING if t[0] == s and t[3])
-        spec[s] = (m, limit, True)
+    spec = {"imaging": ("datamatrix_grade", policy["grade_min"], False), "measurement": ("ref_repeatability_mm", policy["repeatability_max"], True)}
+    for m in policy.measures:
+        if m.trended:
+            spec.setdefault(m.tooling_set, (m.measure, m.limit_mm, True))
     rows = F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(m).alias("value"), F.lit(limit).alias("limit_value"), F.lit(above).alias("above_bad")) for k, (m, limit, above) in spec.items()])
     long = latest.select("station_id", F.explode(rows).alias("x")).select("station_id", "x.*")
     v, limit = F.col("value"), F.col("limit_value")
     frac = F.when(F.col("above_bad"), F.try_divide(v, limit)).otherwise(F.try_divide(limit, v))
     breached = F.when(F.col("above_bad"), v > limit).otherwise(v < limit)
-    state = F.when(breached, "BREACHED").when(frac >= P.APPROACHING, "APPROACHING").otherwise("OK")
+    state = F.when(breached, "BREACHED").when(frac >= policy["approaching"], "APPROACHING").otherwise("OK")
     return long.select("station_id", "check_name", F.round("value", 5).alias("value"), "limit_value", F.round(frac, 3).alias("fraction"), state.alias("state"))
 
 

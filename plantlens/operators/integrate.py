@@ -21,21 +21,84 @@ def crosswalk(df: DataFrame, mapping: DataFrame, key: str, to: str) -> DataFrame
     return df.join(F.broadcast(mapping.withColumnRenamed("canonical", to)), df[key] == F.col("source_key"), "left").drop("source_key")  # policy-sized
 
 
+def us_date(c: str) -> Column:
+    """A date as text, month first; null where it is none."""
+    return F.try_to_timestamp(c, F.lit("MM/dd/yyyy")).cast("date")
+
+
+def whole(c: str) -> Column:
+    return F.col(c).try_cast("long")
+
+
+def given(df: DataFrame, name: str, cast: Callable[[str], Column] = F.col) -> Column:
+    """A column that a source may lack."""
+    found = {c.lower(): c for c in df.columns}
+    return cast(found[name.lower()]) if name.lower() in found else cast("_none")
+
+
+#: for each extract the columns that a cast may reject
+TYPED: dict[str, dict[str, Callable[[str], Column]]] = {
+    "erp_work_orders": {"SCHED_START_DT": us_date, "SCHED_END_DT": us_date, "QTY_ORDERED": whole},
+    "mes_shift_log": {"units_completed": whole, "units_started": whole, "downtime_min": whole},
+    "qms_ncr": {"OPENED_DT": us_date, "CLOSED_DT": us_date},
+}
+#: for each extract the columns whose codes a crosswalk maps
+CODED = {
+    "erp_work_orders": {"PROD_LINE": "dim_line", "ITEM_NO": "dim_item"},
+    "mes_shift_log": {"work_center": "dim_work_center"},
+    "qms_ncr": {"DEFECT_CATEGORY": "dim_category"},
+}
+
+
+def with_reasons(df: DataFrame, extract: str, dims: dict[str, DataFrame]) -> DataFrame:
+    """Adds reasons: what of a row's values is no date, no number, or a code that
+    no crosswalk knows, as ``kind:column``. Blank and missing values are none of
+    these. The crosswalks are policy tables of a checked size."""
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True))
+    out, tests = df, []
+    for c, cast in TYPED[extract].items():
+        if c in df.columns:
+            kind = "date" if cast is us_date else "number"
+            tests.append(F.when(~blank(c) & cast(c).isNull(), f"{kind}:{c}"))
+    for i, (c, name) in enumerate(CODED[extract].items()):
+        if c in df.columns:
+            known = dims[name].select(F.col("source_key").alias(f"_key{i}")).distinct()
+            out = out.join(F.broadcast(known), F.col(c) == F.col(f"_key{i}"), "left")
+            tests.append(F.when(~blank(c) & F.col(f"_key{i}").isNull(), f"code:{c}"))
+    return out.select(*df.columns, F.array_compact(F.array(*tests)).alias("reasons"))
+
+
+def quarantine(df: DataFrame, extract: str, dims: dict[str, DataFrame], path: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that conform, and those that do not beside their reasons. One pass
+    writes both, parted by a flag, and both are read from there."""
+    flagged = with_reasons(df, extract, dims).withColumn("clean", F.size("reasons") == 0)
+    flagged.write.mode("overwrite").partitionBy("clean").parquet(path)
+    kinds = flagged.schema
+    rows = df.sparkSession.read.schema(kinds).parquet(path)
+    return rows.filter("clean").select(*df.columns), rows.filter("not clean").drop("clean")
+
+
+def reject_counts(rejects: DataFrame, extract: str) -> DataFrame:
+    """extract, reason and rows; a row of several reasons counts for each."""
+    return rejects.select(F.explode("reasons").alias("reason")).groupBy(F.lit(extract).alias("extract"), "reason").agg(F.count("*").alias("rows"))
+
+
 def conform_erp(erp: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """Dates that are none become null; ``quarantine`` keeps such rows apart."""
     out = crosswalk(crosswalk(erp, dims["dim_line"], "PROD_LINE", "line_id"), dims["dim_item"], "ITEM_NO", "part_number")
-    date = lambda c: F.to_date(c, "MM/dd/yyyy")
-    return out.select(F.col("WORK_ORDER_NO").alias("work_order_no"), F.col("ITEM_NO").alias("item_no"), "part_number", "line_id", date("SCHED_START_DT").alias("sched_start"), date("SCHED_END_DT").alias("sched_end"))
+    date = us_date
+    return out.select(F.col("WORK_ORDER_NO").alias("work_order_no"), F.col("ITEM_NO").alias("item_no"), "part_number", "line_id", F.col("PROD_LINE").alias("prod_line"), date("SCHED_START_DT").alias("sched_start"), date("SCHED_END_DT").alias("sched_end"))
 
 
 def conform_mes(mes: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     wo = F.when(F.trim("wo_no") != "", F.concat(F.lit("WO-"), F.trim("wo_no")))
-    out = crosswalk(mes, dims["dim_work_center"], "work_center", "station_id")
-    return out.select("shift_id", "work_center", "station_id", "shift_code", "shift_start_ts", "shift_end_ts", wo.alias("mes_work_order_no"), F.col("units_completed").cast("long").alias("units_completed"), F.to_date("shift_start_ts").alias("prod_day"))
+    out = crosswalk(mes.withColumn("_none", F.lit(None).cast("string")), dims["dim_work_center"], "work_center", "station_id")
+    return out.select("shift_id", "work_center", "station_id", "shift_code", "shift_start_ts", "shift_end_ts", wo.alias("mes_work_order_no"), whole("units_completed").alias("units_completed"), given(mes, "units_started", whole).alias("units_started"), given(mes, "downtime_min", whole).alias("downtime_min"), F.to_date("shift_start_ts").alias("prod_day"))
 
 
 def conform_qms(qms: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    out = crosswalk(qms, dims["dim_category"], "DEFECT_CATEGORY", "defect_code_qms")
-    return out.select(F.col("NCR_NO").alias("ncr_no"), canonical_serial(F.col("SERIAL_NO")).alias("serial_key"), F.col("DEFECT_CATEGORY").alias("defect_category"), "defect_code_qms", F.col("DISPOSITION").alias("disposition"))
+    out = crosswalk(qms.withColumn("_none", F.lit(None).cast("string")), dims["dim_category"], "DEFECT_CATEGORY", "defect_code_qms")
+    return out.select(F.col("NCR_NO").alias("ncr_no"), canonical_serial(F.col("SERIAL_NO")).alias("serial_key"), F.col("DEFECT_CATEGORY").alias("defect_category"), "defect_code_qms", given(qms, "SEVERITY").cast("string").alias("severity"), F.col("DISPOSITION").alias("disposition"), given(qms, "OPENED_DT", us_date).alias("opened_date"))
 
 
 def with_keys(looks: DataFrame) -> DataFrame:
@@ -124,10 +187,9 @@ def serial_join(keyed: DataFrame, qms: DataFrame) -> DataFrame:
     return keyed.join(ncrs, key == F.col("_serial"), "left").drop("_serial")
 
 
-def join_all(looks: DataFrame, erp: DataFrame, mes: DataFrame, qms: DataFrame) -> DataFrame:
-    """Event-grain fact with the context of all systems; the range of a work
-    order is joined by its days, so that a line is no hot key."""
-    keyed = with_keys(looks)
+def join_all(keyed: DataFrame, erp: DataFrame, mes: DataFrame, qms: DataFrame) -> DataFrame:
+    """Event-grain fact with the context of all systems, from looks with keys; the
+    range of a work order is joined by its days, so that a line is no hot key."""
     ranged = range_join_by_day(keyed, erp.select("line_id", "sched_start", "sched_end", "work_order_no", "item_no"), "line_id", "date", "sched_start", "sched_end")
     shifts = mes.select("station_id", "shift_id", "units_completed", "mes_work_order_no")
     joined = ranged.join(shifts, ["station_id", "shift_id"], "left")
@@ -158,15 +220,15 @@ def shift_counts(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("station_id", "prod_day", "shift_code", "shift_id").agg(F.count("*").alias("inspection_events"))
 
 
-def reconcile(keyed: DataFrame, mes: DataFrame, tolerance: float = P.TOLERANCE_PCT) -> DataFrame:
+def reconcile(keyed: DataFrame, mes: DataFrame, tolerance: float = P.BUILT_IN["tolerance_pct"]) -> DataFrame:
     """Shifts that the floor produced against shifts that were logged. Shifts
     only in the log keep null prod_day and shift_code."""
-    log = mes.select("station_id", "shift_id", F.col("units_completed").alias("mes_units_completed"), F.col("mes_work_order_no").alias("work_order_no"))
+    log = mes.select("station_id", "shift_id", F.col("units_completed").alias("mes_units_completed"), F.col("mes_work_order_no").alias("work_order_no"), "downtime_min")
     both = shift_counts(keyed).join(log, ["station_id", "shift_id"], "full")
     n, done = F.coalesce("inspection_events", F.lit(0)), F.col("mes_units_completed")
     raw = F.when((n > 0) & done.isNotNull(), F.try_divide((done - n) * F.lit(100.0).cast("double"), n.cast("double")))
     return both.select(
-        "station_id", "shift_id", "prod_day", "shift_code", "work_order_no", n.alias("inspection_events"), "mes_units_completed",
+        "station_id", "shift_id", "prod_day", "shift_code", "work_order_no", n.alias("inspection_events"), "mes_units_completed", "downtime_min",
         sql_round(raw).alias("qty_variance_pct"), done.isNotNull().alias("shift_present"), F.coalesce(F.abs(raw) > tolerance, F.lit(False)).alias("variance_flag"),
     )
 
@@ -187,20 +249,29 @@ def booked_after_close(mes: DataFrame, erp: DataFrame) -> DataFrame:
     return mes.join(ends, "mes_work_order_no").filter(F.col("prod_day") > F.col("sched_end"))
 
 
+def _crosswalked(erp: DataFrame, mes: DataFrame, qms: DataFrame) -> DataFrame:
+    """key, value and mapped of every row of the conformed extracts."""
+    one = lambda df, key, source, canonical: df.select(F.lit(key).alias("key"), F.col(source).alias("value"), F.col(canonical).isNotNull().alias("mapped"))
+    return (
+        one(erp, "line", "prod_line", "line_id")
+        .unionByName(one(mes, "work_center", "work_center", "station_id"))
+        .unionByName(one(erp, "item_no", "item_no", "part_number"))
+        .unionByName(one(qms, "defect_category", "defect_category", "defect_code_qms"))
+    )
+
+
 def crosswalk_coverage(erp: DataFrame, mes: DataFrame, qms: DataFrame) -> DataFrame:
-    """Mapped and unmapped counts and the unmapped values of each key."""
-
-    def one(df: DataFrame, key: str, source: str, canonical: str) -> DataFrame:
-        missing = F.col(canonical).isNull()
-        return df.agg(
-            F.lit(key).alias("key"),
-            F.count(canonical).alias("mapped"),
-            F.sum(missing.cast("long")).alias("unmapped"),
-            F.array_join(F.array_sort(F.collect_set(F.when(missing, F.col(source)))), ",").alias("unmapped_values"),
-        )
+    """Of each key the rows that its crosswalk maps, those that it does not, and
+    how many values these hold; ``crosswalk_unmapped`` lists them. A key whose
+    extract is empty has no row."""
+    n = lambda c: F.sum(c.cast("long"))
+    rows = _crosswalked(erp, mes, qms)
+    return rows.groupBy("key").agg(n(F.col("mapped")).alias("mapped"), n(~F.col("mapped")).alias("unmapped"), F.countDistinct(F.when(~F.col("mapped"), F.col("value"))).alias("unmapped_values"))
+
 
-    parts = [one(erp, "item_no", "item_no", "part_number"), one(mes, "work_center", "work_center", "station_id"), one(qms, "defect_category", "defect_category", "defect_code_qms")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def crosswalk_unmapped(erp: DataFrame, mes: DataFrame, qms: DataFrame) -> DataFrame:
+    """key, value and rows of what no crosswalk maps."""
+    return _crosswalked(erp, mes, qms).filter("not mapped").groupBy("key", "value").agg(F.count("*").alias("rows"))
 
 
 def integrity_report(fact: DataFrame, mes: DataFrame, erp: DataFrame, qms: DataFrame, rec: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -227,15 +298,15 @@ def integrity_report(fact: DataFrame, mes: DataFrame, erp: DataFrame, qms: DataF
     return out
 
 
-def orphan_register(fact: DataFrame, rec: DataFrame, qms: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(kind, ref) of everything that failed to match."""
-    kind = lambda df, k, ref: df.select(F.lit(k).alias("kind"), ref.alias("ref"))
-    return (
-        kind(fact.filter("not has_work_order").dropDuplicates(["event_id"]), "event_without_work_order", F.col("event_id"))
-        .unionByName(kind(fact.filter("not has_mes_shift").dropDuplicates(["event_id"]), "event_without_shift", F.col("event_id")))
-        .unionByName(kind(rec.filter("not shift_present"), "shift_not_logged", F.concat_ws("|", "station_id", "shift_id")))
-        .unionByName(kind(orphan_ncrs(qms, keyed), "ncr_without_event", F.col("ncr_no")))
-    )
+def orphan_register(fact: DataFrame, qms: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(kind, ref) of every event and NCR that failed to match, an event once a kind."""
+    kinds = F.array_compact(
+        F.array(
+            F.when(~F.col("has_work_order"), "event_without_work_order"), F.when(~F.col("has_mes_shift"), "event_without_mes_shift"), F.when(F.col("serial_key").isNull(), "event_no_serial")
+        )
+    )
+    events = fact.select(F.explode(kinds).alias("kind"), F.col("event_id").alias("ref")).distinct()
+    return events.unionByName(orphan_ncrs(qms, keyed).select(F.lit("ncr_without_inspection_event").alias("kind"), F.col("ncr_no").alias("ref")))
 
 
 def orphan_days(fact: DataFrame) -> DataFrame:

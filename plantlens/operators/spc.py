@@ -16,13 +16,17 @@ from plantlens import policy as P
 from plantlens.functions.scalar import failed, in_spec_range, ratio
 
 
+def first_row(df: DataFrame, key: str = "event_id", order: Sequence[str] = ("ts",)) -> Column:
+    """The aggregate behind ``dedupe_first``: a struct compares field by field,
+    and the least is the first."""
+    return F.min(F.struct(*order, *[c for c in df.columns if c not in (key, *order)]))
+
+
 def dedupe_first(df: DataFrame, key: str = "event_id", order: Sequence[str] = ("ts",)) -> DataFrame:
     """The first row of each key, in a total order that does not depend on how
     the input is split: ``order``, then all other columns. One shuffle, in which
     map sides keep one row a key."""
-    rest = [c for c in df.columns if c not in (key, *order)]
-    # a struct compares field by field; the least is the first
-    first = df.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("r"))
+    first = df.groupBy(key).agg(first_row(df, key, order).alias("r"))
     return first.select(*[F.col(key) if c == key else F.col(f"r.{c}") for c in df.columns])
 
 
@@ -41,7 +45,7 @@ def _by_day(desc: bool = False):
     return W.partitionBy("station_id").orderBy(F.desc("d") if desc else F.col("d"))
 
 
-def rolling_fpy(daily: DataFrame, days: int = P.ROLLING_DAYS) -> DataFrame:
+def rolling_fpy(daily: DataFrame, days: int = P.BUILT_IN.days("rolling_days")) -> DataFrame:
     """Trailing mean over rows, so that gaps in days do not matter."""
     return daily.withColumn("rolling_fpy", F.avg("fpy").over(_by_day().rowsBetween(1 - days, 0)))
 
@@ -50,7 +54,7 @@ def subgroup_rank(daily: DataFrame) -> DataFrame:
     return daily.withColumn("subgroup", F.row_number().over(_by_day()))
 
 
-def baseline_pbar(daily: DataFrame, subgroups: int = P.BASELINE_DAYS) -> DataFrame:
+def baseline_pbar(daily: DataFrame, subgroups: int = P.BUILT_IN.days("baseline_days")) -> DataFrame:
     """Defect share over each station's first subgroups."""
     first = subgroup_rank(daily).filter(F.col("subgroup") <= subgroups)
     return first.groupBy("station_id").agg(ratio(F.sum("fails"), F.sum("n")).alias("pbar"))
@@ -61,7 +65,7 @@ def limits_join(daily: DataFrame, limits: DataFrame) -> DataFrame:
     return daily.join(limits, "station_id")
 
 
-def add_limits(daily: DataFrame, sigma: int = P.SIGMA) -> DataFrame:
+def add_limits(daily: DataFrame, sigma: float = P.BUILT_IN["sigma"]) -> DataFrame:
     """Limits from pbar; a day exactly on a limit is in control."""
     se = F.sqrt(F.col("pbar") * (1 - F.col("pbar")) / F.col("n"))
     return (
@@ -71,7 +75,7 @@ def add_limits(daily: DataFrame, sigma: int = P.SIGMA) -> DataFrame:
     )
 
 
-def pchart(daily: DataFrame, subgroups: int = P.BASELINE_DAYS, sigma: int = P.SIGMA) -> DataFrame:
+def pchart(daily: DataFrame, subgroups: int = P.BUILT_IN.days("baseline_days"), sigma: float = P.BUILT_IN["sigma"]) -> DataFrame:
     """Frozen baseline in one window over the daily rows, without a join."""
     ranked = subgroup_rank(daily)
     base = F.col("subgroup") <= subgroups
@@ -90,29 +94,25 @@ def _cpk(value: Column, lsl: float, usl: float) -> Column:
     return F.least(F.try_divide(F.lit(usl) - mean, 3 * sd), F.try_divide(mean - F.lit(lsl), 3 * sd))
 
 
-def valid_readings(looks: DataFrame) -> DataFrame:
-    ok = in_spec_range(F.col("feature_dim_mm"), P.LSL, P.USL, P.PHYSICAL_MARGIN_MM)
+def valid_readings(looks: DataFrame, policy: P.Policy = P.BUILT_IN) -> DataFrame:
+    ok = in_spec_range(F.col("feature_dim_mm"), policy["lsl"], policy["usl"], policy["physical_margin_mm"])
     return looks.filter(ok & ~F.isnan("feature_dim_mm"))
 
 
-def in_days(events: DataFrame, first: str, last: str) -> DataFrame:
-    """Events of a closed range of days."""
-    return events.filter(F.to_date("ts").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-
-
-def recent_start(looks: DataFrame, days: int = P.RECENT_DAYS) -> DataFrame:
+def recent_start(looks: DataFrame, days: int = P.BUILT_IN.days("recent_days")) -> DataFrame:
     """One row: the start of the recent window, which has one day more."""
     return looks.agg(F.date_sub(F.to_date(F.max("ts")), days).alias("start"))
 
 
-def recent_window(looks: DataFrame, days: int = P.RECENT_DAYS) -> DataFrame:
+def recent_window(looks: DataFrame, days: int = P.BUILT_IN.days("recent_days")) -> DataFrame:
     return looks.join(F.broadcast(recent_start(looks, days)), F.to_date("ts") >= F.col("start"))  # one row
 
 
-def capability(looks: DataFrame, lsl: float = P.LSL, usl: float = P.USL, days: int = P.RECENT_DAYS) -> DataFrame:
+def capability(looks: DataFrame, policy: P.Policy = P.BUILT_IN) -> DataFrame:
     """cpk over all valid readings and cpk_recent over the window, in one pass.
     Null with fewer than two readings, or without spread."""
-    marked = valid_readings(looks.join(F.broadcast(recent_start(looks, days)), F.lit(True)))  # one row
+    lsl, usl = policy["lsl"], policy["usl"]
+    marked = valid_readings(looks.join(F.broadcast(recent_start(looks, policy.days("recent_days"))), F.lit(True)), policy)  # one row
     new = F.when(F.to_date("ts") >= F.col("start"), F.col("feature_dim_mm"))
     return marked.groupBy("station_id").agg(
         _cpk(F.col("feature_dim_mm"), lsl, usl).alias("cpk"),
@@ -123,14 +123,14 @@ def capability(looks: DataFrame, lsl: float = P.LSL, usl: float = P.USL, days: i
     )
 
 
-def status(cpk_recent: str = "cpk_recent", violations: str = "violations") -> Column:
-    weak = F.coalesce(F.col(cpk_recent) < P.CPK_MIN, F.lit(False))
+def status(cpk_recent: str = "cpk_recent", violations: str = "violations", policy: P.Policy = P.BUILT_IN) -> Column:
+    weak = F.coalesce(F.col(cpk_recent) < policy["cpk_min"], F.lit(False))
     return F.when(weak | (F.col(violations) >= 3), "ALERT").when(F.col(violations) >= 1, "WATCH").otherwise("OK")
 
 
-def scorecard(looks: DataFrame) -> DataFrame:
+def scorecard(looks: DataFrame, policy: P.Policy = P.BUILT_IN) -> DataFrame:
     """One row a station; stations without recent readings stay, with nulls."""
-    chart = rolling_fpy(pchart(daily_fpy(looks)))
+    chart = rolling_fpy(pchart(daily_fpy(looks), policy.days("baseline_days"), policy["sigma"]), policy.days("rolling_days"))
     per = chart.groupBy("station_id").agg(
         F.min("line_id").alias("line_id"),
         F.sum("n").alias("n"),
@@ -140,7 +140,7 @@ def scorecard(looks: DataFrame) -> DataFrame:
         F.sum(F.col("out_of_control").cast("long")).alias("violations"),
         F.min(F.when(F.col("out_of_control"), F.col("d"))).alias("first_violation"),
     )
-    return per.join(capability(looks).select("station_id", "cpk", "cpk_recent"), "station_id", "left").withColumn("status", status())
+    return per.join(capability(looks, policy).select("station_id", "cpk", "cpk_recent"), "station_id", "left").withColumn("status", status(policy=policy))
 
 
 def pareto(looks: DataFrame) -> DataFrame:
@@ -152,41 +152,54 @@ def pareto(looks: DataFrame) -> DataFrame:
     return codes.withColumn("place", F.row_number().over(order)).withColumn("cum_pct", F.round(100.0 * running / F.sum("fails").over(W.partitionBy()), 1))
 
 
-def daily_readings(looks: DataFrame) -> DataFrame:
+def daily_readings(looks: DataFrame, policy: P.Policy = P.BUILT_IN) -> DataFrame:
     """station, d, mean and number of valid readings."""
-    return valid_readings(looks).groupBy("station_id", F.to_date("ts").alias("d")).agg(F.avg("feature_dim_mm").alias("mean_dim"), F.sum("feature_dim_mm").alias("sum_dim"), F.count("*").alias("readings"))
+    return valid_readings(looks, policy).groupBy("station_id", F.to_date("ts").alias("d")).agg(F.avg("feature_dim_mm").alias("mean_dim"), F.sum("feature_dim_mm").alias("sum_dim"), F.count("*").alias("readings"))
 
 
-def dim_trend(looks: DataFrame, days: int = 14) -> DataFrame:
-    """Mean reading of the first and last observed days, and the drift."""
-    ranked = daily_readings(looks).withColumn("a", F.row_number().over(_by_day())).withColumn("z", F.row_number().over(_by_day(True)))
+def dim_trend(looks: DataFrame, policy: P.Policy = P.BUILT_IN, days: int = 14) -> DataFrame:
+    """Mean reading of the first and last observed days, the drift, and the
+    limit that the last days are nearer to (side; the lower one where both are as near)."""
+    ranked = daily_readings(looks, policy).withColumn("a", F.row_number().over(_by_day())).withColumn("z", F.row_number().over(_by_day(True)))
     mean = lambda c: ratio(F.sum(F.when(c, F.col("sum_dim"))), F.sum(F.when(c, F.col("readings"))))
     per = ranked.groupBy("station_id").agg(mean(F.col("a") <= days).alias("first_mean"), mean(F.col("z") <= days).alias("last_mean"))
     drift = F.col("last_mean") - F.col("first_mean")
-    return per.withColumn("drift", drift).withColumn("side", F.when(drift >= 0, "upper").otherwise("lower"))
+    nearer = F.when(policy["usl"] - F.col("last_mean") < F.col("last_mean") - policy["lsl"], "upper").when(F.col("last_mean").isNotNull(), "lower")
+    return per.withColumn("drift", drift).withColumn("side", nearer)
 
 
-def defect_trend(daily: DataFrame) -> DataFrame:
+def defect_trend(daily: DataFrame, policy: P.Policy = P.BUILT_IN) -> DataFrame:
     """Unweighted mean daily rate of the baseline and of the latest subgroups."""
     ranked = daily.withColumn("a", F.row_number().over(_by_day())).withColumn("z", F.row_number().over(_by_day(True)))
     return ranked.groupBy("station_id").agg(
-        F.avg(F.when(F.col("a") <= P.BASELINE_DAYS, F.col("defect_rate"))).alias("base_rate"),
-        F.avg(F.when(F.col("z") <= P.RECENT_DAYS, F.col("defect_rate"))).alias("recent_rate"),
+        F.avg(F.when(F.col("a") <= policy.days("baseline_days"), F.col("defect_rate"))).alias("base_rate"),
+        F.avg(F.when(F.col("z") <= policy.days("recent_days"), F.col("defect_rate"))).alias("recent_rate"),
     )
 
 
-def triage(looks: DataFrame, drift_mm: float = 0.03) -> DataFrame:
+def triage(looks: DataFrame, policy: P.Policy = P.BUILT_IN) -> DataFrame:
     """What pattern each station shows, from the scorecard and both trends."""
-    card = scorecard(looks)
-    every = card.join(dim_trend(looks), "station_id", "left").join(defect_trend(daily_fpy(looks)), "station_id", "left")
-    drifting = F.coalesce((F.col("cpk_recent") < P.CPK_MIN) & (F.abs("drift") >= drift_mm), F.lit(False))
+    card = scorecard(looks, policy)
+    every = card.join(dim_trend(looks, policy), "station_id", "left").join(defect_trend(daily_fpy(looks), policy), "station_id", "left")
+    drifting = F.coalesce((F.col("cpk_recent") < policy["cpk_min"]) & (F.abs("drift") >= policy["drift_mm"]), F.lit(False))
     pattern = F.when(drifting, "dimensional_drift").when(F.col("violations") >= 3, "process_shift").when(F.col("violations") >= 1, "scattered_false_alarm").otherwise("in_control")
     severity = F.when(F.col("pattern").isin("dimensional_drift", "process_shift"), "high").when(F.col("pattern") == "scattered_false_alarm", "low").otherwise("none")
     return every.withColumn("pattern", pattern).withColumn("severity", severity)
 
 
-def fleet_kpis(looks: DataFrame) -> DataFrame:
-    card = scorecard(looks)
+def recent_profile(events: DataFrame, daily: DataFrame, policy: P.Policy = P.BUILT_IN) -> DataFrame:
+    """Mean and spread of each station's valid first-pass readings of the recent
+    window, which ends with the last valid reading of all, and the unweighted mean of its
+    last daily defect rates. Stations without such readings stay, with nulls."""
+    valid = valid_readings(first_pass(events), policy)
+    days = policy.days("recent_days")
+    near = recent_window(valid, days).groupBy("station_id").agg(F.avg("feature_dim_mm").alias("recent_mean"), F.stddev_samp("feature_dim_mm").alias("recent_sd"))
+    latest = daily.withColumn("z", F.row_number().over(_by_day(True))).filter(F.col("z") <= days)
+    return latest.groupBy("station_id").agg(F.avg("defect_rate").alias("recent_rate")).join(near, "station_id", "left")
+
+
+def fleet_kpis(looks: DataFrame, policy: P.Policy = P.BUILT_IN) -> DataFrame:
+    card = scorecard(looks, policy)
     span = looks.agg(F.min(F.to_date("ts")).alias("first_day"), F.max(F.to_date("ts")).alias("last_day"))
     return card.agg(
         (1 - F.sum("fails") / F.sum("n")).alias("fpy"),
@@ -196,7 +209,7 @@ def fleet_kpis(looks: DataFrame) -> DataFrame:
     ).join(F.broadcast(span), F.lit(True))  # one row each
 
 
-def phase2_score(new_days: DataFrame, limits: DataFrame, sigma: int = P.SIGMA) -> DataFrame:
+def phase2_score(new_days: DataFrame, limits: DataFrame, sigma: float = P.BUILT_IN["sigma"]) -> DataFrame:
     """New daily rows against frozen limits (station_id, pbar)."""
     return add_limits(limits_join(new_days, limits), sigma)
 
@@ -239,14 +252,14 @@ def frozen_gauge(looks: DataFrame) -> DataFrame:
     return marked.filter("_own = 1").select(*looks.columns, "held")
 
 
-def last5_slope(looks: DataFrame) -> DataFrame:
+def last5_slope(looks: DataFrame, policy: P.Policy = P.BUILT_IN) -> DataFrame:
     """Slope of the last five valid readings, of three at least; drift where it
     is steep and the reading is within 35 % of a limit. rn numbers a station's
     valid readings."""
-    numbered = with_rows_before(valid_readings(looks), "feature_dim_mm", 4).withColumnRenamed("_rn", "rn")
+    numbered = with_rows_before(valid_readings(looks, policy), "feature_dim_mm", 4).withColumnRenamed("_rn", "rn")
     five = carried_order().rowsBetween(-4, 0)
     slope = F.when(F.col("rn") >= 3, F.regr_slope("feature_dim_mm", F.col("rn").cast("double")).over(five))
-    room = F.least(F.lit(P.USL) - F.col("feature_dim_mm"), F.col("feature_dim_mm") - F.lit(P.LSL))
-    near = room < 0.35 * (P.USL - P.LSL) / 2
+    room = F.least(F.lit(policy["usl"]) - F.col("feature_dim_mm"), F.col("feature_dim_mm") - F.lit(policy["lsl"]))
+    near = room < 0.35 * (policy["usl"] - policy["lsl"]) / 2
     sloped = numbered.withColumn("slope", slope).filter("_own = 1").drop("_own", "_at", "_b")
     return sloped.withColumn("drift", F.coalesce((F.abs("slope") > 0.002) & near, F.lit(False)))

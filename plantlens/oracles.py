@@ -118,7 +118,7 @@ allf AS (SELECT 'UNASSIGNED_MODE' AS finding_id, 'high' AS severity, '-' AS stat
    UNION ALL SELECT 'CONDITION_COVERAGE_LOST', 'high', station_id, modes_lost, longest_run FROM lost UNION ALL SELECT 'CONDITION_TRANSIENT', 'watch', station_id, '-', longest_run FROM blip
    UNION ALL SELECT 'TOOLING_TRENDING_TO_LIMIT', 'watch', station_id, '-', days_to_limit FROM trending UNION ALL SELECT 'CONDITION_LOSS_IS_SELECTIVE', CASE WHEN e1_of > 0 AND e1_holds = e1_of THEN 'insight' ELSE 'open_question' END, '-', '-', e1_holds FROM sel)"""
 
-HEAD = "WITH " + ",\n".join([STATEMENTS, *(P.values_sql(d) for d in P.DIMS), _BASE]) + "\n"
+HEAD = "WITH " + ",\n".join([STATEMENTS, *(P.values_sql(d) for d in P.DIMS if d not in P.COMPILED or d == "dim_measure"), _BASE]) + "\n"
 
 
 def r(*columns: str) -> str:
@@ -136,6 +136,15 @@ _SEEN = "LEFT JOIN obs o ON o.station_id = e.station_id AND o.mode = e.mode"
 _RANGES = """, ords AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS s, lead(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS nx FROM orders),
 items AS (SELECT row_number() OVER () AS rid, o_custkey, CAST(l_shipdate AS DATE) AS ship FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 
+_CROSSED = "SELECT 'line' AS key, PROD_LINE AS value, canonical IS NOT NULL AS mapped FROM erp_work_orders LEFT JOIN dim_line ON source_key = PROD_LINE UNION ALL SELECT 'item_no', ITEM_NO, canonical IS NOT NULL FROM erp_work_orders LEFT JOIN dim_item ON source_key = ITEM_NO UNION ALL SELECT 'work_center', work_center, canonical IS NOT NULL FROM mes_shift_log LEFT JOIN dim_work_center ON source_key = work_center UNION ALL SELECT 'defect_category', DEFECT_CATEGORY, canonical IS NOT NULL FROM qms_ncr LEFT JOIN dim_category ON source_key = DEFECT_CATEGORY"
+_REJECTS = """SELECT 'erp_work_orders' AS extract, WORK_ORDER_NO AS id, ['date:SCHED_END_DT', 'code:PROD_LINE', 'code:ITEM_NO'] AS names, [right(WORK_ORDER_NO, 1) = '3', l.canonical IS NULL, i.canonical IS NULL] AS hits
+ FROM erp_work_orders LEFT JOIN dim_line l ON l.source_key = PROD_LINE LEFT JOIN dim_item i ON i.source_key = ITEM_NO
+UNION ALL SELECT 'mes_shift_log', shift_id, ['number:units_completed', 'code:work_center'], [right(shift_id, 3) = '5-B', canonical IS NULL] FROM mes_shift_log LEFT JOIN dim_work_center ON source_key = work_center
+UNION ALL SELECT 'qms_ncr', NCR_NO, ['code:DEFECT_CATEGORY'], [canonical IS NULL] FROM qms_ncr LEFT JOIN dim_category ON source_key = DEFECT_CATEGORY"""
+#: Deliveries of a feed: equal spans of days; what comes behind the greatest time of the ones before, less the delay, is dropped.
+_LATE = """SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, CAST(floor((CAST(ts AS DATE) - min(CAST(ts AS DATE)) OVER ()) / ceil((max(CAST(ts AS DATE)) OVER () - min(CAST(ts AS DATE)) OVER () + 1) / 6.0)) AS BIGINT) + CASE WHEN CAST(right(event_id, 2) AS INT) % 40 = 0 THEN 2 ELSE 0 END AS part FROM inspections"""
+_VALID = f"(SELECT *, CAST(max(ts) OVER () AS DATE) - {P.RECENT_DAYS} AS start FROM inspections WHERE inspection_pass = 1 AND feature_dim_mm BETWEEN 19.8 AND 30.2)"
+
 _Q = {
     "scan_events": "SELECT station_id, count(*) AS n, round(sum(cycle_time_s), 6) AS cycle_s, CAST(max(ts) AS VARCHAR) AS latest FROM inspections GROUP BY station_id",
     "bronze_text_scan": "SELECT NCR_NO, SERIAL_NO, trim(DEFECT_CATEGORY) AS DEFECT_CATEGORY, DISPOSITION FROM qms_ncr",
@@ -160,10 +169,10 @@ _Q = {
     "cpk": f"SELECT station_id, {r('cpk')}, readings FROM cap",
     "cpk_recent": f"SELECT station_id, {r('cpk_recent')} FROM cap LEFT JOIN capr USING (station_id)",
     "recent_window": "SELECT station_id, count(*) AS n, CAST(min(d) AS VARCHAR) AS first_day FROM fp, win WHERE d >= start GROUP BY station_id",
-    "recent_profile": f"SELECT station_id, {r('recent_mean', 'recent_sd')}, round(rr, 6) AS recent_rate FROM cap LEFT JOIN capr USING (station_id) JOIN (SELECT station_id, avg(bad) AS rr FROM fp, win WHERE d >= start GROUP BY station_id) USING (station_id)",
+    "recent_profile": f"SELECT q.station_id, {r('recent_mean', 'recent_sd', 'recent_rate')} FROM (SELECT station_id, avg(rate) AS recent_rate FROM ranked WHERE gs <= {P.RECENT_DAYS} GROUP BY station_id) q LEFT JOIN (SELECT station_id, avg(feature_dim_mm) AS recent_mean, stddev_samp(feature_dim_mm) AS recent_sd FROM {_VALID} WHERE CAST(ts AS DATE) >= start GROUP BY station_id) v ON v.station_id = q.station_id",
     "daily_dim_mean": f"SELECT station_id, {s('d')}, round(m, 6) AS mean_dim, c AS readings FROM dday",
     "station_scorecard": f"SELECT station_id, line_id, n, fails, {r('fpy_overall', 'rolling_latest')}, violations, {s('first_violation')}, {r('cpk', 'cpk_recent')}, status FROM scored",
-    "scorecard_assemble": "SELECT station_id, count(*) AS n, CASE WHEN station_id <> 'S9' THEN round(max(cap.cpk), 6) END AS cpk FROM fp LEFT JOIN cap USING (station_id) GROUP BY station_id",
+    "scorecard_assemble": "SELECT f.station_id, f.n, round(cap.cpk, 6) AS cpk FROM (SELECT station_id, count(*) AS n FROM fp GROUP BY station_id) f LEFT JOIN cap ON cap.station_id = f.station_id",
     "status_rule": "SELECT station_id, violations, status FROM scored",
     "spc_alerts": f"SELECT station_id, violations, {s('first_violation')} FROM scored WHERE violations > 0",
     "capability_alerts": f"SELECT station_id, {r('cpk_recent')} FROM capr WHERE cpk_recent < 1.33",
@@ -171,7 +180,7 @@ _Q = {
     "cum_share": "SELECT defect_code, cum_pct FROM par",
     "top_defects": "SELECT defect_code, fails FROM par WHERE place <= 5",
     "fleet_kpis": "SELECT round(1 - sum(fails)::DOUBLE / sum(n), 6) AS fpy, count(*) FILTER (WHERE status = 'ALERT') AS alerts, (SELECT station_id FROM scored ORDER BY cpk_recent NULLS FIRST, station_id LIMIT 1) AS worst_cpk_station, (SELECT station_id FROM scored ORDER BY fpy_overall, station_id LIMIT 1) AS worst_fpy_station, (SELECT CAST(min(d) AS VARCHAR) FROM fp) AS first_day, (SELECT CAST(max(d) AS VARCHAR) FROM fp) AS last_day FROM scored",
-    "dim_trend": f"SELECT station_id, {r('first_mean', 'last_mean')}, round(last_mean - first_mean, 6) AS drift, CASE WHEN last_mean - first_mean >= 0 THEN 'upper' ELSE 'lower' END AS side FROM dtrend",
+    "dim_trend": f"SELECT station_id, {r('first_mean', 'last_mean')}, round(last_mean - first_mean, 6) AS drift, CASE WHEN 25.2 - last_mean < last_mean - 24.8 THEN 'upper' WHEN last_mean IS NOT NULL THEN 'lower' END AS side FROM dtrend",
     "defect_trend": "SELECT station_id, round(avg(rate) FILTER (WHERE sg <= 21), 6) AS base_rate, round(avg(rate) FILTER (WHERE gs <= 14), 6) AS recent_rate FROM ranked GROUP BY station_id",
     "triage_pattern": "SELECT station_id, pattern, CASE WHEN pattern IN ('dimensional_drift', 'process_shift') THEN 'high' WHEN pattern = 'scattered_false_alarm' THEN 'low' ELSE 'none' END AS severity, violations, round(drift, 6) AS drift FROM (SELECT station_id, violations, last_mean - first_mean AS drift, CASE WHEN cpk_recent < 1.33 AND abs(last_mean - first_mean) >= 0.03 THEN 'dimensional_drift' WHEN violations >= 3 THEN 'process_shift' WHEN violations >= 1 THEN 'scattered_false_alarm' ELSE 'in_control' END AS pattern FROM scored LEFT JOIN dtrend USING (station_id))",
     "dq_triage": "SELECT round(1 - offending::DOUBLE / n_rows, 4) AS dq_score, CASE WHEN round(1 - offending::DOUBLE / n_rows, 4) < 0.99 THEN 'medium' ELSE 'none' END AS severity FROM dq",
@@ -202,9 +211,9 @@ _Q = {
     "booked_after_close": "SELECT station_id, shift_id, wo AS mes_work_order_no FROM closed",
     "wo_station_day": "SELECT station_id, CAST(d AS VARCHAR) AS date, line_id, n_first_pass, n_fail, work_order_no, item_no, ncr_count, ncr_scrap, work_order_no IS NOT NULL AS has_work_order FROM wo_day",
     "wo_progress": "SELECT station_id, CAST(d AS VARCHAR) AS date, work_order_no, CASE WHEN work_order_no IS NOT NULL THEN row_number() OVER w END AS wo_day_seq, CASE WHEN work_order_no IS NOT NULL THEN CAST(sum(n_first_pass) OVER w AS BIGINT) END AS wo_cum_units FROM wo_day WINDOW w AS (PARTITION BY work_order_no, station_id ORDER BY d)",
-    "crosswalk_coverage": "SELECT 'item_no' AS key, count(part_number) AS mapped, count(*) FILTER (WHERE part_number IS NULL) AS unmapped, coalesce(string_agg(DISTINCT CASE WHEN part_number IS NULL THEN item_no END, ',' ORDER BY CASE WHEN part_number IS NULL THEN item_no END), '') AS unmapped_values FROM erp UNION ALL SELECT 'work_center', count(station_id), count(*) FILTER (WHERE station_id IS NULL), '' FROM mes UNION ALL SELECT 'defect_category', count(code_qms), count(*) FILTER (WHERE code_qms IS NULL), coalesce(string_agg(DISTINCT CASE WHEN code_qms IS NULL THEN defect_category END, ',' ORDER BY CASE WHEN code_qms IS NULL THEN defect_category END), '') FROM qms",
+    "crosswalk_coverage": f"SELECT key, count(*) FILTER (WHERE mapped) AS mapped, count(*) FILTER (WHERE NOT mapped) AS unmapped, count(DISTINCT CASE WHEN NOT mapped THEN value END) AS unmapped_values FROM ({_CROSSED}) GROUP BY key",
     "integrity_report": "SELECT count(*) AS events, count(*) FILTER (WHERE work_order_no IS NULL) AS without_work_order, count(*) FILTER (WHERE units_completed IS NULL) AS without_shift, count(*) FILTER (WHERE serial_key IS NULL) AS without_serial, count(*) FILTER (WHERE code_qms IS NOT NULL AND code_qms IS DISTINCT FROM defect_code) AS taxonomy_conflicts, round(100 * (count(*) FILTER (WHERE d <> prod_day))::DOUBLE / count(*), 2) AS other_day_pct, round(1 - (count(*) FILTER (WHERE work_order_no IS NULL OR units_completed IS NULL OR serial_key IS NULL))::DOUBLE / count(*), 4) AS integrity_score, (SELECT count(*) FROM orphan) AS orphan_ncrs, (SELECT count(*) FROM rec WHERE units_completed IS NULL) AS shifts_missing, (SELECT count(*) FROM rec WHERE abs(v) > 5) AS variance_shifts, (SELECT count(*) FROM closed) AS booked_after_close FROM fact",
-    "orphan_register": "SELECT DISTINCT 'event_without_work_order' AS kind, event_id AS ref FROM fact WHERE work_order_no IS NULL UNION ALL SELECT DISTINCT 'event_without_shift', event_id FROM fact WHERE units_completed IS NULL UNION ALL SELECT 'shift_not_logged', station_id || '|' || shift_id FROM rec WHERE units_completed IS NULL UNION ALL SELECT 'ncr_without_event', ncr_no FROM orphan",
+    "orphan_register": "SELECT DISTINCT 'event_without_work_order' AS kind, event_id AS ref FROM fact WHERE work_order_no IS NULL UNION ALL SELECT DISTINCT 'event_without_mes_shift', event_id FROM fact WHERE units_completed IS NULL UNION ALL SELECT DISTINCT 'event_no_serial', event_id FROM fact WHERE serial_key IS NULL UNION ALL SELECT 'ncr_without_inspection_event', ncr_no FROM orphan",
     "orphan_days": "SELECT DISTINCT line_id, CAST(d AS VARCHAR) AS date FROM fact WHERE work_order_no IS NULL",
     "observed_modes": "SELECT * FROM obs",
     "ncr_by_mode": "SELECT * FROM ncr",
@@ -234,7 +243,7 @@ _Q = {
     "wear_rate": "SELECT station_id, measure, points, round(rate * 1000, 6) AS rate_per_1k FROM wr",
     "wear_accel": "SELECT station_id, measure, round(r1 * 1000, 6) AS first_per_1k, round(r2 * 1000, 6) AS second_per_1k, round(CASE WHEN r1 > 0 THEN r2 / r1 END, 3) AS ratio FROM wr",
     "wear_trend": f"SELECT station_id, tooling_set, measure, measure_name, round(latest, 5) AS latest_mm, limit_mm, round(rest, 5) AS margin_mm, latest <= limit_mm AS within_limit, round(rate * 1000, 5) AS rate_per_1k, trend, round(accel, 2) AS acceleration, accelerating, units_to_limit, days_to_limit, '{P.PROJECTION_LABEL}' AS projection_label FROM trendf",
-    "fleet_selftest": "SELECT station_id, days, sets_out, days_out, worst FROM (SELECT station_id, count(*) AS days, concat_ws(',', CASE WHEN bool_or(NOT fixture_ok) THEN 'fixture' END, CASE WHEN bool_or(NOT eoat_ok) THEN 'eoat' END) AS sets_out FROM judged GROUP BY station_id) JOIN (SELECT station_id, max(days_below) AS days_out, ['OK', 'WATCH', 'ALERT'][max(CASE condition WHEN 'ALERT' THEN 3 WHEN 'WATCH' THEN 2 ELSE 1 END)] AS worst FROM cond GROUP BY station_id) USING (station_id)",
+    "fleet_selftest": "SELECT station_id, days, worst, cause, concat_ws(',', CASE WHEN cause LIKE '%tooling/fixture%' THEN 'fixture' END, CASE WHEN cause LIKE '%tooling/eoat%' THEN 'eoat' END) AS sets_out, longest_run AS days_out, first_day_below AS first_out, imaging_ok, measurement_ok, tooling_ok, modes_lost FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY longest_run DESC, mode) AS place FROM cond) JOIN (SELECT station_id, ['OK', 'WATCH', 'ALERT'][max(CASE condition WHEN 'ALERT' THEN 3 WHEN 'WATCH' THEN 2 ELSE 1 END)] AS worst, coalesce(string_agg(CASE WHEN condition = 'ALERT' THEN mode END, ';' ORDER BY mode), '') AS modes_lost FROM cond GROUP BY station_id) USING (station_id) JOIN (SELECT station_id, count(*) AS days, arg_max(imaging_ok, production_day) AS imaging_ok, arg_max(measurement_ok, production_day) AS measurement_ok, arg_max(fixture_ok AND eoat_ok, production_day) AS tooling_ok FROM judged GROUP BY station_id) USING (station_id) WHERE place = 1",
     "f_unassigned_mode": "SELECT * FROM unassigned",
     "f_declared_silent": "SELECT * FROM silent",
     "f_no_backstop": "SELECT w.mode, station_id, position, rate AS exchange_rate, detections FROM worst_open w LEFT JOIN obs_mode o ON o.mode = w.mode",
@@ -269,10 +278,13 @@ _CHECK = "CASE WHEN cause LIKE '%tooling/eoat%' THEN 'eoat' WHEN cause LIKE '%to
 _SCOPE = _Q["containment_units"]
 _SERIES = ["datamatrix_grade", "ref_repeatability_mm", "locator_wear_mm", "gripper_pad_wear_mm", "tcp_offset_mm"]
 ORACLE_SQL |= {
-    k: HEAD + v
+    k: (HEAD.rstrip() + f",\narrivals AS ({_LATE})\n" if k == "stream_late_rows" else HEAD) + v
     for k, v in {
-        "scorecard_left_join": "SELECT f.station_id, f.n, round(cap.cpk, 6) AS cpk FROM (SELECT station_id, count(*) AS n FROM fp GROUP BY station_id) f LEFT JOIN cap ON cap.station_id = f.station_id",
-        "recent_window_in_range": f"SELECT station_id, count(*) AS n, CAST(min(d) AS VARCHAR) AS first_day, CAST(max(d) AS VARCHAR) AS last_day FROM (SELECT station_id, CAST(ts AS DATE) AS d, max(CAST(ts AS DATE)) OVER () - {P.RECENT_DAYS} AS start FROM inspections WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20') WHERE d >= start GROUP BY station_id",
+        "valid_cutoff": f"SELECT CAST(start AS VARCHAR) AS start, (SELECT CAST(start AS VARCHAR) FROM win) AS start_of_looks, count(*) AS readings FROM {_VALID} WHERE CAST(ts AS DATE) >= start GROUP BY start",
+        "crosswalk_unmapped": f"SELECT key, value, count(*) AS rows FROM ({_CROSSED}) WHERE NOT mapped GROUP BY key, value",
+        "dq_clean_and_rules": "SELECT rule AS name, count(*) AS n FROM viol GROUP BY rule UNION ALL SELECT coalesce(station_id, '-'), count(*) FROM ev GROUP BY 1",
+        "quarantine_counts": f"SELECT extract, reason, count(*) AS rows FROM (SELECT extract, unnest(CASE WHEN list_bool_or(hits) THEN list_filter(names, lambda n, i: hits[i]) ELSE ['clean'] END) AS reason FROM ({_REJECTS})) GROUP BY extract, reason",
+        "stream_late_rows": f"SELECT count(*) AS input_rows, count(*) FILTER (WHERE ts <= mark) AS dropped_rows, count(DISTINCT CASE WHEN mark IS NULL OR ts > mark THEN event_id END) AS kept_rows FROM (SELECT l.*, (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 3 DAY FROM arrivals e WHERE e.part < l.part) AS mark FROM arrivals l)",
         "variance_shifts": "SELECT station_id, shift_id, inspection_events, units_completed AS mes_units_completed, round(v, 3) AS qty_variance_pct FROM rec WHERE abs(v) > 5 ORDER BY abs(round(v, 3)) DESC, station_id, shift_id LIMIT 5",
         "effective_coverage": "SELECT count(*) AS declared_pairs, count(*) FILTER (WHERE condition <> 'ALERT') AS effective_pairs, round((count(*) FILTER (WHERE condition <> 'ALERT'))::DOUBLE / count(*), 4) AS effective_rate, coalesce(string_agg(DISTINCT CASE WHEN condition = 'ALERT' THEN mode END, ',' ORDER BY CASE WHEN condition = 'ALERT' THEN mode END), '') AS modes_losing, coalesce(string_agg(DISTINCT CASE WHEN condition = 'ALERT' THEN station_id END, ',' ORDER BY CASE WHEN condition = 'ALERT' THEN station_id END), '') AS stations_losing FROM cond",
         "fleet_series": " UNION ALL ".join(f"SELECT station_id, production_day, imaging_ok, measurement_ok, fixture_ok AND eoat_ok AS tooling_ok, '{c}' AS measure, round({c}, 5) AS value FROM judged" for c in _SERIES),

@@ -7,6 +7,9 @@ for each station, defect mode or measure of the policy.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 # ---- fixed values: control plan -------------------------------------------
@@ -76,7 +79,34 @@ PROJECTION_LABEL = "Linear extrapolation of measured wear to the tolerance limit
 
 POSITIONS = [(line, s, p, VALUE_AT[p]) for line, stations in LINES.items() for p, s in enumerate(stations, 1)]
 
+#: scalar limits, counts of days and cost parameters, by name
+SETTINGS = {
+    "lsl": LSL, "usl": USL, "cpk_min": CPK_MIN, "physical_margin_mm": PHYSICAL_MARGIN_MM, "sigma": SIGMA, "rolling_days": ROLLING_DAYS, "baseline_days": BASELINE_DAYS, "recent_days": RECENT_DAYS,
+    "drift_mm": 0.03, "tolerance_pct": TOLERANCE_PCT, "value_at_final": VALUE_AT_FINAL, "rework_fraction": REWORK_FRACTION, "fixed_handling": FIXED_HANDLING, "teardown": TEARDOWN,
+    "final_penalty": FINAL_PENALTY, "customer_penalty": CUSTOMER_PENALTY, "brightness_min": BRIGHTNESS[0], "brightness_max": BRIGHTNESS[1], "sharpness_min": SHARPNESS_MIN, "grade_min": GRADE_MIN,
+    "bias_max": BIAS_MAX, "repeatability_max": REPEATABILITY_MAX, "min_points": MIN_POINTS, "min_rise": MIN_RISE, "acceleration": ACCELERATION, "trend_days": TREND_DAYS, "alert_days": ALERT_DAYS, "approaching": APPROACHING,
+}
+#: rule, kind, column, allowed values, least and greatest value, and the column and value that it depends on
+RULES = [
+    *[(f"required:{c}", "required", c, None, None, None, None, None) for c in REQUIRED],
+    ("unique:event_id", "unique", "event_id", None, None, None, None, None),
+    *[(f"allowed:{c}", "allowed", c, v, None, None, None, None) for c, v in ALLOWED.items()],
+    *[(f"range:{c}", "range", c, None, low, high, None, None) for c, (low, high) in RANGES.items()],
+    ("consistency:C1", "absent_when", "defect_code", None, None, None, "vision_result", "PASS"),
+    ("consistency:C2", "present_when", "defect_code", None, None, None, "vision_result", "FAIL"),
+]
+#: sweep, parameter, the tooling measure whose limit it is (else a setting of that sense), value
+SWEEPS = [
+    *[("cost", k, None, v) for k, values in COST_SWEEP.items() for v in values],
+    *[("selftest", k, "locator_wear_mm" if k == "locator" else None, v) for k, values in SELFTEST_SWEEP.items() for v in values],
+]
+#: Rows of one policy table at the most; a longer one is no policy, and is refused before it is broadcast.
+MOST_ROWS = 10_000
+
 DIMS: dict[str, tuple[str, list[tuple]]] = {
+    "dim_setting": ("name string, value double", [(k, float(v)) for k, v in SETTINGS.items()]),
+    "dim_rule": ("rule string, kind string, column string, allowed array<string>, low double, high double, when_column string, when_value string", RULES),
+    "dim_sweep": ("sweep string, parameter string, measure string, value double", SWEEPS),
     "dim_mode": ("mode string, label string, feature_ref string, basis string", MODES),
     "dim_position": ("line_id string, station_id string, position long, value_vu double", POSITIONS),
     "dim_assignment": ("station_id string, mode string", [(s, m) for _, s, p, _ in POSITIONS for m in DETECTS[p]]),
@@ -115,6 +145,104 @@ def read_dims(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return found
 
 
+@dataclass(frozen=True)
+class Rule:
+    rule: str
+    kind: str
+    column: str
+    allowed: list[str] | None = None
+    low: float | None = None
+    high: float | None = None
+    when_column: str | None = None
+    when_value: str | None = None
+
+
+@dataclass(frozen=True)
+class Measure:
+    tooling_set: str
+    measure: str
+    limit_mm: float
+    trended: bool
+    measure_name: str
+
+
+@dataclass(frozen=True)
+class Policy:
+    """What operators need on the driver to build one expression a pass: scalar
+    settings (``policy["lsl"]``), rules, tooling measures and sweeps. Policy
+    tables that are joined stay DataFrames."""
+
+    settings: Mapping[str, float]
+    rules: tuple[Rule, ...]
+    measures: tuple[Measure, ...]
+    sweeps: tuple[tuple[str, str, str | None, float], ...]
+
+    def __getitem__(self, name: str) -> float:
+        return self.settings[name]
+
+    def days(self, name: str) -> int:
+        return int(self.settings[name])
+
+    def of_kind(self, *kinds: str) -> list[Rule]:
+        return [r for r in self.rules if r.kind in kinds]
+
+    @property
+    def tooling_sets(self) -> list[str]:
+        return list(dict.fromkeys(m.tooling_set for m in self.measures))
+
+    @property
+    def trended(self) -> list[str]:
+        return [m.measure for m in self.measures if m.trended]
+
+    def sweep(self, name: str) -> dict[str, list[float]]:
+        out: dict[str, list[float]] = {}
+        for sweep, parameter, _, value in self.sweeps:
+            if sweep == name:
+                out.setdefault(parameter, []).append(value)
+        return out
+
+    @property
+    def swept_limits(self) -> dict[str, str]:
+        """Parameter of the self-test sweep by the measure whose limit it is."""
+        return {measure: parameter for sweep, parameter, measure, _ in self.sweeps if sweep == "selftest" and measure}
+
+    @property
+    def selftest_limits(self) -> dict[str, float]:
+        """The policy's own value of every swept self-test limit."""
+        own = {"grade": self["grade_min"], "sharpness": self["sharpness_min"], "bias": self["bias_max"]}
+        limits = {m.measure: m.limit_mm for m in self.measures}
+        return own | {parameter: limits[measure] for measure, parameter in self.swept_limits.items() if measure in limits}
+
+
+COMPILED = ("dim_setting", "dim_rule", "dim_measure", "dim_sweep")
+
+
+def bounded_rows(df: DataFrame, name: str, most: int = MOST_ROWS) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{name} has more than {most} rows")
+    return rows
+
+
+def compile_policy(dims: Mapping[str, DataFrame] | None = None) -> Policy:
+    """The policy of the given tables; those that are missing, and settings that
+    dim_setting does not name, are those of the built-in one. A setting without a
+    value, or of an unknown name, is an error."""
+    rows = {name: [tuple(r) for r in bounded_rows(dims[name], name)] if dims and name in dims else DIMS[name][1] for name in COMPILED}
+    settings = dict(DIMS["dim_setting"][1]) | dict(rows["dim_setting"])
+    strange = [k for k, v in settings.items() if k not in SETTINGS or v is None]
+    if strange:
+        raise ValueError(f"settings without a sense or a value: {strange}")
+    kinds = {"required", "unique", "allowed", "range", "absent_when", "present_when"}
+    rules = tuple(Rule(*r) for r in rows["dim_rule"])
+    if any(r.kind not in kinds for r in rules):
+        raise ValueError(f"kinds of rules are {sorted(kinds)}")
+    return Policy(settings, rules, tuple(Measure(*r) for r in rows["dim_measure"]), tuple(rows["dim_sweep"]))
+
+
+BUILT_IN = compile_policy()
+
+
 def _literal(v: object) -> str:
     if v is None:
         return "NULL"

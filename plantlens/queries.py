@@ -100,7 +100,7 @@ def mart_write(p):
 @query
 def report_write(p):
     path = tables.scratch_path(p.spark, "report")
-    tables.write_report({"quality": quality.score(p.raw), "sources": tables.source_sanity(p.raw)}, path)
+    tables.write_report({"quality": quality.score(p.raw, p.policy), "sources": tables.source_sanity(p.raw)}, path)
     return p.spark.read.schema("quality struct<n_rows long, offending long, dq_score double>, sources struct<n_rows long, n_keys long>").json(path).select("quality.n_rows", "quality.offending", "quality.dq_score", "sources.n_keys")
 
 
@@ -168,19 +168,19 @@ def tuned_after(p):
 @query
 def phase2_score(p):
     """Days after the baseline against limits frozen on it."""
-    later = spc.subgroup_rank(p.daily).filter(F.col("subgroup") > P.BASELINE_DAYS)
+    later = spc.subgroup_rank(p.daily).filter(F.col("subgroup") > p.policy.days("baseline_days"))
     return spc.phase2_score(later, spc.baseline_pbar(p.daily)).select(*DAY, "ucl", "lcl", "out_of_control")
 
 
 # ---- capability, scorecard, triage ----------------------------------------
 @query
 def cpk(p):
-    return spc.capability(p.looks).select("station_id", "cpk", "readings")
+    return spc.capability(p.looks, p.policy).select("station_id", "cpk", "readings")
 
 
 @query
 def cpk_recent(p):
-    return spc.capability(p.looks).select("station_id", "cpk_recent")
+    return spc.capability(p.looks, p.policy).select("station_id", "cpk_recent")
 
 
 @query
@@ -190,13 +190,21 @@ def recent_window(p):
 
 @query
 def recent_profile(p):
-    rates = spc.recent_window(p.looks).groupBy("station_id").agg(F.avg(scalar.failed().cast("double")).alias("recent_rate"))
-    return spc.capability(p.looks).select("station_id", "recent_mean", "recent_sd").join(rates, "station_id")
+    return spc.recent_profile(p.raw, p.daily, p.policy)
+
+
+@query
+def valid_cutoff(p):
+    """Start of the recent window where it ends with the last valid reading, beside
+    that of all first looks, and the readings since."""
+    valid = spc.valid_readings(spc.first_pass(p.raw), p.policy)
+    late = spc.recent_window(valid, p.policy.days("recent_days")).groupBy("start").agg(F.count("*").alias("readings"))
+    return late.join(F.broadcast(spc.recent_start(p.looks, p.policy.days("recent_days")).toDF("start_of_looks")), F.lit(True))  # one row each
 
 
 @query
 def daily_dim_mean(p):
-    return spc.daily_readings(p.looks).select("station_id", "d", "mean_dim", "readings")
+    return spc.daily_readings(p.looks, p.policy).select("station_id", "d", "mean_dim", "readings")
 
 
 CARD = ["station_id", "line_id", "n", "fails", "fpy_overall", "rolling_latest", "violations", "first_violation", "cpk", "cpk_recent", "status"]
@@ -204,41 +212,28 @@ CARD = ["station_id", "line_id", "n", "fails", "fpy_overall", "rolling_latest",
 
 @query
 def station_scorecard(p):
-    return spc.scorecard(p.looks).select(*CARD)
+    return spc.scorecard(p.looks, p.policy).select(*CARD)
 
 
 @query
 def scorecard_assemble(p):
     """Stations without a valid reading stay."""
-    return p.looks.groupBy("station_id").agg(F.count("*").alias("n")).join(spc.capability(p.looks).select("station_id", "cpk"), "station_id", "left")
-
-
-@query
-def scorecard_left_join(p):
-    """Every station's looks and capability; null without a valid reading."""
-    return scorecard_assemble(p)
-
-
-@query
-def recent_window_in_range(p):
-    """Of a range of days asked for: the window that ends with its last day that has events."""
-    events = spc.in_days(p.raw, "2024-01-05", "2024-01-20")
-    return spc.recent_window(events).groupBy("station_id").agg(F.count("*").alias("n"), F.min(F.to_date("ts")).alias("first_day"), F.max(F.to_date("ts")).alias("last_day"))
+    return p.looks.groupBy("station_id").agg(F.count("*").alias("n")).join(spc.capability(p.looks, p.policy).select("station_id", "cpk"), "station_id", "left")
 
 
 @query
 def status_rule(p):
-    return spc.scorecard(p.looks).select("station_id", "violations", "status")
+    return spc.scorecard(p.looks, p.policy).select("station_id", "violations", "status")
 
 
 @query
 def spc_alerts(p):
-    return spc.scorecard(p.looks).filter("violations > 0").select("station_id", "violations", "first_violation")
+    return spc.scorecard(p.looks, p.policy).filter("violations > 0").select("station_id", "violations", "first_violation")
 
 
 @query
 def capability_alerts(p):
-    return spc.scorecard(p.looks).filter(F.col("cpk_recent") < P.CPK_MIN).select("station_id", "cpk_recent")
+    return spc.scorecard(p.looks, p.policy).filter(F.col("cpk_recent") < p.policy["cpk_min"]).select("station_id", "cpk_recent")
 
 
 @query
@@ -258,12 +253,12 @@ def top_defects(p):
 
 @query
 def fleet_kpis(p):
-    return spc.fleet_kpis(p.looks)
+    return spc.fleet_kpis(p.looks, p.policy)
 
 
 @query
 def dim_trend(p):
-    return spc.dim_trend(p.looks)
+    return spc.dim_trend(p.looks, p.policy)
 
 
 @query
@@ -273,21 +268,26 @@ def defect_trend(p):
 
 @query
 def triage_pattern(p):
-    return spc.triage(p.looks).select("station_id", "pattern", "severity", "violations", "drift")
+    return spc.triage(p.looks, p.policy).select("station_id", "pattern", "severity", "violations", "drift")
 
 
 @query
 def dq_triage(p):
-    return quality.score(p.raw).select("dq_score", F.when(F.col("dq_score") < 0.99, "medium").otherwise("none").alias("severity"))
+    return quality.score(p.raw, p.policy).select("dq_score", F.when(F.col("dq_score") < 0.99, "medium").otherwise("none").alias("severity"))
 
 
 # ---- data quality ---------------------------------------------------------
-def _rule(name: str, rules) -> None:
-    QUERIES[name] = lambda spark, sf_dir: plain(quality.violations(quality.with_duplicates(Plant(spark, sf_dir).raw) if name == "dq_unique" else Plant(spark, sf_dir).raw, rules()))
+def _rule(name: str, *kinds: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = Plant(spark, sf_dir)
+        events = quality.with_duplicates(p.raw) if "unique" in kinds else p.raw
+        return plain(quality.violations(events, quality.compiled(p.policy.of_kind(*kinds))))
+
+    QUERIES[name] = run
 
 
-for _name, _rules in {"dq_required": quality.required, "dq_unique": quality.unique, "dq_allowed": quality.allowed, "dq_range": quality.in_range, "dq_consistency": quality.consistent}.items():
-    _rule(_name, _rules)
+for _name, _kinds in {"dq_required": ["required"], "dq_unique": ["unique"], "dq_allowed": ["allowed"], "dq_range": ["range"], "dq_consistency": ["absent_when", "present_when"]}.items():
+    _rule(_name, *_kinds)
 
 
 @query
@@ -297,24 +297,32 @@ def duplicate_flag(p):
 
 @query
 def violations_union(p):
-    return quality.all_violations(p.raw)
+    return quality.all_violations(p.raw, p.policy)
 
 
 @query
 def dq_score(p):
-    return quality.score(p.raw)
+    return quality.score(p.raw, p.policy)
 
 
 @query
 def dq_by_rule(p):
-    return quality.by_rule(quality.all_violations(p.raw))
+    return quality.by_rule(quality.all_violations(p.raw, p.policy))
 
 
 @query
 def dq_validate(p):
-    clean, found, rep = quality.validate(p.raw)
-    n = lambda df, c: df.agg(F.count("*").alias(c))
-    return n(clean, "clean_rows").join(F.broadcast(n(found, "violations")), F.lit(True)).join(F.broadcast(rep), F.lit(True))  # one row each
+    """One scan and one shuffle of the events; what follows reads the judged keys."""
+    _, _, rep = quality.validate(p.raw, p.policy)
+    return rep
+
+
+@query
+def dq_clean_and_rules(p):
+    """Violations by rule, and the clean rows, of one pass."""
+    keys = p.mart("judged", lambda: quality.judged_keys(p.raw, p.policy))
+    clean = quality.clean_rows(keys, p.raw.columns).groupBy("station_id").agg(F.count("*").alias("n"))
+    return quality.rule_counts(keys).toDF("name", "n").unionByName(clean.select(F.coalesce("station_id", F.lit("-")).alias("name"), "n"))
 
 
 @query
@@ -325,7 +333,7 @@ def frozen_gauge(p):
 
 @query
 def last5_slope_drift(p):
-    return spc.last5_slope(p.looks).select("event_id", "station_id", "slope", "drift")
+    return spc.last5_slope(p.looks, p.policy).select("event_id", "station_id", "slope", "drift")
 
 
 # ---- integration ----------------------------------------------------------
@@ -458,17 +466,40 @@ def wo_progress(p):
 
 @query
 def crosswalk_coverage(p):
-    return integrate.crosswalk_coverage(p.erp, p.mes, p.qms)
+    return integrate.crosswalk_coverage(p.erp_mart, p.mes_mart, p.qms_mart)
+
+
+@query
+def crosswalk_unmapped(p):
+    return integrate.crosswalk_unmapped(p.erp, p.mes, p.qms)
+
+
+@query
+def quarantine_counts(p):
+    """What the landed extracts hold that is no date, no number or no known code.
+    Some work orders have text for their end, some shifts for their units."""
+    spoil = {"erp_work_orders": ("SCHED_END_DT", F.col("WORK_ORDER_NO").endswith("3")), "mes_shift_log": ("units_completed", F.col("shift_id").endswith("5-B"))}
+    out = None
+    for name in integrate.TYPED:
+        rows = p.source(name)
+        if name in spoil:
+            column, where = spoil[name]
+            rows = rows.withColumn(column, F.when(where, "n/a").otherwise(F.col(column).cast("string")))
+        clean, rejects = integrate.quarantine(rows, name, p.dims, tables.scratch_path(p.spark, name))
+        counts = integrate.reject_counts(rejects, name).unionByName(clean.agg(F.lit(name).alias("extract"), F.lit("clean").alias("reason"), F.count("*").alias("rows")))
+        out = counts if out is None else out.unionByName(counts)
+    return out
 
 
 @query
 def integrity_report(p):
-    return integrate.integrity_report(p.fact, p.mes, p.erp, p.qms, p.reconciled, p.keyed)
+    rec = integrate.reconcile(p.keyed_mart, p.mes_mart, p.policy["tolerance_pct"])
+    return integrate.integrity_report(p.fact_of_marts, p.mes_mart, p.erp_mart, p.qms_mart, rec, p.keyed_mart)
 
 
 @query
 def orphan_register(p):
-    return integrate.orphan_register(p.fact, p.reconciled, p.qms, p.keyed)
+    return integrate.orphan_register(p.fact_of_marts, p.qms_mart, p.keyed_mart)
 
 
 @query
@@ -502,7 +533,7 @@ def coverage_matrix(p):
     """Mode by station: detections, or -1 where the station lost the mode."""
     lost = p.cond.filter("condition = 'ALERT'").select("station_id", "mode", F.lit(True).alias("lost"))
     cells = p.cov.join(lost, ["station_id", "mode"], "left").withColumn("v", F.when(F.col("lost"), -1).otherwise(F.col("detections")))
-    stations = [s for _, s, *_ in P.POSITIONS]
+    stations = sorted(r.station_id for r in P.bounded_rows(p.dim("dim_position"), "dim_position"))
     return cells.groupBy("mode").pivot("station_id", stations).agg(F.first("v"))
 
 
@@ -538,13 +569,13 @@ def discovery_point(p):
 @query
 def false_reject_cost(p):
     """Of the fails seen at each station, were they all false."""
-    cost = p.dim("dim_position").select("station_id", coverage.false_reject_cost().alias("unit_vu"))
+    cost = p.dim("dim_position").select("station_id", coverage.false_reject_cost(p.policy).alias("unit_vu"))
     return p.observed.groupBy("station_id").agg(F.sum("detections").alias("fails")).join(cost, "station_id").withColumn("total_vu", F.col("fails") * F.col("unit_vu"))
 
 
 @query
 def escape_cost(p):
-    return _with_seen(p, p.points.select("station_id", "mode", coverage.escape_cost().alias("unit_vu"), "found_kind")).withColumn("exposed_vu", F.col("detections") * F.col("unit_vu"))
+    return _with_seen(p, p.points.select("station_id", "mode", coverage.escape_cost(p.policy).alias("unit_vu"), "found_kind")).withColumn("exposed_vu", F.col("detections") * F.col("unit_vu"))
 
 
 @query
@@ -578,8 +609,8 @@ def event_cost_rollup(p):
 
 @query
 def position_walk(p):
-    first = min(P.LINES)
-    return _with_seen(p, p.econ.filter((F.col("line_id") == first) & (F.col("mode") == P.COMMON_MODE)).select("position", "station_id", "mode", "exchange_rate", "found_at"))
+    first = F.broadcast(p.dim("dim_position").agg(F.min("line_id").alias("line_id")))  # one row
+    return _with_seen(p, p.econ.filter(F.col("mode") == P.COMMON_MODE).join(first, "line_id").select("position", "station_id", "mode", "exchange_rate", "found_at"))
 
 
 @query
@@ -598,7 +629,7 @@ def selftest_verdicts(p):
 
 @query
 def failing_sets(p):
-    return condition.failing_sets(p.judged).select("station_id", "production_day", "failing_sets")
+    return condition.failing_sets(p.judged, p.policy).select("station_id", "production_day", "failing_sets")
 
 
 @query
@@ -647,13 +678,13 @@ def wear_trend(p):
 
 @query
 def fleet_selftest(p):
-    return condition.fleet(p.judged, p.cond)
+    return condition.fleet(p.judged, p.cond, p.policy)
 
 
 @query
 def fleet_series(p):
     """Each station's days: readings that are trended and the verdicts of the day."""
-    return condition.day_series(p.judged)
+    return condition.day_series(p.judged, p.policy)
 
 
 # ---- findings and extent --------------------------------------------------
@@ -691,8 +722,8 @@ def f_coverage_lost(p):
 @query
 def f_coverage_lost_card(p):
     """Stations that lost coverage, beside what their scorecard says and who is to react."""
-    card = spc.scorecard(p.looks).select("station_id", "fpy_overall", "violations", "cpk_recent", "status")
-    named = p.lost.withColumn("check_name", findings.check_of_cause())
+    card = spc.scorecard(p.looks, p.policy).select("station_id", "fpy_overall", "violations", "cpk_recent", "status")
+    named = p.lost.withColumn("check_name", findings.check_of_cause(policy=p.policy))
     plans = findings.reaction_plans(named, p.dim("dim_reaction")).select("station_id", "modes_lost", "longest_run", "first_day_below", "check_name", "owner", "escalate_days")
     return plans.join(card, "station_id", "left")
 
@@ -704,7 +735,7 @@ def f_transient(p):
 
 @query
 def f_trending(p):
-    return findings.trending(p.wear).select("station_id", "measure", "units_to_limit", "days_to_limit", "accelerating")
+    return findings.trending(p.wear, p.policy["trend_days"]).select("station_id", "measure", "units_to_limit", "days_to_limit", "accelerating")
 
 
 @query
@@ -719,7 +750,7 @@ def findings_union(p):
 
 @query
 def check_for_cause(p):
-    return p.cond.select("station_id", "mode", "cause", findings.check_of_cause().alias("check_name"))
+    return p.cond.select("station_id", "mode", "cause", findings.check_of_cause(policy=p.policy).alias("check_name"))
 
 
 @query
@@ -788,30 +819,65 @@ def _updated(p: Plant, result: DataFrame) -> DataFrame:
     return stream.run_updated(result, tables.scratch_path(p.spark, "feed-rows"), ["station_id", "start"])
 
 
+DELAY = "3 days"
+
+
+def _deliveries(p: Plant, rows: DataFrame, late_every: int = 0, parts: int = 6) -> list[DataFrame]:
+    """The rows in the order in which files of them arrive: by equal spans of days.
+    Of ``late_every`` ids one comes two deliveries late."""
+    span = rows.agg(F.min(F.to_date("ts")).alias("_from"), F.max(F.to_date("ts")).alias("_to"))
+    width = F.ceil((F.datediff("_to", "_from") + 1) / parts)
+    late = F.when(F.right("event_id", F.lit(2)).cast("int") % late_every == 0, 2).otherwise(0) if late_every else F.lit(0)
+    placed = rows.join(F.broadcast(span), F.lit(True)).withColumn("_part", F.floor(F.datediff("ts", "_from") / width) + late)  # one row
+    path = tables.scratch_path(p.spark, "deliveries")
+    placed.drop("_from", "_to").write.partitionBy("_part").parquet(path)
+    return [tables.optional_source(p.spark, f"{path}/_part={i}", tables.EVENT_SCHEMA) for i in range(parts + 2)]
+
+
+def _over_deliveries(p: Plant, deliveries: list[DataFrame], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs a stream to its end after each delivery; it goes on where it stopped."""
+    path = tables.scratch_path(p.spark, "feed")
+    out = None
+    for rows in deliveries:
+        rows.write.mode("append").parquet(path)
+        out = run(stream.read_stream(p.spark, path, tables.EVENT_SCHEMA))
+    return out
+
+
 @query
 def stream_dedupe(p):
-    return stream.run_appended(stream.dedupe(_feed(p), "40 days").select("event_id", "station_id"), tables.scratch_path(p.spark, "feed-rows"))
+    path = tables.scratch_path(p.spark, "feed-rows")
+    return _over_deliveries(p, _deliveries(p, p.raw), lambda feed: stream.run_appended(stream.dedupe(feed, DELAY).select("event_id", "station_id"), path))
+
+
+@query
+def stream_late_rows(p):
+    """Rows that come behind the watermark, counted by the stream itself."""
+    path = tables.scratch_path(p.spark, "feed-rows")
+    with stream.ProgressTable(p.spark, f"{path}/progress", ["late-rows"]) as seen:
+        kept = _over_deliveries(p, _deliveries(p, p.raw, 40), lambda feed: stream.run_appended(stream.dedupe(feed, DELAY).select("event_id"), path, "late-rows"))
+    sums = seen.rows().agg(F.sum("input_rows").alias("input_rows"), F.sum("dropped_rows").alias("dropped_rows"))
+    return sums.join(F.broadcast(kept.agg(F.count("*").alias("kept_rows"))), F.lit(True))  # one row each
 
 
 @query
 def stream_daily_fpy(p):
-    return _updated(p, stream.daily_fpy(_feed(p), "40 days"))
+    return _updated(p, stream.daily_fpy(_feed(p), DELAY))
 
 
 @query
 def stream_shift_fpy(p):
-    return _updated(p, stream.shift_fpy(_feed(p), "40 days"))
+    return _updated(p, stream.shift_fpy(_feed(p), DELAY))
 
 
 @query
 def stream_phase2(p):
-    """The feed's days, each id once, against the limits of the baseline."""
-    path = tables.scratch_path(p.spark, "feed")
-    p.events.write.parquet(path)
-    feed = stream.read_stream(p.spark, path, tables.EVENT_SCHEMA)
-    days = _updated(p, stream.daily_fpy(feed, "40 days")).select("station_id", F.to_date("start").alias("d"), "n", "fails", (F.col("fails") / F.col("n")).alias("defect_rate"))
-    later = spc.subgroup_rank(days).filter(F.col("subgroup") > P.BASELINE_DAYS)
-    return stream.phase2_score(later, spc.baseline_pbar(days)).select(*DAY, "ucl", "lcl", "out_of_control")
+    """Limits are frozen on the first days and stored; then the feed arrives in
+    deliveries, and its later days, each id once, are judged as it runs."""
+    root, path = tables.scratch_path(p.spark, "limits"), tables.scratch_path(p.spark, "judged-days")
+    stream.freeze_limits(p.daily, root, p.policy)
+    judged = _over_deliveries(p, _deliveries(p, p.events), lambda feed: stream.run_phase2(feed, root, path, p.policy, DELAY))
+    return judged.select(*DAY, "ucl", "lcl", "out_of_control")
 
 
 @query

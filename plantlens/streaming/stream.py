@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
+from plantlens import policy as P
 from plantlens.functions.scalar import failed
 from plantlens.operators import spc
 from plantlens.sources import tables
@@ -43,10 +46,33 @@ def shift_fpy(feed: DataFrame, delay: str = "1 day") -> DataFrame:
     return windowed_fpy(feed, "8 hours", "6 hours", delay)
 
 
-def phase2_score(days: DataFrame, limits: DataFrame) -> DataFrame:
-    """Daily rows (station_id, n, fails, defect_rate) of a feed against frozen
-    limits: a stream-static join."""
-    return spc.phase2_score(days, limits)
+def freeze_limits(daily: DataFrame, root: str, policy: P.Policy = P.BUILT_IN) -> dict:
+    """Publishes the baseline of each station's first subgroups, and the day that it
+    is frozen through, as the mart ``limits``."""
+    n = policy.days("baseline_days")
+    first = spc.subgroup_rank(daily).filter(F.col("subgroup") <= n)
+    through = first.groupBy("station_id").agg(F.max("d").alias("frozen_through"))
+    return tables.publish_mart(spc.baseline_pbar(daily, n).join(through, "station_id"), root, "limits", "freeze")
+
+
+def run_phase2(feed: DataFrame, limits_root: str, path: str, policy: P.Policy = P.BUILT_IN, delay: str = "1 day") -> DataFrame:
+    """Scores a feed's days against stored limits while the feed runs: a join of the
+    stream with a static table. Every trigger reads the last published limits anew,
+    judges the days that it has updated, if they are later than the limits are frozen
+    through, and writes them under its number; of each day the row of the last trigger
+    holds. Days of stations without limits are not judged."""
+    spark = feed.sparkSession
+    days = daily_fpy(feed, delay)
+
+    def trigger(rows: DataFrame, number: int) -> None:
+        limits = tables.open_mart(spark, limits_root, "limits")
+        new = rows.select("station_id", F.to_date("start").alias("d"), "n", "fails", (F.col("fails") / F.col("n")).alias("defect_rate"))
+        judged = spc.phase2_score(new, limits, policy["sigma"]).filter(F.col("d") > F.col("frozen_through"))
+        judged.drop("frozen_through").write.mode("overwrite").parquet(f"{path}/rows/trigger={number}")
+
+    _to_end(days.writeStream.foreachBatch(trigger).outputMode("update"), f"{path}/state")
+    schema = "station_id string, d date, n long, fails long, defect_rate double, pbar double, ucl double, lcl double, out_of_control boolean, trigger long"
+    return _last_rows(tables.optional_source(spark, f"{path}/rows", schema), ["station_id", "d"])
 
 
 LAST = "station_id string, last struct<v: double>, prev struct<v: double>"
@@ -92,8 +118,8 @@ def run_held_readings(feed: DataFrame, path: str) -> DataFrame:
     return tables.optional_source(spark, f"{path}/rows", "event_id string, station_id string, held boolean").drop("trigger")
 
 
-def _to_end(writer: DataStreamWriter, state: str) -> None:
-    query = writer.option("checkpointLocation", state).trigger(availableNow=True).start()
+def _to_end(writer: DataStreamWriter, state: str, name: str | None = None) -> None:
+    query = (writer.queryName(name) if name else writer).option("checkpointLocation", state).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
         if query.exception():
@@ -102,10 +128,10 @@ def _to_end(writer: DataStreamWriter, state: str) -> None:
         query.stop()
 
 
-def run_appended(result: DataFrame, path: str) -> DataFrame:
+def run_appended(result: DataFrame, path: str, name: str | None = None) -> DataFrame:
     """Runs a feed to its present end and reads the rows that it appended, from
     Parquet files beside the state."""
-    _to_end(result.writeStream.format("parquet").option("path", f"{path}/rows").outputMode("append"), f"{path}/state")
+    _to_end(result.writeStream.format("parquet").option("path", f"{path}/rows").outputMode("append"), f"{path}/state", name)
     return result.sparkSession.read.schema(result.schema).parquet(f"{path}/rows")
 
 
@@ -119,7 +145,55 @@ def run_updated(result: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
 
     _to_end(result.writeStream.foreachBatch(trigger).outputMode("update"), f"{path}/state")
     schema = T.StructType([*result.schema.fields, T.StructField("trigger", T.LongType())])
-    rows = tables.optional_source(result.sparkSession, f"{path}/rows", schema)
-    rest = [c for c in result.columns if c not in keys]
+    return _last_rows(tables.optional_source(result.sparkSession, f"{path}/rows", schema), keys)
+
+
+def _last_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each key the row of the last trigger."""
+    names = [c for c in rows.columns if c != "trigger"]
+    rest = [c for c in names if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "trigger").alias("_r"))
-    return last.select(*[c if c in keys else F.col(f"_r.{c}") for c in result.columns])
+    return last.select(*[c if c in keys else F.col(f"_r.{c}") for c in names])
+
+
+PROGRESS = "query string, run string, trigger long, input_rows long, dropped_rows long, state_rows long, watermark string"
+
+
+class ProgressTable(StreamingQueryListener):
+    """Writes a row of every trigger of the named queries to a folder: rows read,
+    rows dropped because they were behind the watermark, rows of state, watermark.
+    ``with ProgressTable(spark, path, names) as t: ...`` listens; ``t.rows()`` reads."""
+
+    def __init__(self, spark: SparkSession, path: str, names: Sequence[str]):
+        self.spark, self.path, self.names = spark, path, set(names)
+
+    def __enter__(self) -> ProgressTable:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.name not in self.names:
+            return
+        row = {
+            "query": p.name, "run": str(p.runId), "trigger": p.batchId, "input_rows": p.numInputRows, "dropped_rows": sum(o.numRowsDroppedByWatermark for o in p.stateOperators),
+            "state_rows": sum(o.numRowsTotal for o in p.stateOperators), "watermark": p.eventTime.get("watermark"),
+        }
+        tables.write_small(self.spark, f"{self.path}/{p.runId}-{p.batchId}-{uuid.uuid4().hex}.json", json.dumps(row))
+
+    def rows(self) -> DataFrame:
+        """One row a trigger; a trigger that ran again counts with its last run."""
+        return tables.optional_source(self.spark, self.path, PROGRESS, "json")
