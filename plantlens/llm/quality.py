@@ -179,15 +179,24 @@ def without_lines(text: str, drop: np.ndarray) -> str:
 FREQUENT, HOST, CONTENT = "frequent_lines_of_text", "frequent_lines_host", "frequent_lines_content"
 
 
+def _free(name: str, df: DataFrame) -> str:
+    """The name, longer if the rows have a column of it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _with_frequent(df: DataFrame, text_col: str, host_col: str, least: int, share: float) -> DataFrame:
     """Each row with those of its own lines that are over the limit of its
     host, so no list is longer than a text, whatever the limits are."""
     once = written(line_sets(df, text_col, host_col).dropDuplicates(["host", "content"]), "line-sets")
     often = _over_limit(once, least, share).select("host", "line")
     lines = once.select("host", "content", F.explode("lines").alias("line"))
-    held = lines.join(often, ["host", "line"]).groupBy(F.col("host").alias(HOST), F.col("content").alias(CONTENT)).agg(F.collect_list("line").alias(FREQUENT))
-    host, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (host_col, text_col))
-    return df.join(written(held, "often"), (host == F.col(HOST)) & (F.xxhash64(text) == F.col(CONTENT)), "left").drop(HOST, CONTENT)
+    own_host, own_content = _free(HOST, df), _free(CONTENT, df)
+    held = lines.join(often, ["host", "line"]).groupBy(F.col("host").alias(own_host), F.col("content").alias(own_content)).agg(F.collect_list("line").alias(_free(FREQUENT, df)))
+    host, text = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (host_col, text_col))
+    return df.join(written(held, "often"), (host == F.col(own_host)) & (F.xxhash64(text) == F.col(own_content)), "left").drop(own_host, own_content)
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, most_removed: float = MOST_REMOVED) -> DataFrame:

@@ -93,3 +93,11 @@ def test_rows_get_only_their_own_frequent_lines(spark):
 
 def test_empty_table(docs_of):
     assert quality.judge(docs_of(["a"]).limit(0)).count() == 0
+
+
+def test_columns_of_the_names_used_inside(spark):
+    text = "\n".join(" ".join(f"w{i}{c}" for c in "abcdefgh") for i in range(9))
+    rows = [(1, text, "s", 1, 2, "x", "y", "z", "w"), (2, None, None, 1, 2, "x", "y", "z", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, frequent_lines_host long, frequent_lines_of_text long, host string, content string, lines string, _host string")
+    got = quality.keep_good(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [rows[0]]
