@@ -9,9 +9,11 @@ kept to the band.
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +39,32 @@ def lower_each(text: str) -> str:
     return "".join(c if c in longer else x for c, x in zip(text, low))
 
 
+@cache
+def classes() -> np.ndarray:
+    """For each code point 1 if it is white space, 2 if it takes no room: format
+    characters such as the zero-width space and the soft hyphen."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        if chr(c).isspace():
+            out[c] = 1
+        elif unicodedata.category(chr(c)) == "Cf":
+            out[c] = 2
+    return out
+
+
 def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points in lower case with white space runs as one space, the row of
-    each, and its place in the row's own text."""
+    """Code points in lower case with runs of any white space as one space and
+    without those that take no room, the row of each, and its place in the row's own text."""
     low = [x if len(x := t.lower()) == len(t) else lower_each(t) for t in texts]
     points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) for t in texts], np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    space = (points == 32) | ((points >= 9) & (points <= 13)) | (points == 0xA0)
+    kind = classes()[points]
+    if (kind == 2).any():
+        seen = kind != 2
+        points, owner, place, kind = points[seen], owner[seen], place[seen], kind[seen]
+    space = kind == 1
     keep = np.ones(len(points), bool)
     keep[1:] = ~(space[1:] & space[:-1] & (owner[1:] == owner[:-1]))
     return np.where(space, 32, points).astype(np.uint32)[keep], owner[keep], place[keep]

@@ -127,3 +127,13 @@ def test_several_blocks_leave_nothing_in_the_driver(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} >= {(j, i) for j, (i, _) in enumerate(items)}
     assert "MapInArrow" not in got._jdf.queryExecution().toString()
     assert [r.doc_id for r in dc.drop_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), chars=200).collect()] == [12]
+
+
+def test_any_white_space_and_none_at_all(spark):
+    """Spaces of any kind are one, and marks that take no room are not there."""
+    item = "the quick brown fox jumps over the lazy dog beside a river bank"
+    spaces = ["\u2003", "\u3000", "\u202f", "\u2009\u2009", "\x85", "\u2028", "\t\n"]
+    texts = [f"before {item.replace(' ', c)} after" for c in spaces] + [item.replace("o", "o\u200b").replace("r", "r\u00ad"), item.replace(" ", "\u200b"), "nothing of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in dc.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == set(range(len(spaces) + 1))
