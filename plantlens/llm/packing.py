@@ -17,6 +17,8 @@ its line block by block, holding one block and the unfinished window.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plantlens.llm.bpe import printable_bytes
 from plantlens.llm.common import Scratch, id_and_text, keep_in_worker, map_batches, parts_by_size
@@ -37,7 +40,8 @@ STRIDE = 64
 #: Costs in tokens: of a sequence, and of a document cut at a sentence's end or inside a sentence.
 SEQUENCE_COST, SENTENCE_COST, INSIDE_COST = 8, 4, 64
 #: Words that a worker keeps in each of two generations.
-WORDS = 200_000
+WORDS = 400_000
+MARK_BEHIND_MARK = re.compile(r"(?:[^\w\s]|_)[.,!?;:][ \n]")
 _LINE = np.uint32(0xFFFFFFFF)
 
 
@@ -54,8 +58,11 @@ class WordIds(dict):
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        self.model = self.lib.model
         self.shown = {b: c for c, b in printable_bytes().items()}
         self.marks = {c: self._library(c) for c in ".,!?;:"}
+        self.digits = {c: self._library(c) for c in "0123456789"}
+        self.plain = False
         self.older: dict[str, bytes] = {}
         self.start()
         ends = [i for t, i in self.lib.get_vocab().items() if t.removesuffix("</w>")[-1:] in (".", "!", "?")]
@@ -72,12 +79,13 @@ class WordIds(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            word = piece.lower()
-            if word.isalpha() and max(word) < "ɐ":  # one word of the pattern: the library's model alone
-                shown = word.encode().decode("latin-1").translate(self.shown)
-                ids = np.array([t.id for t in self.lib.model.tokenize(shown)], "<u4").tobytes()
+            if (word := piece if self.plain else piece.lower()).isalpha() and (self.plain or max(word) < "ɐ"):  # one word of the pattern: the library's model alone
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+                ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             elif piece[-1] in self.marks and piece[:-1].isalpha():
-                return self[piece[:-1]] + self.marks[piece[-1]]
+                ids = self[piece[:-1]] + self.marks[piece[-1]]
+            elif piece.isascii() and piece.isdigit():  # each digit is a word
+                ids = b"".join([self.digits[c] for c in piece])
             else:
                 ids = self._library(piece)
         if len(self) >= WORDS:
@@ -86,21 +94,41 @@ class WordIds(dict):
         self[piece] = ids
         return ids
 
+    def _prepared(self, text: str) -> str:
+        """The text with all that does not count for its ids made alike. ``plain``
+        tells that it is in lower case and within Latin-1, where case hangs on no neighbour
+        and nothing is composed. A mark behind a letter or digit is a word of its own, so it
+        may stand apart; behind another mark it may not, and special tokens keep their case."""
+        self.plain = False
+        if "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        self.plain, text = True, text.lower()
+        if not MARK_BEHIND_MARK.search(text):
+            for m in self.marks:
+                if m in text:
+                    text = text.replace(f"{m} ", f" {m} ").replace(f"{m}\n", f" {m}\n")
+        return text
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a text, and the places among them where sentences and
         lines end."""
-        found = [self[p] for p in text.replace("\n", " \n ").split(" ")]
+        found = list(map(self.__getitem__, self._prepared(text).replace("\n", " \n ").split(" ")))
         ids = np.frombuffer(b"".join(found), "<u4")
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) >> 2
-        ends = ends[ends > 0]
-        line = ids == _LINE
+        ends = ends[np.searchsorted(ends, 1) :]
         last = ids[ends - 1]
-        stops = ends[(last == _LINE) | self.ends[np.minimum(last, len(self.ends) - 1)]]
+        line = last == _LINE
+        stops = ends[line | self.ends[np.minimum(last, len(self.ends) - 1)]]
         if line.any():
-            stops = stops - np.cumsum(line)[stops - 1]
-            ids = ids[~line]
-        stops = np.unique(stops)
-        return ids, stops[(stops > 0) & (stops < len(ids))]
+            gone = ids == _LINE
+            stops = stops - np.cumsum(gone)[stops - 1]
+            ids = ids[~gone]
+        stops = stops[(stops > 0) & (stops < len(ids))]
+        return ids, stops[np.append(True, stops[1:] != stops[:-1])] if len(stops) else stops
 
 
 def least_cost_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW, sequence_cost: int = SEQUENCE_COST) -> np.ndarray:
@@ -119,17 +147,21 @@ def least_cost_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW, s
     order = np.argsort(to, kind="stable")
     source, first = source[order].tolist(), np.searchsorted(to[order], np.arange(n + 1)).tolist()
     cost, back = [0] * n, [0] * n
-    queue: deque[tuple[int, int]] = deque()  # (f + p, place), f + p ascending
+    sums, from_ = deque(), deque()  # of the queue's places: f + p, ascending, and the place
+    last = 0
     for j in range(1, n):
         g = cost[j - 1] + p[j - 1]
-        while queue and queue[-1][0] > g:
-            queue.pop()
-        queue.append((g, j - 1))
+        while sums and sums[-1] > g:
+            sums.pop(), from_.pop()
+        sums.append(g), from_.append(j - 1)
         oldest = p[j] - window
-        while p[queue[0][1]] < oldest:
-            queue.popleft()
-        best, at_best = queue[0][0] - oldest, queue[0][1]
-        for i in source[first[j] : first[j + 1]]:
+        while p[from_[0]] < oldest:
+            sums.popleft(), from_.popleft()
+        best, at_best = sums[0] - oldest, from_[0]
+        upto = first[j + 1]
+        while last < upto:
+            i = source[last]
+            last += 1
             if cost[i] < best:
                 best, at_best = cost[i], i
         cost[j] = best + sequence_cost + pen[j]
@@ -154,24 +186,21 @@ class Piece:
 def places(held: list[Piece], final: bool, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the line of the held pieces may be cut, and the penalty there. The
     last window of the whole line may be cut anywhere."""
-    where, pen, base = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 0
-    for x in held:
-        n = len(x.ids)
-        inner = np.concatenate([[0], x.stops, [n]])
-        long = np.flatnonzero(np.diff(inner) > STRIDE)
-        inside = [np.arange(a + STRIDE, b, STRIDE) for a, b in zip(inner[long].tolist(), inner[long + 1].tolist())]
-        own = np.concatenate([*inside, x.stops, [n]])
-        fee = np.full(len(own), SENTENCE_COST)
-        fee[: len(own) - len(x.stops) - 1] = INSIDE_COST
-        fee[-1] = 0
-        order = np.argsort(own, kind="stable")
-        where.append(own[order] + base)
-        pen.append(fee[order])
-        base += n
-    at, fee = np.concatenate(where), np.concatenate(pen)
+    size = np.array([len(x.ids) for x in held], np.int64)
+    ends = np.cumsum(size)
+    stops = np.concatenate([x.stops for x in held]) + np.repeat(ends - size, [len(x.stops) for x in held])
+    at = np.concatenate([np.zeros(1, np.int64), stops, ends])
+    fee = np.zeros(len(at), np.int64)
+    fee[1 : len(stops) + 1] = SENTENCE_COST
+    order = np.argsort(at, kind="stable")
+    at, fee = at[order], fee[order]
+    long = np.flatnonzero(np.diff(at) > STRIDE)
+    inside = [np.arange(a + STRIDE, b, STRIDE) for a, b in zip(at[long].tolist(), at[long + 1].tolist())]
     if final:
-        rest = np.setdiff1d(np.arange(max(1, base - window), base), at)
-        at, fee = np.concatenate([at, rest]), np.concatenate([fee, np.full(len(rest), INSIDE_COST)])
+        inside.append(np.arange(max(1, ends[-1] - window), ends[-1]))
+    more = np.setdiff1d(np.concatenate(inside), at) if inside else np.zeros(0, np.int64)
+    if len(more):
+        at, fee = np.concatenate([at, more]), np.concatenate([fee, np.full(len(more), INSIDE_COST)])
         order = np.argsort(at, kind="stable")
         at, fee = at[order], fee[order]
     return at, fee
@@ -239,7 +268,7 @@ def pack_documents(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
 
     Documents are encoded whole and end with ``end_id``; a null or empty text has
     that id alone. Every id lies in one piece. Documents follow each other by
-    doc_id, those without one first, ties by their ids; repeated rows are packed each.
+    doc_id, those without one first, ties by a hash of their ids; repeated rows are packed each.
     sequence_ids are unique and ascend with the documents; between parts they
     leave gaps. An empty table gives no rows. Other columns are not read.
     ``window`` is a power of two."""
@@ -267,5 +296,5 @@ def pack_documents(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
         yield from packer.rows(True)
 
     coded = Scratch(map_batches(docs, encode, "doc_id long, ids binary, stops binary"), "coded").df
-    lines = coded.repartitionByRange(parts, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    lines = coded.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     return map_batches(lines, pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
