@@ -41,7 +41,9 @@ STRIDE = 64
 SEQUENCE_COST, SENTENCE_COST, INSIDE_COST = 8, 4, 64
 #: Words that a worker keeps in each of two generations.
 WORDS = 400_000
-MARK_BEHIND_MARK = re.compile(r"(?:[^\w\s]|_)[.,!?;:][ \n]")
+MARK_BEHIND_MARK = re.compile(r"[.,!?;:](?=[ \n])(?<=[^\w\s].|_.)")
+#: An apostrophe may begin a word of letters, so it is no such symbol.
+LETTERS_THEN_SYMBOLS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 _LINE = np.uint32(0xFFFFFFFF)
 
 
@@ -82,6 +84,8 @@ class WordIds(dict):
             if (word := piece if self.plain else piece.lower()).isalpha() and (self.plain or max(word) < "ɐ"):  # one word of the pattern: the library's model alone
                 shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
                 ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            elif (behind := LETTERS_THEN_SYMBOLS.fullmatch(word)) and self.plain:  # two words
+                ids = self[behind[1]] + self[behind[2]]
             elif piece[-1] in self.marks and piece[:-1].isalpha():
                 ids = self[piece[:-1]] + self.marks[piece[-1]]
             elif piece.isascii() and piece.isdigit():  # each digit is a word
