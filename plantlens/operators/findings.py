@@ -126,6 +126,23 @@ def ranked_peers(found: DataFrame, fractions: DataFrame) -> DataFrame:
     return both.withColumn("place", F.row_number().over(order))
 
 
+def scoped_findings(shared: DataFrame, ranked: DataFrame, scope: DataFrame) -> DataFrame:
+    """One row a finding on a station, with all that is needed to act on it: the asset
+    that carries the fault (``shared``, as asset_peers), ``peers``, the other stations on
+    the same check (place, station_id, state, fraction, exposed) with the worst first,
+    ``next_up``, the first of them that is not OK, and the window and units of ``scope``.
+    A peer is exposed if it shares the asset. Findings on a check that nobody
+    trends have no peers; those without a window have nulls there."""
+    key = ["finding_id", "station_id", "check_name"]
+    with_asset = ranked.join(shared.select(*key, F.split("peer_stations", ";").alias("_shared")), key)
+    exposed = F.coalesce(F.array_contains("_shared", F.col("peer")), F.lit(False))
+    peer = F.struct("place", F.col("peer").alias("station_id"), "state", "fraction", exposed.alias("exposed"))
+    nested = with_asset.groupBy(*key).agg(F.array_sort(F.collect_list(peer)).alias("peers"))  # a plant's stations at the most
+    out = shared.join(nested, key, "left").join(scope, "station_id", "left")
+    none = F.array().cast("array<struct<place:int,station_id:string,state:string,fraction:double,exposed:boolean>>")
+    return out.withColumn("peers", F.coalesce("peers", none)).withColumn("next_up", F.get(F.filter("peers", lambda x: x["state"] != "OK"), F.lit(0)))
+
+
 def containment(cond: DataFrame, selftest: DataFrame) -> DataFrame:
     """Units made since a station's first day below, of its first declared mode
     that is not OK."""

@@ -276,6 +276,7 @@ ORACLE_SQL["range_volume"] = _VOLUME.format("SELECT i.o_custkey, o.o_orderkey AS
 
 _CHECK = "CASE WHEN cause LIKE '%tooling/eoat%' THEN 'eoat' WHEN cause LIKE '%tooling/fixture%' THEN 'fixture' WHEN cause LIKE '%imaging%' THEN 'imaging' ELSE 'measurement' END"
 _SCOPE = _Q["containment_units"]
+_RANKED = "SELECT finding_id, cf.station_id, cf.check_name, row_number() OVER (PARTITION BY finding_id, cf.station_id, cf.check_name ORDER BY CASE state WHEN 'BREACHED' THEN 0 WHEN 'APPROACHING' THEN 1 ELSE 2 END, fraction DESC, f.station_id) AS place, f.station_id AS peer, state, fraction FROM cf JOIN frac f ON f.check_name = cf.check_name AND f.station_id <> cf.station_id"
 _SERIES = ["datamatrix_grade", "ref_repeatability_mm", "locator_wear_mm", "gripper_pad_wear_mm", "tcp_offset_mm"]
 ORACLE_SQL |= {
     k: (HEAD.rstrip() + f",\narrivals AS ({_LATE})\n" if k == "stream_late_rows" else HEAD) + v
@@ -289,7 +290,15 @@ ORACLE_SQL |= {
         "effective_coverage": "SELECT count(*) AS declared_pairs, count(*) FILTER (WHERE condition <> 'ALERT') AS effective_pairs, round((count(*) FILTER (WHERE condition <> 'ALERT'))::DOUBLE / count(*), 4) AS effective_rate, coalesce(string_agg(DISTINCT CASE WHEN condition = 'ALERT' THEN mode END, ',' ORDER BY CASE WHEN condition = 'ALERT' THEN mode END), '') AS modes_losing, coalesce(string_agg(DISTINCT CASE WHEN condition = 'ALERT' THEN station_id END, ',' ORDER BY CASE WHEN condition = 'ALERT' THEN station_id END), '') AS stations_losing FROM cond",
         "fleet_series": " UNION ALL ".join(f"SELECT station_id, production_day, imaging_ok, measurement_ok, fixture_ok AND eoat_ok AS tooling_ok, '{c}' AS measure, round({c}, 5) AS value FROM judged" for c in _SERIES),
         "f_coverage_lost_card": f"SELECT l.station_id, modes_lost, longest_run, first_day_below, {_CHECK} AS check_name, owner, escalate_days, {r('fpy_overall')}, violations, {r('cpk_recent')}, status FROM lost l LEFT JOIN dim_reaction d ON d.check_name = {_CHECK} LEFT JOIN scored s ON s.station_id = l.station_id",
-        "finding_peers": "SELECT finding_id, cf.station_id, cf.check_name, row_number() OVER (PARTITION BY finding_id, cf.station_id, cf.check_name ORDER BY CASE state WHEN 'BREACHED' THEN 0 WHEN 'APPROACHING' THEN 1 ELSE 2 END, fraction DESC, f.station_id) AS place, f.station_id AS peer, state, fraction FROM cf JOIN frac f ON f.check_name = cf.check_name AND f.station_id <> cf.station_id",
+        "finding_peers": _RANKED,
+        "look_across_rows": f"""SELECT a.finding_id, a.station_id, a.mode, a.check_name, a.kind, a.asset_id, a.n_peers, coalesce(ranked, '') AS ranked, coalesce(exposed, '') AS exposed,
+  next_station, next_state, next_fraction, from_day, to_day, units
+FROM peers a LEFT JOIN (SELECT k.finding_id, k.station_id, k.check_name, string_agg(k.peer || ':' || k.state, ' ' ORDER BY k.place) AS ranked,
+    string_agg(k.peer, ' ' ORDER BY k.place) FILTER (WHERE list_contains(string_split(s.peer_stations, ';'), k.peer)) AS exposed,
+    min_by(k.peer, k.place) FILTER (WHERE k.state <> 'OK') AS next_station, min_by(k.state, k.place) FILTER (WHERE k.state <> 'OK') AS next_state, min_by(k.fraction, k.place) FILTER (WHERE k.state <> 'OK') AS next_fraction
+  FROM ({_RANKED}) k JOIN peers s ON s.finding_id = k.finding_id AND s.station_id = k.station_id AND s.check_name = k.check_name GROUP BY k.finding_id, k.station_id, k.check_name) g
+  ON g.finding_id = a.finding_id AND g.station_id = a.station_id AND g.check_name = a.check_name
+LEFT JOIN ({_SCOPE}) c ON c.station_id = a.station_id""",
         "look_across_scope": f"SELECT e.finding_id, e.station_id, e.mode, verdict, n_affected, from_day, to_day, units FROM extent e LEFT JOIN ({_SCOPE}) c ON c.station_id = e.station_id WHERE e.station_id <> '-'",
         "stream_phase2": _Q["phase2_score"],
     }.items()

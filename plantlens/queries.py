@@ -787,6 +787,19 @@ def look_across_scope(p):
     return p.extent.filter("station_id <> '-'").select("finding_id", "station_id", "mode", "verdict", "n_affected").join(scope, "station_id", "left")
 
 
+@query
+def look_across_rows(p):
+    """Findings on stations, one row each: what carries them, their peers in order, who is next, and what to contain."""
+    shared = findings.asset_peers(p.cond_findings, p.dim("dim_asset"), p.dim("dim_propagation"))
+    rows = findings.scoped_findings(shared, findings.ranked_peers(p.cond_findings, p.fractions), findings.containment(p.cond, p.selftest_mart))
+    ranked = F.array_join(F.transform("peers", lambda x: F.concat_ws(":", x["station_id"], x["state"])), " ")
+    exposed = F.array_join(F.transform(F.filter("peers", lambda x: x["exposed"]), lambda x: x["station_id"]), " ")
+    return rows.select(
+        "finding_id", "station_id", "mode", "check_name", "kind", "asset_id", "n_peers", ranked.alias("ranked"), exposed.alias("exposed"),
+        F.col("next_up.station_id").alias("next_station"), F.col("next_up.state").alias("next_state"), F.col("next_up.fraction").alias("next_fraction"), "from_day", "to_day", "units",
+    )
+
+
 @query
 def containment_units(p):
     return findings.containment(p.cond, p.selftest_mart)

@@ -185,3 +185,17 @@ def test_integrity_scans_each_extract_once(spark, sf_dir, monkeypatch):
     df = queries.QUERIES["integrity_report"](spark, sf_dir)
     assert sorted(asked) == ["erp_work_orders", "inspections", "mes_shift_log", "qms_ncr"]
     assert "events.parquet" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scoped_findings_nest_their_peers(spark):
+    """Peers go by severity, then nearness to the limit, then name; sharing the asset is told apart from being near."""
+    shared = spark.createDataFrame(
+        [("F", "S1", "-", "fixture", "cell", "C1", "S3;S4", 2), ("F", "S2", "-", "other", "cell", "C2", "", 0)],
+        "finding_id string, station_id string, mode string, check_name string, kind string, asset_id string, peer_stations string, n_peers long",
+    )
+    fractions = spark.createDataFrame([("S1", "fixture", 2.0, "BREACHED"), ("S2", "fixture", 0.7, "APPROACHING"), ("S3", "fixture", 0.1, "OK"), ("S4", "fixture", 0.7, "APPROACHING")], "station_id string, check_name string, fraction double, state string")
+    scope = spark.createDataFrame([("S1", "2025-05-01", "2025-05-09", 40)], "station_id string, from_day string, to_day string, units long")
+    rows = {r.station_id: r for r in findings.scoped_findings(shared, findings.ranked_peers(shared, fractions), scope).collect()}
+    assert [tuple(x) for x in rows["S1"].peers] == [(1, "S2", "APPROACHING", 0.7, False), (2, "S4", "APPROACHING", 0.7, True), (3, "S3", "OK", 0.1, True)]
+    assert rows["S1"].next_up.station_id == "S2" and rows["S1"].units == 40
+    assert rows["S2"].peers == [] and rows["S2"].next_up is None and rows["S2"].units is None
