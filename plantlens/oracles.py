@@ -267,6 +267,7 @@ _Q = {
     "stream_daily_fpy": "SELECT station_id, CAST(CAST(d AS TIMESTAMP) AS VARCHAR) AS start, count(*) AS n, sum(b)::BIGINT AS fails, round(1 - sum(b)::DOUBLE / count(*), 6) AS fpy FROM (SELECT *, CAST(ts AS DATE) AS d, (vision_result = 'FAIL')::INT AS b FROM inspections WHERE inspection_pass = 1) GROUP BY station_id, d",
     "stream_shift_fpy": "SELECT station_id, CAST(t AS VARCHAR) AS start, count(*) AS n, sum(b)::BIGINT AS fails, round(1 - sum(b)::DOUBLE / count(*), 6) AS fpy FROM (SELECT *, time_bucket(INTERVAL 8 HOURS, ts, TIMESTAMP '2024-01-01 06:00:00') AS t, (vision_result = 'FAIL')::INT AS b FROM inspections WHERE inspection_pass = 1) GROUP BY station_id, t",
     "stream_frozen_gauge": "SELECT event_id, station_id, coalesce(v = lag(v, 1) OVER w AND v = lag(v, 2) OVER w, false) AS held FROM (SELECT *, round(feature_dim_mm, 1) AS v FROM fp) WINDOW w AS (PARTITION BY station_id ORDER BY ts, event_id)",
+    "stream_held_in_order": "SELECT event_id, station_id, held FROM (SELECT *, coalesce(v = lag(v, 1) OVER w AND v = lag(v, 2) OVER w, false) AS held, date_trunc('milliseconds', max(ts) OVER ()) - INTERVAL 3 DAY AS mark FROM (SELECT *, round(feature_dim_mm, 1) AS v FROM fp) WINDOW w AS (PARTITION BY station_id ORDER BY ts, event_id)) WHERE CAST(ts AS DATE) + INTERVAL 1 DAY < mark",
 }
 ORACLE_SQL = {k: HEAD + v for k, v in _Q.items()}
 ORACLE_SQL["coverage_kpis"] = HEAD.rstrip() + ",\ng AS (SELECT mode, bool_or(detections > 0) AS o, bool_or(declared) AS dd, bool_or(specified) AS sp FROM cov GROUP BY mode)\n" + _Q["coverage_kpis"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,7 +13,7 @@ from plantlens.functions import scalar
 from plantlens.operators import condition, coverage, findings, integrate, quality, spc
 from plantlens.plans.marts import Plant
 from plantlens.sources import tables
-from plantlens.streaming import stream
+from plantlens.streaming import keyed, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -835,13 +835,13 @@ def _updated(p: Plant, result: DataFrame) -> DataFrame:
 DELAY = "3 days"
 
 
-def _deliveries(p: Plant, rows: DataFrame, late_every: int = 0, parts: int = 6) -> list[DataFrame]:
+def _deliveries(p: Plant, rows: DataFrame, late_every: int = 0, parts: int = 6, days_late: Column | None = None) -> list[DataFrame]:
     """The rows in the order in which files of them arrive: by equal spans of days.
-    Of ``late_every`` ids one comes two deliveries late."""
+    Of ``late_every`` ids one comes two deliveries late; a row may be ``days_late``."""
     span = rows.agg(F.min(F.to_date("ts")).alias("_from"), F.max(F.to_date("ts")).alias("_to"))
     width = F.ceil((F.datediff("_to", "_from") + 1) / parts)
     late = F.when(F.right("event_id", F.lit(2)).cast("int") % late_every == 0, 2).otherwise(0) if late_every else F.lit(0)
-    placed = rows.join(F.broadcast(span), F.lit(True)).withColumn("_part", F.floor(F.datediff("ts", "_from") / width) + late)  # one row
+    placed = rows.join(F.broadcast(span), F.lit(True)).withColumn("_part", F.floor((F.datediff("ts", "_from") + (F.lit(0) if days_late is None else days_late)) / width) + late)  # one row
     path = tables.scratch_path(p.spark, "deliveries")
     placed.drop("_from", "_to").write.partitionBy("_part").parquet(path)
     return [tables.optional_source(p.spark, f"{path}/_part={i}", tables.EVENT_SCHEMA) for i in range(parts + 2)]
@@ -899,3 +899,13 @@ def stream_frozen_gauge(p):
     path = tables.scratch_path(p.spark, "gauge")
     p.looks.withColumn("feature_dim_mm", F.round("feature_dim_mm", 1)).write.parquet(path)
     return stream.run_held_readings(stream.read_stream(p.spark, path, tables.EVENT_SCHEMA), tables.scratch_path(p.spark, "gauge-rows"))
+
+
+@query
+def stream_held_in_order(p):
+    """The same by keyed state, where rows come up to two days late, so that neighbours
+    arrive in different triggers; what lies within the delay is not judged yet."""
+    rows = p.looks.withColumn("feature_dim_mm", F.round("feature_dim_mm", 1))
+    path = tables.scratch_path(p.spark, "held-rows")
+    arrive = _deliveries(p, rows, parts=3, days_late=F.pmod(F.xxhash64("event_id"), F.lit(3)))
+    return _over_deliveries(p, arrive, lambda feed: keyed.run_held_in_order(feed, path, DELAY, 86_400))

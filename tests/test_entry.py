@@ -14,7 +14,7 @@ from plantlens.oracles import ORACLE_SQL
 from plantlens.queries import QUERIES
 
 ROOT = Path(__file__).resolve().parents[1]
-TWINS = ["rolling_fpy", "pchart_limits", "station_scorecard", "triage_pattern", "dq_by_rule", "asof_bounded", "interval_join", "derived_key_join", "wo_progress", "integrity_report", "coverage_kpis", "cost_sensitivity", "station_condition", "condition_sensitivity", "wear_trend", "report_foldback", "asof_volume", "range_volume", "stream_dedupe", "stream_shift_fpy", "stream_frozen_gauge", "scan_tolerant"]
+TWINS = ["rolling_fpy", "pchart_limits", "station_scorecard", "triage_pattern", "dq_by_rule", "asof_bounded", "interval_join", "derived_key_join", "wo_progress", "integrity_report", "coverage_kpis", "cost_sensitivity", "station_condition", "condition_sensitivity", "wear_trend", "report_foldback", "asof_volume", "range_volume", "stream_dedupe", "stream_shift_fpy", "stream_frozen_gauge", "stream_held_in_order", "scan_tolerant"]
 
 
 @pytest.fixture(scope="module")
