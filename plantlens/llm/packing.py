@@ -44,13 +44,16 @@ WORDS = 400_000
 MARK_BEHIND_MARK = re.compile(r"[.,!?;:](?=[ \n])(?<=[^\w\s].|_.)")
 #: An apostrophe may begin a word of letters, so it is no such symbol.
 LETTERS_THEN_SYMBOLS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: Set in the last id of a piece that ends a sentence, and in the mark of a line's end.
+_STOP = np.uint32(1 << 31)
 _LINE = np.uint32(0xFFFFFFFF)
 
 
 class WordIds(dict):
     """Ids of what stands between spaces, as little-endian unsigned 32-bit
     integers. No word of the tokenizer's pattern reaches over white space, so
-    the library sees each of them about once. A line's end is one mark."""
+    the library sees each of them about once. A line's end is one mark. Where a
+    piece ends a sentence, its last id carries _STOP."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,8 +71,7 @@ class WordIds(dict):
         self.older: dict[str, bytes] = {}
         self.start()
         ends = [i for t, i in self.lib.get_vocab().items() if t.removesuffix("</w>")[-1:] in (".", "!", "?")]
-        self.ends = np.zeros(self.lib.get_vocab_size() + 1, bool)
-        self.ends[ends] = True
+        self.stopping = {np.uint32(i).tobytes(): (np.uint32(i) | _STOP).tobytes() for i in ends}
 
     def start(self) -> None:
         self.clear()
@@ -92,6 +94,8 @@ class WordIds(dict):
                 ids = b"".join([self.digits[c] for c in piece])
             else:
                 ids = self._library(piece)
+            if (last := self.stopping.get(ids[-4:])) is not None:
+                ids = ids[:-4] + last
         if len(self) >= WORDS:
             self.older = dict(self)
             self.start()
@@ -120,17 +124,13 @@ class WordIds(dict):
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a text, and the places among them where sentences and
         lines end."""
-        found = list(map(self.__getitem__, self._prepared(text).replace("\n", " \n ").split(" ")))
-        ids = np.frombuffer(b"".join(found), "<u4")
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) >> 2
-        ends = ends[np.searchsorted(ends, 1) :]
-        last = ids[ends - 1]
-        line = last == _LINE
-        stops = ends[line | self.ends[np.minimum(last, len(self.ends) - 1)]]
+        ids = np.frombuffer(b"".join(map(self.__getitem__, self._prepared(text).replace("\n", " \n ").split(" "))), "<u4")
+        stops = np.flatnonzero(ids & _STOP) + 1
+        line = ids == _LINE
         if line.any():
-            gone = ids == _LINE
-            stops = stops - np.cumsum(gone)[stops - 1]
-            ids = ids[~gone]
+            stops -= np.cumsum(line)[stops - 1]
+            ids = ids[~line]
+        ids = ids & ~_STOP
         stops = stops[(stops > 0) & (stops < len(ids))]
         return ids, stops[np.append(True, stops[1:] != stops[:-1])] if len(stops) else stops
 
