@@ -68,6 +68,23 @@ TEMPLATES = {
     "cc0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
 }
 
+#: Headings of whole licences, and the names of licences in SPDX tags, as words.
+HEADINGS = {
+    "apache-2": ["apache license version 2 0 january 2004"],
+    "gpl-2": ["gnu general public license version 2 june 1991"],
+    "gpl-3": ["gnu general public license version 3 29 june 2007"],
+    "lgpl-2": ["gnu lesser general public license version 2 1 february 1999"],
+    "lgpl-3": ["gnu lesser general public license version 3 29 june 2007"],
+    "agpl-3": ["gnu affero general public license version 3 19 november 2007"],
+    "mpl-2": ["mozilla public license version 2 0"],
+}
+SPDX = {
+    "mit": "mit", "isc": "isc", "apache 2 0": "apache-2", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd-3", "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "lgpl 2 1": "lgpl-2", "lgpl 3 0": "lgpl-3",
+    "agpl 3 0": "agpl-3", "mpl 2 0": "mpl-2", "unlicense": "unlicense", "cc0 1 0": "cc0", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc", "cc by nd 4 0": "cc-by-nd",
+}
+for _label, _more in [*HEADINGS.items(), *((label, [f"spdx license identifier {name}"]) for name, label in SPDX.items())]:
+    TEMPLATES[_label] = [*TEMPLATES.get(_label, []), *_more]
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LEAST_MATCH, MOST_GAP, LEAST_SHARE = 4, 12, 0.8
 

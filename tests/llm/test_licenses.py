@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -133,3 +134,26 @@ def test_documents(spark, sf_dir):
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in lic.scan_licenses(docs).collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base(text[r.doc_id])
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("// SPDX-License-Identifier: MIT", "mit"),
+        ("# SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3"),
+        ("/* SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note */", "gpl-2"),
+        ("SPDX-License-Identifier: CC-BY-NC-4.0", "cc-by-nc"),
+        ("SPDX-License-Identifier: CC-BY-4.0", "cc-by"),
+        ("SPDX-License-Identifier: BSD-2-Clause", "bsd"),
+        ("SPDX-License-Identifier: of another kind", ""),
+        ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007", "gpl-3"),
+        ("GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007", "lgpl-3"),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\n Version 3, 19 November 2007", "agpl-3"),
+        ("GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991", "gpl-2"),
+        ("the gnu general public license of june 2007", ""),
+    ],
+)
+def test_headings_and_identifiers(text, labels):
+    found = lic.Scanner().scan(text.encode())
+    assert found[5] == labels
+    assert (len(found[7]) == 1) == bool(labels)
