@@ -903,7 +903,7 @@ def stream_frozen_gauge(p):
 
 @query
 def stream_held_in_order(p):
-    """The same by keyed state, where rows come up to two days late, so that neighbours
+    """The same in order of event time, where rows come up to two days late, so that neighbours
     arrive in different triggers; what lies within the delay is not judged yet."""
     rows = p.looks.withColumn("feature_dim_mm", F.round("feature_dim_mm", 1))
     path = tables.scratch_path(p.spark, "held-rows")

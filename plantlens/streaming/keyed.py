@@ -1,10 +1,16 @@
-"""Held readings of a feed in order of event time, by keyed state and timers.
-
-Two stateful steps in one query. The first keeps the readings of a station and
-bucket of time until the watermark has passed the bucket's end, then puts them in
-order and judges them; its state is what the delay and a bucket hold, whatever a
-station's history is. The second sees, of each bucket, the first and last two
-readings of a station and settles the first two by what the buckets before left.
+"""Held readings of a feed in order of event time, in whatever order rows arrive.
+
+``run_held_in_order`` keeps the readings of a station and bucket of time as the state
+of a windowed aggregate until the watermark has passed the bucket's end. Then the
+trigger judges them with ``stream.held_readings``, which carries each station's last
+two readings on. Nothing of it runs in Python, and state is what the delay and a
+bucket hold.
+
+``held_in_order`` gives the same rows as a stream, by keyed state and timers. Each row
+passes twice through Python one by one, so it is for feeds of few rows. Its first step
+keeps a station and bucket until a timer fires behind the watermark, then puts the
+readings in order and judges them. The second sees, of each bucket, the first and last
+two readings of a station and settles the first two by what the buckets before left.
 All other rows pass through it in lanes, so no station's rows meet in one task.
 """
 
@@ -17,13 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from plantlens.streaming.stream import run_appended
+from plantlens.sources import tables
+from plantlens.streaming import stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 READING = "event_id string, ts timestamp, v double"
 JUDGED = "event_id string, station_id string, bucket long, n long, edge boolean, v double, held boolean"
 HELD = "event_id string, station_id string, held boolean"
 LANES = 64
+#: Lists of readings that a station's bucket is kept in, each of an equal span of time.
+SLICES = 96
 #: Bucket of rows without ts. Keys that are numbers may not be null: beside a null, Arrow
 #: hands the others of a batch to Python as floating-point numbers, which are other keys.
 NO_TIME = -(1 << 40)
@@ -110,7 +119,7 @@ def held_in_order(feed: DataFrame, delay: str = "1 day", bucket_s: int = 3600) -
     its bucket of ``bucket_s`` seconds; until then it is state. Rows behind the watermark
     are dropped, as the query's progress counts. Null readings and NaN are held by
     nothing and break a run; rows without ts are never held; rows without a station are a
-    station of their own; repeated rows count each. To be run with RocksDB (run_held_in_order).
+    station of their own; repeated rows count each. To be run with RocksDB.
     """
     feed = feed.withWatermark("ts", delay).select("event_id", "station_id", "ts", F.col("feature_dim_mm").cast("double").alias("v"))
     keyed = feed.withColumn("bucket", F.coalesce(F.floor(F.unix_micros("ts") / F.lit(1_000_000 * bucket_s)), F.lit(NO_TIME)))
@@ -119,13 +128,43 @@ def held_in_order(feed: DataFrame, delay: str = "1 day", bucket_s: int = 3600) -
     return judged.withColumn("lane", lane.cast("int")).groupBy("station_id", "lane").transformWithStateInPandas(EdgesOfStations(), HELD, "append", "None")
 
 
+def released(feed: DataFrame, delay: str, bucket_s: int) -> DataFrame:
+    """The readings of a feed when the watermark (the greatest ts less ``delay``) is past
+    the end of their bucket of ``bucket_s`` seconds; until then they are state, in SLICES
+    lists a station and bucket. Rows without ts come at once."""
+    row = ["event_id", "station_id", "ts", F.col("feature_dim_mm").cast("double").alias("feature_dim_mm")]
+    slice_us = F.lit(max(1, 1_000_000 * bucket_s // SLICES))
+    known = feed.filter("ts is not null").select(*row).withWatermark("ts", delay)
+    lists = known.groupBy("station_id", F.window("ts", f"{bucket_s} seconds"), F.floor(F.unix_micros("ts") / slice_us)).agg(F.collect_list(F.struct("event_id", "ts", "feature_dim_mm")).alias("rows"))
+    ended = lists.select("station_id", F.explode("rows").alias("r")).select("r.event_id", "station_id", "r.ts", "r.feature_dim_mm")
+    return ended.union(feed.filter("ts is null").select(*row))
+
+
 def run_held_in_order(feed: DataFrame, path: str, delay: str = "1 day", bucket_s: int = 3600, name: str | None = None) -> DataFrame:
-    """Runs held_in_order on a feed to its present end and reads all rows that it has
-    judged so far. What lies within the delay stays state for the next run."""
-    conf, key = feed.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(key)
+    """Runs a feed to its present end and reads all rows that it has judged so far: the rows
+    of held_in_order, with the same meaning. What lies within the delay stays state for the
+    next run. Rows of a bucket that has been judged are dropped; the query's progress counts
+    those of one station and slice that come in one task as one, and input rows twice, as
+    those without ts go by a branch of their own. Every trigger writes its
+    rows and the stations' last readings under its number, so one that is run again
+    replaces what it wrote."""
+    spark = feed.sparkSession
+    schema = feed.select("event_id", "station_id", "ts", F.col("feature_dim_mm").cast("double")).schema
+
+    def trigger(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/released")  # state may be read once
+        new = spark.read.schema(schema).parquet(f"{path}/released")
+        before = spark.read.schema(stream.LAST).parquet(f"{path}/last/{number - 1}") if number else spark.createDataFrame([], stream.LAST)
+        held, after = stream.held_readings(new.filter("ts is not null"), before)
+        untimed = new.filter("ts is null").select("event_id", "station_id", F.lit(False).alias("held"))
+        held.union(untimed).write.mode("overwrite").parquet(f"{path}/rows/trigger={number}")
+        after.write.mode("overwrite").parquet(f"{path}/last/{number}")
+
+    conf, key = spark.conf, "spark.sql.streaming.stateStore.providerClass"
+    before_run = conf.get(key)
     conf.set(key, ROCKSDB)
     try:
-        return run_appended(held_in_order(feed, delay, bucket_s), path, name)
+        stream.to_end(released(feed, delay, bucket_s).writeStream.foreachBatch(trigger).outputMode("append"), f"{path}/state", name)
     finally:
-        conf.set(key, before)
+        conf.set(key, before_run)
+    return tables.optional_source(spark, f"{path}/rows", HELD).drop("trigger")

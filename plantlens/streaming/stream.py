@@ -70,7 +70,7 @@ def run_phase2(feed: DataFrame, limits_root: str, path: str, policy: P.Policy =
         judged = spc.phase2_score(new, limits, policy["sigma"]).filter(F.col("d") > F.col("frozen_through"))
         judged.drop("frozen_through").write.mode("overwrite").parquet(f"{path}/rows/trigger={number}")
 
-    _to_end(days.writeStream.foreachBatch(trigger).outputMode("update"), f"{path}/state")
+    to_end(days.writeStream.foreachBatch(trigger).outputMode("update"), f"{path}/state")
     schema = "station_id string, d date, n long, fails long, defect_rate double, pbar double, ucl double, lcl double, out_of_control boolean, trigger long"
     return _last_rows(tables.optional_source(spark, f"{path}/rows", schema), ["station_id", "d"])
 
@@ -114,11 +114,11 @@ def run_held_readings(feed: DataFrame, path: str) -> DataFrame:
         held.write.mode("overwrite").parquet(f"{path}/rows/trigger={number}")
         after.write.mode("overwrite").parquet(f"{path}/last/{number}")
 
-    _to_end(feed.writeStream.foreachBatch(trigger), f"{path}/state")
+    to_end(feed.writeStream.foreachBatch(trigger), f"{path}/state")
     return tables.optional_source(spark, f"{path}/rows", "event_id string, station_id string, held boolean").drop("trigger")
 
 
-def _to_end(writer: DataStreamWriter, state: str, name: str | None = None) -> None:
+def to_end(writer: DataStreamWriter, state: str, name: str | None = None) -> None:
     query = (writer.queryName(name) if name else writer).option("checkpointLocation", state).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
@@ -131,7 +131,7 @@ def _to_end(writer: DataStreamWriter, state: str, name: str | None = None) -> No
 def run_appended(result: DataFrame, path: str, name: str | None = None) -> DataFrame:
     """Runs a feed to its present end and reads the rows that it appended, from
     Parquet files beside the state."""
-    _to_end(result.writeStream.format("parquet").option("path", f"{path}/rows").outputMode("append"), f"{path}/state", name)
+    to_end(result.writeStream.format("parquet").option("path", f"{path}/rows").outputMode("append"), f"{path}/state", name)
     return result.sparkSession.read.schema(result.schema).parquet(f"{path}/rows")
 
 
@@ -143,7 +143,7 @@ def run_updated(result: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
     def trigger(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/rows/trigger={number}")
 
-    _to_end(result.writeStream.foreachBatch(trigger).outputMode("update"), f"{path}/state")
+    to_end(result.writeStream.foreachBatch(trigger).outputMode("update"), f"{path}/state")
     schema = T.StructType([*result.schema.fields, T.StructField("trigger", T.LongType())])
     return _last_rows(tables.optional_source(result.sparkSession, f"{path}/rows", schema), keys)
 

@@ -82,3 +82,29 @@ def test_edges_settle_over_small_buckets():
     held, last = keyed.settle(rows, (None, None))
     assert held == [False, False, True, True, True, False, False, True, False]
     assert last[1] == 2.0 and pd.isna(last[0])
+
+
+def test_readings_wait_in_lists_of_bounded_spans(spark, tmp_path):
+    """State was one entry a reading, which crossed to Python one by one; now it is one a
+    station and slice of a bucket, however many readings there are."""
+    rows = [event(f"{i:04d}", ts=START + dt.timedelta(milliseconds=50 * i), station_id="S1", feature_dim_mm=25.0 + i % 7 // 4) for i in range(1500)]
+    end = event("end", ts=START + dt.timedelta(days=3), station_id="S9")
+    got, progress = run(spark, str(tmp_path), [rows[::-1], [end]], name="lists")
+    assert progress[0].state_rows == 2  # slices of 37.5 s
+    want = plain([*rows, end])
+    assert {r.event_id: r.held for r in got} == {k: v for k, v in want.items() if k != "Eend"} and len(got) == 1500
+
+
+def test_the_stream_of_timers_gives_the_same(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [event(f"{i:03d}", ts=START + dt.timedelta(minutes=7 * i) if i % 40 else None, station_id="S1", feature_dim_mm=rng.choice([25.0, 25.0, 25.1])) for i in range(120)]
+    rows.append(event("end", ts=START + dt.timedelta(days=9), station_id="S9"))
+    spark.createDataFrame(rows, EVENT_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/feed")
+    feed = stream.read_stream(spark, f"{tmp_path}/feed", EVENT_SCHEMA)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, keyed.ROCKSDB)
+    timers = stream.run_appended(keyed.held_in_order(feed, "10 hours"), f"{tmp_path}/timers").collect()
+    spark.conf.set(provider, before)
+    lists = keyed.run_held_in_order(feed, f"{tmp_path}/lists", "10 hours").collect()
+    assert sorted(lists) == sorted(timers) and len(lists) == 120
