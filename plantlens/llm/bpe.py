@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from plantlens.llm.common import id_and_text, keep_in_worker, map_batches, slice
 
 #: Fixed value: how byte-level BPE cuts a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SPACE_BEHIND_SPACE = re.compile(r"\s ")
 SHORT = 192
 CACHE = 150_000
 _BITS, _NONE = 20, 1 << 62
@@ -100,9 +102,9 @@ class BytePairs:
 
 
 def pieces(text: str) -> list[str]:
-    """The text cut before every single space, that space left out. No word of
-    the pattern reaches over such a cut, so pieces are encoded one by one."""
-    return text.split(" ") if "  " not in text else regex.split(r"(?<! ) (?! )", text)
+    """The text cut before every single space that no white space precedes, that space
+    left out. No word of the pattern reaches over such a cut, so pieces are encoded one by one."""
+    return text.split(" ") if not SPACE_BEHIND_SPACE.search(text) else regex.split(r"(?<!\s) (?! )", text)
 
 
 class PieceCache(dict):

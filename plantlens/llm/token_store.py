@@ -12,7 +12,9 @@ within each, and each can be read alone. Reading needs no loop over ids: the
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plantlens.llm.bpe import PieceEncoder, printable_bytes
+from plantlens.llm.bpe import PieceCache, PieceEncoder, printable_bytes
 from plantlens.llm.common import id_and_text, keep_in_worker, map_batches, scratch_path, shuffle_partitions
 
 END = 2
@@ -33,6 +35,13 @@ PART_BYTES = 128 << 20
 UNKNOWN_BYTES = 1 << 50
 #: Pieces that a Python worker keeps in each of two generations.
 PIECES = 400_000
+#: What stands for a space in a byte-level vocabulary.
+SPACE_SHOWN = "\u0120"
+OTHER_SPACE = re.compile(r"[^\S \n]")
+#: A mark that no letter or digit precedes.
+LOOSE_MARK = re.compile(r"[.,!?;:](?=[ \n])(?<![^\W_].)")
+#: An apostrophe may begin a word of letters, so it is no such symbol.
+LETTERS_THEN_SYMBOLS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 SCHEMA = (
     "part int, segment int, n_tokens long, doc_ids binary, counts binary, "
     "rank_ids binary, control binary, data binary"
@@ -76,6 +85,24 @@ def decode_segment(rank_ids: bytes, control: bytes, data: bytes, count: int) ->
     return np.frombuffer(rank_ids, "<u4")[unpack(control, data, count)] if count else np.zeros(0, np.uint32)
 
 
+class LibraryCache(PieceCache):
+    """Also holds pieces that no space precedes, behind a NUL: a mark, or a line's end and
+    the word behind it."""
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[:1] != "\0":
+            return super().__missing__(piece)
+        ids = self.marks.get(piece[1:])
+        if ids is None:
+            ids = self.newline + self.bare[piece[2:]]
+        if len(piece) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class LibraryEncoder(PieceEncoder):
     """Encodes with the tokenizers library; pieces between single spaces are
     kept, so that the library sees each of them about once."""
@@ -85,17 +112,38 @@ class LibraryEncoder(PieceEncoder):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.model = self.lib.model
         self.shown = {b: c for c, b in printable_bytes().items()}
         self.lib.no_truncation()
         self.lib.no_padding()
         super().__init__(self._ids, {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}, PIECES)
+        self.cache = LibraryCache(self._ids, " ", PIECES)
+
+    def _plain(self, text: str) -> bytes:
+        """A mark behind a letter or digit and before white space is a word of the pattern, and
+        so is a line's end between two others that are no white space. Both are set apart, so that words are
+        looked up without them."""
+        if "\0" in text:
+            return self._library(text)
+        if any(s in text for s in ("  ", "\n\n", " \n", "\n ")) or OTHER_SPACE.search(text) or LOOSE_MARK.search(text):
+            return super()._plain(text)
+        for m in self.cache.marks:
+            if m in text:
+                text = text.replace(f"{m} ", f" \0{m} ").replace(f"{m}\n", f" \0{m}\n")
+        return super()._plain(text.replace("\n", " \0\n"))
+
+    def _library(self, piece: str) -> bytes:
+        return np.array(self.lib.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _ids(self, piece: str) -> bytes:
         word = piece.removeprefix(" ")
         if word.isalpha() and max(word) < "\u0250":  # one word of the pattern: the library's model alone
-            tokens = self.lib.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))
-            return np.array([t.id for t in tokens], "<u4").tobytes()
-        return np.array(self.lib.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+            shown = piece.replace(" ", SPACE_SHOWN) if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+            return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if behind := LETTERS_THEN_SYMBOLS.fullmatch(word):  # two words
+            of = self.cache.bare if word == piece else self.cache
+            return of[behind[1]] + self.cache.bare[behind[2]]
+        return self._library(piece)
 
 
 def library_encoder(path: str) -> LibraryEncoder:

@@ -121,3 +121,20 @@ def test_parts_grow_with_the_table(spark, tmp_path, monkeypatch):
 def test_lengths_with_clashing_columns(docs_of):
     rows = token_counts.document_lengths(docs_of(["a b", "a b", None, ""]), PATH, ["lang"]).collect()
     assert sorted((r.doc_id, r.n_tokens) for r in rows) == [(0, len(ids("a b"))), (1, len(ids("a b"))), (2, 0), (3, 0)]
+
+
+def test_white_space_before_a_single_space_is_no_cut():
+    for text in ("é \xa0 \xa0\n\n語&&!", "x\t \ty", "a\n \nb"):
+        assert np.frombuffer(STORE.encode(text), "<u4").tolist() == ids(text)
+        assert np.frombuffer(ENC.encode(text), "<u4").tolist() == ids(text)
+
+
+def test_marks_and_line_ends_make_no_pieces_of_their_own():
+    """Words with a mark or a line's end behind them were pieces beside the bare words."""
+    store, seen = token_store.LibraryEncoder(PATH), []
+    encode = store.cache.encode
+    store.cache.encode = store.cache.bare.encode = lambda piece: seen.append(piece) or encode(piece)
+    text = "one two.\nThree two, one: two;\nThree two&&& one 12. été!"
+    assert np.frombuffer(store.encode(text), "<u4").tolist() == ids(text)
+    assert not [p for p in store.cache if p[:1] != "\0" and (p[-1:] in (".", ",", ":", ";", "!") or "\n" in p)]
+    assert len(seen) == len(set(seen)) and {" two", " one", "Three"} <= set(seen)
