@@ -53,12 +53,14 @@ LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int6
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     v = values.astype("<u4")
-    n = np.ones(-(-len(v) // 4) * 4, np.int64)
-    n[: len(v)] += (v > 0xFF).astype(np.int64) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    codes = (n - 1).astype(np.uint8).reshape(-1, 4)
+    more = np.zeros(-(-len(v) // 4) * 4, np.uint8)
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
+        more[: len(v)] += v > limit
+    codes = more.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    used = np.arange(4) < n[: len(v), None]
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    width = 4 if len(v) and v.max() > 0xFFFF else 2
+    used = np.arange(width, dtype=np.uint8) <= more[: len(v), None]
+    return control.tobytes(), v.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[used].tobytes()
 
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
@@ -123,6 +125,8 @@ class LibraryEncoder(PieceEncoder):
         """A mark behind a letter or digit and before white space is a word of the pattern, and
         so is a line's end between two others that are no white space. Both are set apart, so that words are
         looked up without them."""
+        if not text:
+            return b""
         if "\0" in text:
             return self._library(text)
         if any(s in text for s in ("  ", "\n\n", " \n", "\n ")) or OTHER_SPACE.search(text) or LOOSE_MARK.search(text):
@@ -130,7 +134,9 @@ class LibraryEncoder(PieceEncoder):
         for m in self.cache.marks:
             if m in text:
                 text = text.replace(f"{m} ", f" \0{m} ").replace(f"{m}\n", f" \0{m}\n")
-        return super()._plain(text.replace("\n", " \0\n"))
+        first, *rest = text.replace("\n", " \0\n").split(" ")
+        of = self.cache
+        return b"".join([of.bare[first], *map(of.__getitem__, rest)])
 
     def _library(self, piece: str) -> bytes:
         return np.array(self.lib.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
