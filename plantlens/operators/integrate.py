@@ -110,7 +110,7 @@ def with_keys(looks: DataFrame) -> DataFrame:
     )
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, values: list[str], bucket: Callable[[Column], Column] = F.to_date) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, values: list[str], bucket: Callable[[Column], Column] = F.to_date, parts: int | None = None) -> DataFrame:
     """Every left row with the latest right row of its key at or before it.
 
     Time is cut into buckets. Within a key and bucket both sides are united and
@@ -119,14 +119,16 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on
     task holds the whole time line of a key, and a hot key is split by a finer
     ``bucket``. A right row of the same time counts as before; of several the
     last in order of all values. Rows with a null key or time match nothing, and
-    lie anywhere in the shuffle.
+    lie anywhere in the shuffle. ``parts``: of shuffles, where the session's are too few.
     """
+    deal = lambda df, *keys: df.repartition(parts, *keys) if parts else df
     name, kind = left.columns, right.select(F.struct(*values)).schema[0].dataType
     at = lambda df, c: df.withColumn("_t", F.col(c)).withColumn("_b", bucket(F.col(c)))
     known = F.col("_t").isNotNull() & F.col(by).isNotNull()
     l, r = at(left, left_on), at(right, right_on).filter(known)  # noqa: E741
     last = r.groupBy(by, "_b").agg(F.max(F.struct("_t", F.struct(*values).alias("v"))).alias("m")).select(by, "_b", F.col("m.v").alias("_v"))
-    every = last.unionByName(l.filter(known).select(by, "_b", F.lit(None).cast(kind).alias("_v")).distinct()).groupBy(by, "_b").agg(F.max("_v").alias("_v"))
+    spans = deal(l.filter(known).select(by, "_b"), by, "_b").distinct().withColumn("_v", F.lit(None).cast(kind))
+    every = deal(last.unionByName(spans), by).groupBy(by, "_b").agg(F.max("_v").alias("_v"))
     before = W.partitionBy(by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     carried = every.select(by, "_b", F.last("_v", ignorenulls=True).over(before).alias("_v")).filter("_v is not null")
 
@@ -138,7 +140,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on
     marks = r.select(*blank, "_t", "_b", F.lit(0).alias("_side"), F.struct(*values).alias("_v"), no_spot)
     front = carried.select(*blank, F.lit(None).cast(time).alias("_t"), "_b", F.lit(0).alias("_side"), "_v", no_spot)
     order = W.partitionBy(by, "_b", "_spot").orderBy(F.asc_nulls_first("_t"), "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
-    seen = rows.union(marks).union(front).withColumn("_m", F.last("_v", ignorenulls=True).over(order)).filter("_side = 1")
+    seen = deal(rows.union(marks).union(front), by, "_b", "_spot").withColumn("_m", F.last("_v", ignorenulls=True).over(order)).filter("_side = 1")
     got = seen.withColumn("_m", F.when(known, F.col("_m")))
     return got.select(*name, *[F.col(f"_m.{v}").alias(v) for v in values])
 

@@ -383,27 +383,30 @@ def range_join_by_day(p):
     return integrate.range_join_by_day(p.keyed.select("event_id", "line_id", "date"), p.erp, "line_id", "date", "sched_start", "sched_end").select("event_id", "work_order_no")
 
 
-def _order_ranges(p: Plant) -> tuple[DataFrame, DataFrame]:
-    """Ship dates of line items, and each customer's orders as ranges of dates."""
+def _order_ranges(p: Plant) -> tuple[DataFrame, DataFrame, int]:
+    """Ship dates of line items, each customer's orders as ranges of dates, and parts
+    of a shuffle that grow in number with the line items."""
     read = lambda t: p.spark.read.parquet(f"{p.sf_dir}/{t}.parquet")
     orders = read("orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("start"))
-    items = read("lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select("l_orderkey", "l_linenumber", "o_custkey", F.to_date("l_shipdate").alias("ship"))
+    parts = tables.parts_by_size(read("lineitem"))
+    owners = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").repartition(parts, "l_orderkey")
+    items = read("lineitem").repartition(parts, "l_orderkey").join(owners, "l_orderkey").select("l_orderkey", "l_linenumber", "o_custkey", F.to_date("l_shipdate").alias("ship"))
     nxt = F.lead("start").over(W.partitionBy("o_custkey").orderBy("start", "o_orderkey"))
-    return items, orders.withColumn("end", F.date_sub(F.coalesce(nxt, F.to_date(F.lit("2030-01-01"))), 1))
+    return items, orders.withColumn("end", F.date_sub(F.coalesce(nxt, F.to_date(F.lit("2030-01-01"))), 1)), parts
 
 
 @query
 def asof_volume(p):
     """The customer's latest order on or before each line item's ship date."""
-    items, orders = _order_ranges(p)
-    got = integrate.asof_join(items, orders, "o_custkey", "ship", "start", ["o_orderkey"])
+    items, orders, parts = _order_ranges(p)
+    got = integrate.asof_join(items, orders, "o_custkey", "ship", "start", ["o_orderkey"], parts=parts)
     return got.groupBy("o_custkey").agg(F.count("*").alias("items"), F.count("o_orderkey").alias("matched"), F.sum("o_orderkey").alias("key_sum"))
 
 
 @query
 def range_volume(p):
     """Line items by the customer's order whose range holds the ship date."""
-    items, orders = _order_ranges(p)
+    items, orders, _ = _order_ranges(p)
     got = integrate.range_join(items, orders.select("o_custkey", "o_orderkey", "start", "end"), "o_custkey", "ship", "start", "end")
     return got.groupBy("o_custkey").agg(F.count("*").alias("items"), F.count("o_orderkey").alias("matched"), F.sum("o_orderkey").alias("key_sum"))
 

@@ -23,6 +23,8 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 CORRUPT = "_corrupt_record"
+#: Bytes of a stored table whose rows one task sorts.
+PART_BYTES = 4 << 20
 
 
 def scan_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -31,6 +33,13 @@ def scan_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
 
 
+def parts_by_size(stored: DataFrame) -> int:
+    """A number of parts that grows with a table as it is stored, so that what a task
+    sorts does not."""
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+
+
 def scan_text(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """An extract as it came, all text; casts are made when it is conformed."""
     return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", True).csv(path)

@@ -105,3 +105,17 @@ def test_asof_over_buckets_equals_the_plain_search(spark):
     for bucket in (F.to_date, lambda c: F.trunc(c, "month"), lambda c: F.trunc(c, "year")):
         got = integrate.asof_join(a, b, "k", "t", "u", ["u", "v"], bucket).collect()
         assert {r.i: r.v for r in got} == want and len(got) == 200
+
+
+def test_parts_of_an_asof_join_grow_with_the_table(spark, sf_dir, monkeypatch):
+    """The number of parts was the session's, whatever the table's size."""
+    from plantlens import queries
+    from plantlens.sources import tables
+
+    before = sorted(queries.QUERIES["asof_volume"](spark, sf_dir).collect())
+    monkeypatch.setattr(tables, "PART_BYTES", 4 << 10)
+    parts = tables.parts_by_size(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = queries.QUERIES["asof_volume"](spark, sf_dir)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(f", {parts}") >= 4
+    assert sorted(df.collect()) == before
