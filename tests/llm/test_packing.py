@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,6 +37,41 @@ def test_sentences_and_lines_end_pieces():
     assert stops.tolist() == marks
 
 
+class Counting:
+    """The library or its model, with a count of what it was asked for."""
+
+    def __init__(self, inner):
+        self.inner, self.asked = inner, 0
+
+    def __getattr__(self, name):
+        self.asked += name in ("encode", "tokenize")
+        return getattr(self.inner, name)
+
+
+def test_the_library_sees_each_word_of_the_pattern_once():
+    words = packing.WordIds(PATH)
+    words.lib, words.model = Counting(words.lib), Counting(words.model)
+    some = "one two three four five six seven eight nine été".split()
+    text = " ".join(f"{a}-{b}'s/{b.upper()}!! 7" for a in some for b in some)
+    assert words.encode(text)[0].tolist() == ids_of(text)
+    assert words.lib.asked + words.model.asked <= len(some) + len(["-", "'s", "/", "!!", "7"])
+
+
+ODD = "don't it'll we've 'tis ''s x's' 'S'm I'D 12a3 ÀÉß×÷ ª µ ½ \u00a0 a\u0085b é' 'éd <|endoftext|> <| 漢 \x1c\x00 rock'n'roll abcdefghijklmnop abcdefghijklmnopq.".split(" ")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*ODD, "", ".", "\n", "word"]), max_size=8), max_size=6), st.sampled_from(["", " ", "'", "\n"]), st.sampled_from([1, 3, 64]))
+def test_texts_of_a_batch_are_apart(rows, between, limit):
+    words = packing.WordIds.__new__(packing.WordIds)
+    words.__dict__.update(WORDS.__dict__)
+    words.table = packing.WordTable(limit)
+    texts = [between.join(row) for row in rows]
+    got = [(ids.tolist(), stops.tolist()) for ids, stops in words.encode_all(pa.array(["skipped", *texts], pa.string())[1:])]
+    assert [ids for ids, _ in got] == [ids_of(t) for t in texts]
+    assert got == [(ids.tolist(), stops.tolist()) for ids, stops in map(WORDS.encode, texts)]
+
+
 def cheapest(at, penalty, window, fee):
     """The least cost of all divisions, tried one by one."""
     best = {0: 0}
